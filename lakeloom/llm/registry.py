@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lakeloom.llm import exact_dedup
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from lakeloom.llm import bpe, exact_dedup, packing
 from lakeloom.llm.common import read_documents
 
 
@@ -22,7 +25,22 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM k
 """
 
+def op3_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe.decode(bpe.encode(read_documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    return out.select(
+        "doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op10_packing": op10_packing,
     "op2_exact_dedup": op2_exact_dedup,
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL}
