@@ -31,6 +31,10 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch at most.
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+
+
 class Workspace:
     """A folder of intermediate tables of one call of an operator."""
 
@@ -38,6 +42,9 @@ class Workspace:
         self.spark = spark
         self.name = f"{name}_{uuid.uuid4().hex[:12]}"
         self.root = f"{shared_root(spark)}/lakeloom/{self.name}"
+        # Texts may be long: Arrow batches are bounded by bytes and not by rows alone.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
     def put(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Writes df as Parquet and reads it back: later steps start from files, not from lineage.

@@ -15,6 +15,7 @@ other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -107,28 +108,82 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Words of these characters need no normalisation but lower case, and no table of character classes.
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\xff]*")
+
+
+@cache
+def _fast_words(path: str):
+    """Encodes one plain word as the tokenizer would, at the cost of a table look-up and a few merges.
+
+    The file's merges are given to a byte-pair encoder in C as ranks: a byte stands for itself, and a
+    marker byte for the end of a word, which joins the byte before it ahead of all other merges. None
+    if the file is of another kind.
+    """
+    import json
+
+    import regex
+    import tiktoken
+
+    with open(path) as f:
+        spec = json.load(f)
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers") or []]
+    suffix = model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or not suffix or kinds != ["NFC", "Replace", "Lowercase"] or [x.get("type") for x in steps] != ["Split", "ByteLevel"]:
+        return None
+    # The usual map of bytes to visible characters: printable ones stay, the rest follow from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    byte = {c: b for b, c in char.items()}
+    marker = 255  # no byte of UTF-8
+    as_bytes = lambda t: bytes(byte[c] for c in t.removesuffix(suffix)) + (bytes([marker]) if t.endswith(suffix) else b"")
+    ranks = {bytes([b]): b for b in range(256)}
+    ids = [model["vocab"].get(char[b], -1) for b in range(256)]
+    for b in range(255):
+        ranks[bytes([b, marker])] = len(ids)
+        ids.append(model["vocab"].get(char[b] + suffix, -1))
+    for m in model["merges"]:
+        left, right = m.split(" ") if isinstance(m, str) else m
+        ranks[as_bytes(left + right)] = len(ids)
+        ids.append(model["vocab"][left + right])
+    piece = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+
+    def encode(word: str) -> list[int] | None:
+        if not _PLAIN.fullmatch(word) or any(t in word for t in added):
+            return None
+        return [ids[i] for x in split(word.lower()) for i in piece(x.encode() + b"\xff")]
+
+    return encode
+
+
 def _encoder(path: str, end_id: int):
     """Texts to ids. No token spans white space, so words are encoded apart, each new one once."""
-    known: dict[str, bytes] = {}
+    known: dict[bytes, bytes] = {}
 
     def encode(texts: list[str]) -> list[bytes]:
+        fast = _fast_words(path)
         if len(known) > CACHED_WORDS:
             known.clear()
-        out, end = [], np.array([end_id], "<u4").tobytes()
-        for at in range(0, len(texts), 256):
-            split = [t.translate(_SPACES).split(" ") for t in texts[at : at + 256]]
-            new = list({w for words in split for w in words if w not in known})
-            for w, e in zip(new, _tokenizer(path).encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            out += [b"".join(map(known.__getitem__, words)) + end for words in split]
+        out, end, slow = [], np.array([end_id], "<u4").tobytes(), []
+        split = [t.encode().split() for t in texts]  # parts at the bytes 09-0D and 20
+        for w in {w for words in split for w in words if w not in known}:
+            if fast is None or (ids := fast(w.decode())) is None:
+                slow.append(w)
+            else:
+                known[w] = np.array(ids, "<u4").tobytes()
+        for w, e in zip(slow, _tokenizer(path).encode_batch_fast([w.decode() for w in slow], add_special_tokens=False) if slow else ()):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        for words in split:
+            out.append(b"".join(map(known.__getitem__, words)) + end)
         return out
 
     return encode
 
 
-_SPACES = {c: " " for c in (9, 10, 11, 12, 13)}
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Tokenizes docs and cuts them: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
 
@@ -157,8 +212,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     ws = Workspace(spark, "packing")
     cut = pieces(documents(docs, id_col, text_col), tokenizer_path, window, end_id, with_ids)
     order = [F.col("length"), F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
+    cut = ws.put(cut, "cut")  # dealing by ranges reads its input twice
     ranked = cut.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     ranked = ws.put(ranked, "pieces")
+    ws.drop("cut")
 
     # Ranges hold few lengths each, so this has about as many rows as there are lengths and ranges.
     runs = ranked.groupBy(F.shiftright("at", 33).alias("task"), "length").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).collect()

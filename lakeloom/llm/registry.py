@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, exact_dedup, packing
-from lakeloom.llm.common import read_documents
+from lakeloom.llm import bpe, class_lm, exact_dedup, packing
+from lakeloom.llm.common import crc_mod, read_documents
 
 
 def op2_exact_dedup(spark, sf_dir):
@@ -34,12 +34,17 @@ def op3_bpe(spark, sf_dir):
     )
 
 
+def op6_class_lm(spark, sf_dir):
+    return class_lm.score(read_documents(spark, sf_dir), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op6_class_lm": op6_class_lm,
     "op10_packing": op10_packing,
     "op2_exact_dedup": op2_exact_dedup,
 }

@@ -1,7 +1,7 @@
 """Distinct words of a whole corpus, looked up by shuffle and brought back to where they stand.
 
 Exploding every word with its position would shuffle far more than the text. Here a task codes the
-texts it reads against a dictionary of its own batch (about `batch_bytes` of text) and emits
+texts it reads against a dictionary of its own batch (about `batch_bytes` characters of text) and emits
 
 * one payload row a batch: the ids of its documents and their words as codes, in order of position;
 * one block row for each part of the word space: the batch's distinct words that fall into the part.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Workspace, partitions
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 SCHEMA = "batch long, part int, body binary, kind string"
 ANSWER = "batch long, part int, body binary"
 
