@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, class_lm, exact_dedup, packing
+from lakeloom.llm import bpe, class_lm, exact_dedup, packing, quality_rules, url_filter
 from lakeloom.llm.common import crc_mod, read_documents
 
 
@@ -42,10 +42,73 @@ def op10_packing(spark, sf_dir):
     return packing.pack(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.judge(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"))
+
+
+def _captures(spark, sf_dir):
+    """Pages with a fetch time each, made from the id: the tables have none."""
+    day = F.expr("cast(page_id % 365 as int)")
+    return read_documents(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01"), day).cast("timestamp").alias("fetched_at"))
+
+
+def _list_entries(captures):
+    """Dated list entries on the hosts that occur, made from a hash of the host: the tables have none."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    hosts = captures.select(host.alias("host")).distinct().where("host <> ''").withColumn("v", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("int") % 365)
+    day = lambda n: F.date_add(F.lit("2024-01-01"), n).cast("timestamp")
+    entry = lambda df, name, kind, pattern, action, at: df.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), at.alias("at"))
+    even, third, fifth = hosts.where("v % 2 = 0"), hosts.where("v % 6 = 0"), hosts.where("v % 5 = 0")
+    parents = hosts.select(F.substring_index("host", ".", -2).alias("host")).distinct().where("host like '%.org'")
+    parts = [
+        entry(even, "hosts", "domain", F.col("host"), "add", day(F.col("v"))),
+        entry(third, "hosts", "domain", F.col("host"), "remove", day(F.col("v") + 60)),
+        entry(third, "hosts", "domain", F.col("host"), "add", day(F.col("v") + 120)),
+        entry(fifth, "paths", "prefix", F.concat("host", F.lit("/de/")), "add", day(F.col("v"))),
+        entry(parents, "parents", "domain", F.col("host"), "add", day(F.lit(200))),
+        entry(parents, "parents", "domain", F.col("host"), "remove", day(F.lit(260))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def op8_url_filter(spark, sf_dir):
+    captures = _captures(spark, sf_dir)
+    return url_filter.evaluate(captures, _list_entries(captures), "page_id").withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd"))
+
+
+OP8_SQL = r"""
+WITH caps AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 365 AS INTEGER) AS d,
+         regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
+         regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), hosts AS (
+  SELECT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) % 365 AS v FROM (SELECT DISTINCT host FROM caps WHERE host <> '')
+), spans AS (
+  SELECT 'hosts' AS list, host AS pattern, 'h' AS kind, v AS a, CASE WHEN v % 6 = 0 THEN v + 60 ELSE 999999 END AS b FROM hosts WHERE v % 2 = 0
+  UNION ALL SELECT 'hosts', host, 'h', v + 120, 999999 FROM hosts WHERE v % 6 = 0
+  UNION ALL SELECT 'paths', host || '/de/', 'p', v, 999999 FROM hosts WHERE v % 5 = 0
+  UNION ALL SELECT DISTINCT 'parents', regexp_extract(host, '([^.]*[.][^.]*)$', 1), 'h', 200, 260 FROM hosts WHERE host LIKE '%.org'
+), m AS (
+  SELECT c.page_id, s.list, s.pattern FROM caps c JOIN spans s
+    ON ((s.kind = 'h' AND (c.host = s.pattern OR ends_with(c.host, '.' || s.pattern))) OR (s.kind = 'p' AND starts_with(c.host || c.path, s.pattern)))
+   AND date_diff('day', DATE '2024-01-01', c.d) >= s.a AND date_diff('day', DATE '2024-01-01', c.d) < s.b
+), g AS (
+  SELECT page_id, count(*) AS n_active, (SELECT string_agg(l, ',' ORDER BY l) FROM (SELECT DISTINCT m2.list AS l FROM m m2 WHERE m2.page_id = m.page_id)) AS lists,
+         first(pattern ORDER BY length(pattern) DESC, pattern) AS pattern FROM m GROUP BY page_id
+)
+SELECT c.page_id, strftime(c.d, '%Y-%m-%d') AS fetched_at, g.page_id IS NOT NULL AS blocked, coalesce(n_active, 0) AS n_active, coalesce(lists, '') AS lists, pattern
+FROM caps c LEFT JOIN g USING (page_id)
+"""
+
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
+    "op8_url_filter": op8_url_filter,
     "op3_bpe": op3_bpe,
     "op6_class_lm": op6_class_lm,
     "op10_packing": op10_packing,
     "op2_exact_dedup": op2_exact_dedup,
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_url_filter": OP8_SQL}
