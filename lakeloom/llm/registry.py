@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, class_lm, exact_dedup, packing, quality_rules, url_filter
+from lakeloom.llm import bpe, class_lm, exact_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter
 from lakeloom.llm.common import crc_mod, read_documents
 
 
@@ -27,7 +27,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 def op3_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(read_documents(spark, sf_dir), path, public_tokenizers.PATTERN), path)
+    out = bpe.encode(read_documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_decoded=True)
     return out.select(
         "doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -103,7 +103,17 @@ SELECT c.page_id, strftime(c.d, '%Y-%m-%d') AS fetched_at, g.page_id IS NOT NULL
 FROM caps c LEFT JOIN g USING (page_id)
 """
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.classify(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 4) == 2)
+
+
+def op5_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) == 1)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op3_bpe": op3_bpe,
