@@ -30,7 +30,7 @@ from lakeloom.llm.common import Workspace, documents, partitions
 
 WINDOW = 4096
 END_ID = 2
-#: Words a task keeps encoded; beyond it starts anew.
+#: Words a worker keeps encoded; beyond them it starts anew.
 CACHED_WORDS = 250_000
 
 
@@ -149,17 +149,20 @@ def _fast_words(path: str):
         ranks[as_bytes(left + right)] = len(ids)
         ids.append(model["vocab"][left + right])
     piece = tiktoken.Encoding("own", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+    plain = _PLAIN.fullmatch
     split = regex.compile(steps[0]["pattern"]["Regex"]).findall
-    added = [t["content"] for t in spec.get("added_tokens", [])]
+    special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)").search
+    as_id = [i.to_bytes(4, "little") if i >= 0 else b"" for i in ids].__getitem__
 
-    def encode(word: str) -> list[int] | None:
-        if not _PLAIN.fullmatch(word) or any(t in word for t in added):
+    def encode(word: str) -> bytes | None:
+        if not plain(word) or special(word):
             return None
-        return [ids[i] for x in split(word.lower()) for i in piece(x.encode() + b"\xff")]
+        return b"".join([as_id(i) for x in split(word.lower()) for i in piece(x.encode() + b"\xff")])
 
     return encode
 
 
+@cache
 def _encoder(path: str, end_id: int):
     """Texts to ids. No token spans white space, so words are encoded apart, each new one once."""
     known: dict[bytes, bytes] = {}
@@ -174,7 +177,7 @@ def _encoder(path: str, end_id: int):
             if fast is None or (ids := fast(w.decode())) is None:
                 slow.append(w)
             else:
-                known[w] = np.array(ids, "<u4").tobytes()
+                known[w] = ids
         for w, e in zip(slow, _tokenizer(path).encode_batch_fast([w.decode() for w in slow], add_special_tokens=False) if slow else ()):
             known[w] = np.array(e.ids, "<u4").tobytes()
         for words in split:
