@@ -57,8 +57,12 @@ def _splitter(pattern: str):
     return regex.compile(inside.replace("\\s", f"[{_RUST_SPACE}]").replace("\\S", f"[^{_RUST_SPACE}]")).findall
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, ids (little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, ids (little-endian unsigned 32-bit integers).
+
+    with_decoded adds what decode() makes of the ids, in the same Python worker: two workers a task
+    would hold twice the memory.
+    """
     ws = Workspace(docs.sparkSession, "bpe")
     coded, parts = wordblocks.code(documents(docs, id_col, text_col), ws, lambda text: _splitter(pattern)(text))
 
@@ -88,19 +92,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             shift = np.repeat(starts[c] - (np.cumsum(n) - n), n)
             lists.append(flat[shift + np.arange(total)].tobytes())
             at = end
-        return pa.table([wordblocks.id_column(doc), pa.array(lists, pa.binary())], names=["doc_id", "ids"])
+        cols = [wordblocks.id_column(doc), pa.array(lists, pa.binary())]
+        if with_decoded:
+            cols.append(pa.array(_decoded(lists, ranks_path), pa.binary()))
+        return pa.table(cols, names=["doc_id", "ids", "decoded"][: len(cols)])
+
+    schema = "doc_id long, ids binary" + ", decoded binary" * with_decoded
+    return wordblocks.reassemble(coded, wordblocks.resolve(coded, parts, answer), finish, schema)
+
 
-    return wordblocks.reassemble(coded, wordblocks.resolve(coded, parts, answer), finish, "doc_id long, ids binary")
+def _decoded(lists: list[bytes], ranks_path: str) -> list[bytes]:
+    look = _token_bytes(ranks_path).__getitem__
+    return [b"".join(map(look, np.frombuffer(x, np.uint32).tolist())) for x in lists]
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids) with the bytes of the ids in order, as `decoded`; an id outside the table is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _token_bytes(ranks_path).__getitem__
         for rb in batches:
             ids = rb.column(1)
-            out = [b"".join(map(look, np.frombuffer(x.as_py() or b"", np.uint32).tolist())) for x in ids]
+            out = _decoded([x.as_py() or b"" for x in ids], ranks_path)
             yield pa.RecordBatch.from_arrays([rb.column(0), ids, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")

@@ -14,6 +14,7 @@ once. A word that a third of all documents hold costs one entry a batch, not one
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,7 +28,13 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Workspace, partitions
 
-BATCH_BYTES = 10 << 20
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  other C libraries lack it
+except (OSError, AttributeError):
+    _LIBC = None
+
+BATCH_BYTES = 8 << 20
 SCHEMA = "batch long, part int, body binary, kind string"
 ANSWER = "batch long, part int, body binary"
 
@@ -99,6 +106,13 @@ class _Batch:
             yield batch, p, pack_words([words[i] for i in order[at]], *(m[at] for m in more)), "words"
 
 
+def trim() -> None:
+    """Gives freed memory back: workers live on from task to task beside others of their executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def _table(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
@@ -126,6 +140,8 @@ def code(docs: DataFrame, ws: Workspace, split: Callable, counted: bool = False,
                     seq, now = seq + 1, _Batch()
         if now.ids:
             yield out()
+        del now
+        trim()
 
     cols = ["doc_id", "text", *(["flag"] if counted else [])]
     return ws.bucketed(docs.select(*cols).mapInArrow(run, SCHEMA), "coded", "batch", parts), parts
@@ -146,6 +162,8 @@ def resolve(coded: DataFrame, parts: int, answer: Callable[[list[tuple[int, int,
                 rows, held = [], 0
         if rows:
             yield _table(rows, names, kinds)
+        del blocks
+        trim()
 
     fields = [f.strip().split(" ") for f in schema.split(",")]
     names, kinds = [n for n, _ in fields], [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t] for _, t in fields]
@@ -161,7 +179,9 @@ def reassemble(coded: DataFrame, answers: DataFrame, finish: Callable[[list, lis
         bodies = right.column("body").to_pylist()
         ids, known, flags, sizes, codes = unpack(left.column("body")[0].as_py())
         doc = [np.frombuffer(ids, np.int64), np.frombuffer(known, np.uint8), np.frombuffer(flags, np.uint8), np.frombuffer(sizes, np.uint32), np.frombuffer(codes, np.uint32)]
-        return finish(doc, [bodies[i] for i in order.tolist()])
+        out = finish(doc, [bodies[i] for i in order.tolist()])
+        trim()
+        return out
 
     payload = coded.where(F.col("kind") == "payload").select("batch", "body")
     return payload.groupby("batch").cogroup(answers.groupby("batch")).applyInArrow(run, schema)
