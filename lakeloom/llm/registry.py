@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, class_lm, exact_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter
+from lakeloom.llm import bpe, class_lm, exact_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity, url_filter
 from lakeloom.llm.common import crc_mod, read_documents
 
 
@@ -111,7 +111,12 @@ def op5_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 3) == 1)
 
 
+def op4_ngram_join(spark, sf_dir):
+    return ngram_join.join(read_documents(spark, sf_dir), words=4, percent=85)
+
+
 QUERIES = {
+    "op4_ngram_join": op4_ngram_join,
     "op1_toxicity": op1_toxicity,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
