@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakeloom.llm import bpe, class_lm, exact_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity, url_filter
+from lakeloom.llm import bpe, class_lm, exact_dedup, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, toxicity, url_filter
 from lakeloom.llm.common import crc_mod, read_documents
 
 
@@ -115,7 +115,13 @@ def op4_ngram_join(spark, sf_dir):
     return ngram_join.join(read_documents(spark, sf_dir), words=4, percent=85)
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.deduplicate(read_documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op1_toxicity": op1_toxicity,
     "op5_quality_classifier": op5_quality_classifier,
