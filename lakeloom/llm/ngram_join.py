@@ -10,8 +10,8 @@ that this proves nothing also lists its prefix. The boundary between light and h
 least total of keys over the sizes that occur.
 
 In a list, each class is first compared with the list's least class alone. Lists whose classes are in one
-component by then need nothing more; of the others, all pairs across components are compared. So groups
-of thousands of near copies cost a few comparisons a member, and no link between components is lost.
+component by then need nothing more; of the others, all pairs across components are compared that
+neither sizes nor parity sketches rule out (both are exact bounds). So groups of thousands of near copies cost a few comparisons a member, and no link between components is lost.
 Comparisons are exact, on the whole sets.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing;
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Workspace, documents, join_hot, partitions
@@ -78,6 +78,24 @@ class Shingler:
         return np.unique(out)
 
 
+#: 64-bit words of a sketch.
+SKETCH = 16
+
+
+def sketch(u: np.ndarray) -> list[int]:
+    """Parity of the number of shingles in each of 64 * SKETCH cells: sets differ in as many at least as their sketches do."""
+    with np.errstate(over="ignore"):
+        cell = (mix(u + _M2) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = np.bincount(cell, minlength=64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def _possible(x: str, y: str, nx: str, ny: str, percent: int) -> Column:
+    """Neither sizes nor sketches rule out that the sets are similar enough (an exact bound)."""
+    differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * differ <= (100 - percent) * (F.col(nx) + F.col(ny)))
+
+
 class Sizes:
     """Classes of set sizes, their numbers of blocks, and the boundary of light and heavy sets."""
 
@@ -150,7 +168,7 @@ def heavy_keys(sets: list[np.ndarray], sizes: Sizes) -> tuple[np.ndarray, np.nda
 
 
 def _sets(docs: DataFrame, ws: Workspace, words: int, seed: int) -> DataFrame:
-    """Rows of kind doc (doc_id, cls, check, n) and, once a task for each class, of kind text (cls, n, body)."""
+    """Rows of kind doc (doc_id, cls, check, n) and, once a task for each class, of kind text (cls, n, body, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, press, seen = Shingler(words, seed), zstandard.ZstdCompressor(level=3), set()
@@ -161,17 +179,17 @@ def _sets(docs: DataFrame, ws: Workspace, words: int, seed: int) -> DataFrame:
                 u = shingle(text)
                 with np.errstate(over="ignore"):
                     cls, check = (int(mix(u + c).sum(dtype=np.uint64).astype(np.int64)) for c in (_M1, _M2))
-                rows.append((doc_id, cls, check, len(u), None, "doc"))
+                rows.append((doc_id, cls, check, len(u), None, None, "doc"))
                 if len(u) and cls not in seen:
                     if len(seen) > CACHED_WORDS:
                         seen.clear()
                     seen.add(cls)
-                    rows.append((None, cls, check, len(u), press.compress(text.encode()), "text"))
-            cols = list(zip(*rows)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))], names=["doc_id", "cls", "check", "n", "body", "kind"])
+                    rows.append((None, cls, check, len(u), press.compress(text.encode()), sketch(u), "text"))
+            cols = list(zip(*rows)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string()))], names=["doc_id", "cls", "check", "n", "body", "sketch", "kind"])
         trim()
 
-    return ws.put(docs.mapInArrow(run, "doc_id long, cls long, check long, n long, body binary, kind string"), "sets", "kind")
+    return ws.put(docs.mapInArrow(run, "doc_id long, cls long, check long, n long, body binary, sketch array<long>, kind string"), "sets", "kind")
 
 
 def _lists(texts: DataFrame, sizes: Sizes, words: int, seed: int, parts: int) -> DataFrame:
@@ -255,7 +273,7 @@ def _lists(texts: DataFrame, sizes: Sizes, words: int, seed: int, parts: int) ->
     return sent.repartitionById(parts, F.col("part")).mapInArrow(scan, "list long, cls long, leader long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed: int, checked: bool = False) -> DataFrame:
     """Of the pairs (a, b) of classes those whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,9 +291,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed:
             yield pa.RecordBatch.from_arrays([rb.column(k).take(pa.array(kept, pa.int64())) for k in (0, 1)], names=["a", "b"])
         trim()
 
-    t = lambda name: texts.select(F.col("cls").alias(name), F.col("body").alias(f"text_{name}"), F.col("n").alias(f"n_{name}"))
-    met = pairs.select("a", "b").join(t("a"), "a").join(t("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    t = lambda name, *cols: texts.select(F.col("cls").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
+    if not checked:
+        pairs = pairs.join(t("a", "n", "sketch"), "a").join(t("b", "n", "sketch"), "b").where(_possible("sketch_a", "sketch_b", "n_a", "n_b", percent))
+    met = pairs.select("a", "b").join(t("a", "body"), "a").join(t("b", "body"), "b")
+    return met.select("a", "b", "body_a", "body_b").mapInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
@@ -288,7 +308,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     parts = partitions(spark)
     rows = _sets(documents(docs, id_col, text_col), ws, words, seed)
     members = rows.where("kind = 'doc'").select("doc_id", "cls", "check", "n")
-    texts = rows.where("kind = 'text'").select("cls", "n", "body")
+    texts = rows.where("kind = 'text'").select("cls", "n", "body", "sketch")
     classes = ws.put(members.where("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")), "classes")
     total, clash = classes.agg(F.sum("copies"), F.sum((F.col("c1") != F.col("c2")).cast("long"))).first()
     if clash:  # two sets under one name of 64 bits: name them anew
@@ -298,7 +318,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     # 1. Inverted lists; each class against the least class of its lists.
     lists = ws.put(_lists(texts, sizes, words, seed, parts), "lists")
     candidates = lists.select("cls").distinct()
-    held = ws.put(texts.join(candidates, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("body").alias("body")), "texts")
+    held = ws.put(texts.join(candidates, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("body").alias("body"), F.first("sketch").alias("sketch")), "texts")
     pairs = lists.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
     edges = ws.put(_verify(pairs, held, words, percent, seed), "edges_1")
     labels = components(edges, ws, "first")
@@ -307,12 +327,12 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     labelled = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "leader", F.coalesce("label", "cls").alias("label")).distinct()
     per = labelled.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
     mixed = per.groupBy("list").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", "label")).getField("label").alias("main")).where("kinds > 1").select("list", "main")
-    open_ = ws.put(labelled.join(mixed, "list").join(held.select("cls", "n"), "cls"), "open")
-    minor = open_.where("label <> main").select("list", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), "leader", "main")
-    other = open_.select("list", F.col("cls").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"))
-    cross = minor.join(other, "list").where((F.col("lx") != F.col("ly")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("x") != F.col("leader")) & (F.col("y") != F.col("leader")))
+    open_ = ws.put(labelled.join(mixed, "list").join(held.select("cls", "n", "sketch"), "cls"), "open")
+    minor = open_.where("label <> main").select("list", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), "leader")
+    other = open_.select("list", F.col("cls").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    cross = minor.join(other, "list").where((F.col("lx") != F.col("ly")) & _possible("sx", "sy", "nx", "ny", percent) & (F.col("x") != F.col("leader")) & (F.col("y") != F.col("leader")))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    edges_2 = ws.put(_verify(rest, held, words, percent, seed), "edges_2")
+    edges_2 = ws.put(_verify(rest, held, words, percent, seed, checked=True), "edges_2")
     final = components(edges.unionByName(edges_2), ws, "final")
 
     # 3. Components by their least document.
