@@ -120,7 +120,14 @@ def op9_suffix_dedup(spark, sf_dir):
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op1_toxicity": op1_toxicity,
