@@ -9,8 +9,9 @@ documents share fills no block of theirs, so it makes no candidates. A set with
 that this proves nothing also lists its prefix. The boundary between light and heavy is the one with the
 least total of keys over the sizes that occur.
 
-In a list, each class is first compared with the list's least class alone. Lists whose classes are in one
-component by then need nothing more; of the others, all pairs across components are compared that
+In a list, each class is first compared with the list's least class alone, and in lists that still
+hold several components then with a few more members. Lists whose classes are in one component by then
+need nothing more; of the others, all pairs across components are compared that
 neither sizes nor parity sketches rule out (both are exact bounds). So groups of thousands of near copies cost a few comparisons a member, and no link between components is lost.
 Comparisons are exact, on the whole sets.
 
@@ -39,6 +40,8 @@ from lakeloom.llm.wordblocks import trim
 WORDS, PERCENT = 5, 80
 #: Size of the subsets that light sets enumerate.
 SUBSET = 2
+#: Rounds in which the lists still open are compared with one more of their members.
+PIVOTS = 2
 #: Keys that a task gathers before it sends them on, and words whose hash it keeps.
 SEND, CACHED_WORDS = 1 << 20, 300_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -323,17 +326,27 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     edges = ws.put(_verify(pairs, held, words, percent, seed), "edges_1")
     labels = components(edges, ws, "first")
 
-    # 2. Lists that still hold several components: all pairs across them.
-    labelled = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", "leader", F.coalesce("label", "cls").alias("label")).distinct()
-    per = labelled.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = per.groupBy("list").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", "label")).getField("label").alias("main")).where("kinds > 1").select("list", "main")
-    open_ = ws.put(labelled.join(mixed, "list").join(held.select("cls", "n", "sketch"), "cls"), "open")
-    minor = open_.where("label <> main").select("list", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), "leader")
+    # 2. Lists that still hold several components: a few rounds with other pivots, and then all pairs across.
+    def still_open(labels: DataFrame, name: str) -> DataFrame:
+        labelled = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("list", "cls", F.coalesce("label", "cls").alias("label")).distinct()
+        per = labelled.groupBy("list", "label").agg(F.count(F.lit(1)).alias("k"))
+        several = per.groupBy("list").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", "label")).getField("label").alias("main")).where("kinds > 1").select("list", "main")
+        return ws.put(labelled.join(several, "list").join(held.select("cls", "n", "sketch"), "cls"), name)
+
+    for r in range(PIVOTS):
+        open_ = still_open(labels, f"open_{r}")
+        pivot = open_.groupBy("list").agg(F.min(F.struct(F.xxhash64("cls", F.lit(r)), F.col("cls").alias("a"), F.col("label").alias("la"))).alias("p")).select("list", "p.a", "p.la")
+        pairs = open_.join(pivot, "list").where("label <> la").select("a", F.col("cls").alias("b")).distinct()
+        more = ws.put(_verify(pairs, held, words, percent, seed), f"edges_pivot_{r}")
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), ws, f"pivot_{r}")
+    open_ = still_open(labels, "open")
+    minor = open_.where("label <> main").select("list", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), "main")
     other = open_.select("list", F.col("cls").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
-    cross = minor.join(other, "list").where((F.col("lx") != F.col("ly")) & _possible("sx", "sy", "nx", "ny", percent) & (F.col("x") != F.col("leader")) & (F.col("y") != F.col("leader")))
+    # A pair of two minor components is found from both sides: it is kept from one.
+    cross = minor.join(other, "list").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & _possible("sx", "sy", "nx", "ny", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     edges_2 = ws.put(_verify(rest, held, words, percent, seed, checked=True), "edges_2")
-    final = components(edges.unionByName(edges_2), ws, "final")
+    final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(edges_2), ws, "final")
 
     # 3. Components by their least document.
     named = classes.select("cls", "copies", "least").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
