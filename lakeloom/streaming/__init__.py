@@ -1 +1,29 @@
-"""Part of lakeloom; see README.md."""
+"""Structured Streaming: watch folders and latest job states."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lakeloom.sources.archive import WatchSource
+
+
+def watch(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Stream of (path, deleted) rescan hints below the roots."""
+    spark.dataSource.register(WatchSource)
+    return spark.readStream.format("lakeloom_watch").option("roots", json.dumps(roots)).load()
+
+
+def on_hints(hints: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
+    """Runs handle(batch, id) for each micro-batch of hints."""
+    writer = hints.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Events by window and type; works on streams (with a watermark) and on tables."""
+    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    return rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("starts"), "event_type", "n")
