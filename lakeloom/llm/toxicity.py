@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lakeloom.llm.common import Workspace, documents
 
 #: Labelled rows of each class that are learnt from at most, drawn by a hash of the id.
-CLASS_ROWS = 8000
+CLASS_ROWS = 4000
 #: Bytes of the longest n-gram of the spelling model; discount of words and of spellings.
 ORDER, DISCOUNT, SPELLING_DISCOUNT = 5, 0.75, 0.75
 #: Words of the stretches that are compared besides the whole text.
