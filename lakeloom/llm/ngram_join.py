@@ -352,5 +352,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     named = classes.select("cls", "copies", "least").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     index = ws.put(named.join(names, "label").select("cls", "copies", "component_id"), "index")
+    for done in ("sets/kind=text", "lists", "texts", "open", "edges_1", "edges_2", *(f"edges_pivot_{r}" for r in range(PIVOTS)), *(f"open_{r}" for r in range(PIVOTS))):
+        ws.drop(done)  # the result needs the index and the members alone
     found = join_hot(members, index, ["cls"], "copies", int(total or 0))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")

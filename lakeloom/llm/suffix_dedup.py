@@ -270,7 +270,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         trim()
 
     anchors = coded.where("kind = 'anchors'").select("batch", "part", "body")
-    hits = anchors.repartitionById(parts, F.col("part")).mapInArrow(several, _ROWS).select("batch", "body")
+    hits = anchors.repartitionById(parts, F.col("part")).mapInArrow(several, _ROWS).select(F.col("batch").alias("hit_batch"), F.col("body").alias("hit"))
 
     # 3. Within a batch: sort what stands around these anchors; first occurrences go on.
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -279,7 +279,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         batch = left.column("batch")[0].as_py()
         ids, known, sizes, raw, ends = _read(left.column("body")[0].as_py())
         first, count, anchor, h = anchor_runs(raw, ends, length)
-        at = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in right.column("body").to_pylist()])).astype(np.int64)
+        at = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in right.column("hit").to_pylist()])).astype(np.int64)
         first, count, anchor, h = first[at], count[at], anchor[at], h[at]
         doc = np.searchsorted(ends, first, side="right")
         begin = ends[doc] - sizes[doc]
@@ -302,7 +302,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         trim()
         return out
 
-    found = ws.put(payload.groupby("batch").cogroup(hits.groupby("batch")).applyInArrow(local, _ROWS), "found", "kind")
+    found = ws.put(payload.groupby("batch").cogroup(hits.groupby("hit_batch")).applyInArrow(local, _ROWS), "found", "kind")
 
     # 4. Across batches, in the task that owns the part of the hash space.
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,13 +333,13 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
 
     contexts = found.where("kind = 'context'").select("batch", "part", "body")
     covers = contexts.repartitionById(parts, F.col("part")).mapInArrow(across, _ROWS).select("batch", "body")
-    covers = covers.unionByName(found.where("kind = 'cover'").select("batch", "body"))
+    covers = covers.unionByName(found.where("kind = 'cover'").select("batch", "body")).select(F.col("batch").alias("cover_batch"), F.col("body").alias("cover"))
 
     # 5. Cover and cut.
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, known, sizes, raw, ends = _read(left.column("body")[0].as_py())
         edge = np.zeros(len(raw) + 1, np.int32)
-        for body in right.column("body").to_pylist():
+        for body in right.column("cover").to_pylist():
             first, n = (np.frombuffer(x, np.uint32).astype(np.int64) for x in unpack(body))
             np.add.at(edge, first, 1)
             np.add.at(edge, first + n - 1 + length, -1)
@@ -361,4 +361,4 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         return out
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"
-    return payload.groupby("batch").cogroup(covers.groupby("batch")).applyInArrow(cut, schema)
+    return payload.groupby("batch").cogroup(covers.groupby("cover_batch")).applyInArrow(cut, schema)

@@ -175,8 +175,8 @@ def reassemble(coded: DataFrame, answers: DataFrame, finish: Callable[[list, lis
     """finish([ids, known, flags, sizes, codes], bodies in order of part) makes the rows of one batch."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("part").to_numpy(), kind="stable")
-        bodies = right.column("body").to_pylist()
+        order = np.argsort(right.column("answer_part").to_numpy(), kind="stable")
+        bodies = right.column("answer").to_pylist()
         ids, known, flags, sizes, codes = unpack(left.column("body")[0].as_py())
         doc = [np.frombuffer(ids, np.int64), np.frombuffer(known, np.uint8), np.frombuffer(flags, np.uint8), np.frombuffer(sizes, np.uint32), np.frombuffer(codes, np.uint32)]
         out = finish(doc, [bodies[i] for i in order.tolist()])
@@ -184,7 +184,9 @@ def reassemble(coded: DataFrame, answers: DataFrame, finish: Callable[[list, lis
         return out
 
     payload = coded.where(F.col("kind") == "payload").select("batch", "body")
-    return payload.groupby("batch").cogroup(answers.groupby("batch")).applyInArrow(run, schema)
+    # New names: both sides may stem from one table, and a cogroup must not confuse their columns.
+    renamed = answers.select(F.col("batch").alias("answer_batch"), F.col("part").alias("answer_part"), F.col("body").alias("answer"))
+    return payload.groupby("batch").cogroup(renamed.groupby("answer_batch")).applyInArrow(run, schema)
 
 
 def id_column(doc: list) -> pa.Array:
