@@ -52,13 +52,13 @@ def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def asset_uuid(archive: Column, path: Column) -> Column:
-    """Deterministic asset id of a path in an archive."""
-    return uuid5(F.concat(F.lit("tptmai:"), archive, F.lit(":"), path))
+def asset_uuid(archive: Column, path: Column, prefix: str = "asset") -> Column:
+    """Deterministic asset id of a path in an archive; another system's ids come out with its prefix."""
+    return uuid5(F.concat(F.lit(f"{prefix}:"), archive, F.lit(":"), path))
 
 
-def asset_uuid_from_parts(path_hash: Column, mtime_ms: Column, size: Column) -> Column:
-    return uuid5(F.concat_ws(":", F.lit("tpt-av-asset"), path_hash.cast("string"), mtime_ms.cast("string"), size.cast("string")))
+def asset_uuid_from_parts(path_hash: Column, mtime_ms: Column, size: Column, prefix: str = "file") -> Column:
+    return uuid5(F.concat_ws(":", F.lit(prefix), path_hash.cast("string"), mtime_ms.cast("string"), size.cast("string")))
 
 
 def sort_key(path: Column) -> Column:
