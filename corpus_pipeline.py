@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), with docs what the stage before kept, and returns a DataFrame;
 all but the last return the columns of documents.
+
+Defined results: other columns are not read; an empty table gives an empty one; a null id is an id of its
+own, and rows of one id are kept or dropped together where one of them is kept; null and empty texts
+are equal and linked with nothing; rows alike in id and text stay together until their passages are cut.
 """
 
 from __future__ import annotations
@@ -47,18 +51,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also start earlier are cut out of the texts; a character that a cut splits goes whole.
 
-    Documents of which nothing is left go. n_chars is counted anew.
+    Documents of which a cut leaves nothing go; null and empty texts stay as they are. n_chars is counted anew.
+    A text with a split character loses its replacement characters (U+FFFD) too.
     """
-    ws = Workspace(spark, "pipeline")
-    cut = suffix_dedup.deduplicate(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept")
-    text = F.try_validate_utf8(F.col("kept").cast("string"))
+    marked = docs.select(*COLUMNS, F.col("text").isNull().alias("no_text"))
+    cut = suffix_dedup.deduplicate(marked, carry=("lang", "source", "no_text"))
+    raw = F.col("kept").cast("string")
     # A cut inside a character leaves bytes that are no UTF-8: these are dropped, by way of UTF-16's replacement.
-    mended = F.coalesce(text, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit("")))
-    changed = ws.put(cut.select("_id", mended.alias("_text")), "changed")
-    joined = docs.join(changed, docs["doc_id"].eqNullSafe(changed["_id"]), "left")
-    new = joined.withColumn("text", F.when(F.col("_text").isNotNull(), F.col("_text")).otherwise(F.col("text")))
-    new = new.where("_text is null or length(_text) > 0").withColumn("n_chars", F.length("text").cast("long"))
-    return _columns(new)
+    mended = F.when(F.col("n_removed") == 0, raw).otherwise(F.coalesce(F.try_validate_utf8(raw), F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))))
+    texts = cut.select("doc_id", "n_removed", "carried.*", F.when(~F.col("carried.no_text"), mended).alias("text"))
+    left = texts.where("n_removed = 0 or length(text) > 0")
+    return _columns(left.withColumn("n_chars", F.length("text").cast("long")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ batch's first occurrences travel: a passage that a third of all documents hold i
 Defined results: matches never cross documents; rows count as different documents, in order of doc_id
 (null ids last), rows of one id in an order that is fixed once; a null or empty text has no bytes and is
 returned; texts shorter than a window keep all bytes; an empty table gives an empty result; other
-columns are not read.
+columns are read only where `carry` names them.
 """
 
 from __future__ import annotations
@@ -204,14 +204,17 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _read(body: bytes) -> tuple:
-    ids, known, sizes, text = unpack(body)
+    ids, known, sizes, text = unpack(body)[:4]
     raw = np.concatenate([np.frombuffer(text, np.uint8), np.zeros(8, np.uint8)])
     sizes = np.frombuffer(sizes, np.uint32).astype(np.int64)
     return np.frombuffer(ids, np.int64), np.frombuffer(known, np.uint8), sizes, raw, np.cumsum(sizes)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), starts and ends of removed runs."""
+def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), starts and ends of removed runs.
+
+    The columns that carry names travel with their row, so that rows of one id need no join; they stand in the struct `carried`.
+    """
     if not GRAM <= length <= GRAM + 127:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 127}")
     spark = docs.sparkSession
@@ -221,11 +224,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     # 1. Batches of whole documents, and the hashes of their anchors by part of the hash space.
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seq = TaskContext.get().partitionId() << 24, 0
-        ids, texts, size = [], [], 0
+        ids, texts, extra, size = [], [], [], 0
 
         def out() -> pa.RecordBatch:
             sizes = np.fromiter(map(len, texts), np.uint32, len(texts))
-            body = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), sizes, b"".join(texts))
+            body = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), sizes, b"".join(texts), np.fromiter(map(len, extra), np.uint32, len(extra)), b"".join(extra))
             raw = np.concatenate([np.frombuffer(b"".join(texts), np.uint8), np.zeros(8, np.uint8)])
             _, _, _, h = anchor_runs(raw, np.cumsum(sizes, dtype=np.int64), length)
             part = (h % np.uint64(parts)).astype(np.int64)
@@ -238,20 +241,22 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             return _emit(rows)
 
         for rb in batches:
-            for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1)):
+            for doc_id, text, more in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2)):
                 b = text.as_py().encode()
                 ids.append(doc_id)
                 texts.append(b)
-                size += len(b)
+                extra.append(more.as_py().encode())
+                size += len(b) + len(extra[-1])
                 if size >= BATCH_BYTES:
                     yield out()
-                    ids, texts, size, seq = [], [], 0, seq + 1
+                    ids, texts, extra, size, seq = [], [], [], 0, seq + 1
         if ids:
             yield out()
         del texts
         trim()
 
-    coded = ws.bucketed(documents(docs, id_col, text_col).mapInArrow(code, _ROWS), "coded", "batch", parts)
+    carried = F.to_json(F.struct(*carry)) if carry else F.lit("")
+    coded = ws.bucketed(documents(docs, id_col, text_col, carried.alias("carried")).mapInArrow(code, _ROWS), "coded", "batch", parts)
     payload = coded.where("kind = 'payload'").select("batch", "body")
 
     # 2. Anchors whose gram stands twice or more go back to their batch.
@@ -337,13 +342,17 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
 
     # 5. Cover and cut.
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, known, sizes, raw, ends = _read(left.column("body")[0].as_py())
+        body = left.column("body")[0].as_py()
+        ids, known, sizes, raw, ends = _read(body)
+        widths, more = unpack(body)[4:]
+        more, stop = bytes(more), np.cumsum(np.frombuffer(widths, np.uint32), dtype=np.int64).tolist()
         edge = np.zeros(len(raw) + 1, np.int32)
         for body in right.column("cover").to_pylist():
             first, n = (np.frombuffer(x, np.uint32).astype(np.int64) for x in unpack(body))
             np.add.at(edge, first, 1)
             np.add.at(edge, first + n - 1 + length, -1)
         gone = np.cumsum(edge)[: len(raw)] > 0
+        extra = [more[a:b].decode() for a, b in zip([0, *stop], stop)]
         kept, removed, spans, begins, stops = [], [], [], [], []
         for a, b in zip((ends - sizes).tolist(), ends.tolist()):
             g = gone[a:b]
@@ -354,11 +363,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             removed.append(int(g.sum()))
             kept.append(raw[a:b][~g].tobytes())
         out = pa.table(
-            [pa.array(ids, pa.int64(), mask=known == 0), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(begins, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64()))],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "starts", "ends"],
+            [pa.array(ids, pa.int64(), mask=known == 0), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(begins, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(extra, pa.string())],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "starts", "ends", "carried"],
         )
         trim()
         return out
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>"
-    return payload.groupby("batch").cogroup(covers.groupby("cover_batch")).applyInArrow(cut, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>, carried string"
+    out = payload.groupby("batch").cogroup(covers.groupby("cover_batch")).applyInArrow(cut, schema)
+    return out.withColumn("carried", F.from_json("carried", docs.select(*carry).schema)) if carry else out.drop("carried")
