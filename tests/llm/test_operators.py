@@ -332,3 +332,50 @@ def test_pipeline(spark):
             docs = out
     assert out.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, SF).count() == out.count()
+
+
+def _kept_exact(rows):
+    best = {}
+    for i, t in rows:
+        norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        best[norm] = min(best.get(norm, (1, True, 0, None)), (-len(t or ""), i is None, i or 0, i))
+    kept = {b[3] for b in best.values()}
+    return [r for r in rows if r[0] in kept]
+
+
+def _kept_near(rows):
+    kept = {i for i, _, least in _components([(i, t or "") for i, t in rows], 5, 80) if i == least}
+    return [r for r in rows if r[0] in kept]
+
+
+def _kept_passages(rows):
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    cut = [(i, t, gone, kept.decode(errors="ignore")) for (i, t), (_, _, gone, _, kept) in zip(rows, _cut([(i, t or "") for i, t in rows]))]
+    return [(i, new if gone else t) for i, t, gone, new in cut if new or not gone]
+
+
+@pytest.mark.parametrize("odd", [True, False])
+def test_pipeline_stages_against_loops(spark, docs, odd):
+    import corpus_pipeline
+
+    now = docs if odd else spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for name, plain in (("exact_dedup", _kept_exact), ("ngram_join", _kept_near), ("suffix_dedup", _kept_passages)):
+        rows = [(r["doc_id"], r["text"]) for r in now.select("doc_id", "text").collect()]
+        out = stages[name](spark, now, SF).persist()
+        assert out.columns == corpus_pipeline.COLUMNS
+        assert _rows(out, "doc_id", "text") == sorted(plain(rows), key=repr)
+        if not odd:  # each stage works on what the one before kept
+            now = out
+    other = {(r["doc_id"], r["lang"], r["source"]) for r in now.select("doc_id", "lang", "source").collect()}
+    assert {(r["doc_id"], r["lang"], r["source"]) for r in out.select("doc_id", "lang", "source").collect()} <= other
+    assert out.where("n_chars <> length(text)").count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, docs, empty):
+    import corpus_pipeline
+
+    for table in (docs, empty):
+        for _, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, SF)
+            assert (out.count() == 0) == (table is empty)
