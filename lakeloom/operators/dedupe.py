@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Detection layers in order and the kind of match each makes; fixed values.
 LAYERS = {"exact": "exact-hash", "perceptual": "perceptual-near-duplicate", "audio": "audio-fingerprint"}
@@ -96,13 +97,26 @@ def hamming_pairs(hashes: DataFrame, k: int, id_col: str = "id", hash_col: str =
     return met.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage in the session's checkpoint folder; a folder of our own only where a local session names none."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
+    return df.checkpoint()
+
+
 def leader_groups(hashes: DataFrame, k: int, id_col: str = "id", hash_col: str = "hash", rounds: int = 1000) -> DataFrame:
     """(leader, member) of greedy leader clustering in order of id, groups of two or more.
 
     A row is a leader when no earlier leader is within k; every other row joins its first such leader.
     Decided in rounds: a row whose earlier neighbours are all decided is decided too.
     """
-    pairs = hamming_pairs(hashes, k, id_col, hash_col).select("a", "b").persist()
+    rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).where("h is not null")
+    # Rows of one hash fare alike, so each hash is decided once, by its first row: copies make no pairs.
+    kinds = rows.groupBy("h").agg(F.min("id").alias("first_id"))
+    pairs = checkpointed(hamming_pairs(kinds, k, "first_id", "h").select("a", "b"))
     state = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("lead", F.lit(None).cast("long"))
     for _ in range(rounds):
         seen = pairs.join(state.select(F.col("id").alias("a"), F.col("lead").alias("la")), "a")
@@ -110,11 +124,15 @@ def leader_groups(hashes: DataFrame, k: int, id_col: str = "id", hash_col: str =
         new = state.join(near, "id", "left")
         # The first leader counts once nothing undecided stands before it.
         lead = F.when(F.col("lead").isNotNull(), F.col("lead")).when(F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("first") < F.col("open"))), F.col("first")).when(F.col("open").isNull() & F.col("first").isNull(), F.col("id"))
-        state = new.select("id", lead.alias("lead")).persist()
-        if not state.where("lead is null").limit(1).count():
+        state = checkpointed(new.select("id", lead.alias("lead")))
+        if state.where("lead is null").isEmpty():
             break
-    grouped = state.select(F.col("lead").alias("leader"), F.col("id").alias("member"))
-    return grouped.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("leader"))).where("n > 1").select("leader", "member")
+    else:
+        raise RuntimeError("leaders did not settle")
+    decided = kinds.join(state, kinds["first_id"] == state["id"], "left").select("h", F.coalesce("lead", "first_id").alias("leader"))
+    grouped = rows.join(decided, "h").select("leader", F.col("id").alias("member"))
+    several = grouped.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leader")
+    return grouped.join(several, "leader", "left_semi")
 
 
 def euclid(a: Column, b: Column) -> Column:
