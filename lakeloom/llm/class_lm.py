@@ -1,15 +1,24 @@
 """Language-model scoring by Brown class-based n-grams.
 
-Counts come from all training documents. Each word has one class: frequent words and word endings are
-the types that the exchange algorithm clusters, moving one type at a time to the class that raises the
-likelihood of the class bigrams most, until nothing moves; a rare word goes where its ending goes. Then
+Counts come from all training documents, and each of their words gets a class by exchange:
+
+1. A start: the most frequent words, and the most frequent endings of all others, are types that the
+   driver clusters, moving one at a time to the class that raises the likelihood of the class bigrams most.
+2. Rounds over the whole vocabulary: how often each word stands before and after each class is counted
+   over all training documents and summed by part of the word space; there each word goes to the class
+   that raises the likelihood most, against the table of class bigrams, which alone reaches all tasks.
+   The words that the start moved one at a time, each a type of its own, stay where they are. The others
+   move at once, so a round that lowers the likelihood is undone and ends the rounds.
+
+Words that only held-out texts hold keep the class of their ending, as context of what follows. Then
 
     p(w | v) = (1 - u) * p(class of w | class of v) * p(w | class of w)    for words seen in training
     p(w | v) = u                                                           for the one unseen type
 
 with u the Good-Turing mass n1 / N, emissions count(w) / count(class), and class transitions smoothed
 towards the class distribution by Witten-Bell weights. Word counts are a shuffle over all words of the
-corpus (see wordblocks); only the bigrams of the fixed number of types reach the driver.
+corpus (see wordblocks), and so are the counts of words and classes; only the bigrams of the starting
+types and of the classes reach the driver.
 
 Defined results: a null or empty text is the end token alone; without training words everything is
 unseen and both scores are 0 per token; ids may repeat or be null (a null id is not held out); an empty
@@ -30,9 +39,11 @@ from lakeloom.llm.common import Workspace, documents
 
 #: The end token; no word is empty.
 END = b""
-#: Types that the exchange clusters: the most frequent words and the most frequent endings of the others.
+#: Types that the start clusters: the most frequent words and the most frequent endings of the others.
 FREQUENT_WORDS, ENDINGS, ENDING_BYTES = 768, 255, 3
 CLASSES, ROUNDS = 64, 8
+#: Rounds over the whole vocabulary at most; entries whose gains are computed at once.
+ASSIGN_ROUNDS, ENTRIES = 3, 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -86,6 +97,56 @@ def exchange(bigrams: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     return cls
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What exchange raises: the log-likelihood of class bigrams, but for the part that no class changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def assign(word: np.ndarray, cell: np.ndarray, n: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class of each word against the table of class bigrams, which holds the word in its own class.
+
+    Entries are sorted by word and cell: cell c counts the word before class c, cell k + c after class c.
+    A word without entries stays. The gain leaves out what a word's leaving changes in the rows of others.
+    """
+    k = len(table)
+    best = own.copy()
+    if not len(word):
+        return best
+    cells = np.concatenate([table, table.T], 1)  # [class of the word, cell]
+    flat = _xlogx(cells)
+    sums = (table.sum(1), table.sum(0))
+    edges = np.searchsorted(word, np.arange(len(own) + 1))
+    lo = 0
+    while lo < len(own):
+        hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + ENTRIES, "right")) - 1)
+        at = slice(edges[lo], edges[hi])
+        w, c, x = word[at], cell[at], n[at].astype(np.float64)
+        if len(w):
+            pairs, back = np.unique(x * (2 * k) + c, return_inverse=True)
+            pc, px = (pairs % (2 * k)).astype(np.int64), pairs // (2 * k)
+            gains = (_xlogx(cells[:, pc] + px) - flat[:, pc]).T  # [pair, class]
+            heads = np.flatnonzero(np.diff(w, prepend=-1))
+            who = w[heads]
+            total = np.add.reduceat(gains[back], heads)
+            o = own[w]
+            here = np.add.reduceat(flat[o, c] - _xlogx(np.maximum(cells[o, c] - x, 0)), heads)
+            a = own[who]
+            for side, size in enumerate(sums):
+                r = np.add.reduceat(np.where((c >= k) == side, x, 0), heads)
+                total -= _xlogx(size[None, :] + r[:, None]) - _xlogx(size)[None, :]
+                here -= _xlogx(size[a]) - _xlogx(np.maximum(size[a] - r, 0))
+            rows = np.arange(len(who))
+            total[rows, a] = here
+            b = total.argmax(1)
+            best[who] = np.where(total[rows, b] > here + 1e-9, b, a)
+        lo = hi
+    return best
+
+
 def _typer(frequent: list[bytes], endings: list[bytes]):
     """Type of a word: itself, its ending, or the one type for all others (the last)."""
     by_word = {w: i for i, w in enumerate(frequent)}
@@ -112,8 +173,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             for w, n in zip(words, np.frombuffer(counts, np.uint32).tolist()):
                 total[w] = total.get(w, 0) + n
         get = total.__getitem__
+        index = {w: i for i, w in enumerate(total)}.__getitem__  # numbers of the part's words, for the rounds
         for batch, part, words in lists:
-            yield batch, part, wordblocks.pack(np.fromiter(map(get, words), np.uint64, len(words))), b"", 0, 0, 0
+            head = np.array([batch, part], np.int64)
+            yield batch, part, wordblocks.pack(np.fromiter(map(get, words), np.uint64, len(words)), np.fromiter(map(index, words), np.uint32, len(words)), head), b"", 0, 0, 0
         yield -1, 0, b"", b"", sum(total.values()), sum(n > 0 for n in total.values()), sum(n == 1 for n in total.values())
         for w in sorted(total, key=lambda w: (-total[w], w))[:FREQUENT_WORDS]:
             yield -2, 0, b"", w, total[w], 0, 0
@@ -126,9 +189,17 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     counted = ws.put(wordblocks.resolve(coded, parts, answer, "batch long, part int, body binary, word binary, n long, distinct long, once long"), "counts")
     totals = counted.where("batch = -1").agg(F.sum("n"), F.sum("distinct"), F.sum("once")).first()
     n_all, n_distinct, n_once = (int(x or 0) for x in totals)
-    top = lambda batch, k: [bytes(r["word"]) for r in counted.where((F.col("batch") == batch) & (F.col("n") > 0)).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(k).collect()]
-    frequent, endings = top(-2, FREQUENT_WORDS), top(-3, ENDINGS)
-    if END not in frequent:
+    top = lambda batch, k: [(bytes(r["word"]), r["n"]) for r in counted.where((F.col("batch") == batch) & (F.col("n") > 0)).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(k).collect()]
+    frequent = top(-2, FREQUENT_WORDS)
+    own_types = {w for w, _ in frequent}
+    ends = dict(top(-3, ENDINGS + len(frequent)))  # endings rank by the words that go by them: the frequent ones do not
+    for w, n in frequent:
+        if w[-ENDING_BYTES:] in ends:
+            ends[w[-ENDING_BYTES:]] -= n
+    endings = sorted((e for e, n in ends.items() if n > 0), key=lambda e: (-ends[e], e))[:ENDINGS]
+    least = frequent[-1][1] if frequent else 0  # words with more occurrences are all types of their own
+    frequent = [w for w, _ in frequent]
+    if END not in own_types:
         frequent.append(END)
     types = len(frequent) + len(endings) + 1
     answers = counted.where("batch >= 0").select("batch", "part", "body")
@@ -151,12 +222,105 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     table[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     table = table.reshape(types, types)
 
-    # 3. Classes, transitions and emissions.
+    # 3. Classes: those of the types at first, then rounds over all words.
     cls = exchange(table, classes, ROUNDS)
     k = int(cls.max()) + 1
     one = np.zeros((types, k))
     one[np.arange(types), cls] = 1
     moves = one.T @ table @ one
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        typed = _typer(frequent, endings)
+        for rb in batches:
+            bodies = [wordblocks.pack(cls[np.fromiter(map(typed, wordblocks.unpack_words(b.as_py())[0]), np.int64)].astype(np.uint16)) for b in rb.column(2)]
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(bodies, pa.binary())], names=["batch", "part", "body"])
+
+    grouped = ws.put(words.mapInArrow(start, wordblocks.ANSWER), "classes0")
+
+    def look_up(grouped: DataFrame) -> DataFrame:
+        """Counts and classes of each batch's words: two answers for each part, in that order."""
+        return answers.unionByName(grouped.select("batch", (F.col("part") + parts).alias("part"), "body"))
+
+    def neighbours(doc: list, bodies: list[bytes], detail: bool) -> pa.Table:
+        """Class bigrams of a batch (batch -1) and, by part, what classes stand beside each word."""
+        half = len(bodies) // 2
+        _, _, flags, sizes, codes = doc
+        group = np.concatenate([np.frombuffer(wordblocks.unpack(b)[0], np.uint16) for b in bodies[half:]]).astype(np.int64)
+        codes = codes.astype(np.int64)
+        previous = np.concatenate([codes[-1:], codes[:-1]])
+        train = np.repeat(flags, sizes) == 1
+        previous, codes = previous[train], codes[train]
+        n = np.bincount(group[previous] * k + group[codes], minlength=1)
+        at = np.flatnonzero(n)
+        rows = [(-1, -1, b"", int(p), int(n[p])) for p in at]
+        if detail:
+            keys, count = np.unique(np.concatenate([previous * (2 * k) + group[codes], codes * (2 * k) + k + group[previous]]), return_counts=True)
+            word, cell = np.divmod(keys, 2 * k)
+            low = 0
+            for answer, own in zip(bodies[:half], bodies[half:]):
+                _, index, head = wordblocks.unpack(answer)
+                high = low + len(index) // 4
+                a, b = np.searchsorted(word, [low, high])
+                each = np.bincount(word[a:b] - low, minlength=high - low).astype(np.uint16)  # 2 k at most
+                batch, part = np.frombuffer(head, np.int64).tolist()
+                rows.append((batch, part, wordblocks.pack(index, each, cell[a:b].astype(np.uint16), count[a:b].astype(np.uint32), wordblocks.unpack(own)[0]), 0, 0))
+                low = high
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["batch", "part", "body", "pair", "n"])
+
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+    def count_classes(grouped: DataFrame, r: int, detail: bool) -> tuple[DataFrame, np.ndarray]:
+        """Counts of words and classes by block, and the class bigrams, both under the classes of `grouped`."""
+        run = lambda doc, bodies: neighbours(doc, bodies, detail)
+        found = ws.put(wordblocks.reassemble(coded, look_up(grouped), run, "batch long, part int, body binary, pair long, n long"), f"beside{r}")
+        pairs = found.where("batch = -1").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        table = np.zeros(k * k)
+        table[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+        return found.where("batch >= 0").select("batch", "part", "body", F.lit("words").alias("kind")), table.reshape(k, k)
+
+    def regroup(table: np.ndarray):
+        def answer(blocks: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
+            keys, counts, own, lists = [], [], {}, []
+            for batch, part, body in blocks:
+                index, each, cell, count, group = (np.frombuffer(x, t) for x, t in zip(wordblocks.unpack(body), (np.uint32, np.uint16, np.uint16, np.uint32, np.uint16)))
+                keys.append(np.repeat(index, each).astype(np.int64) * (2 * k) + cell)
+                counts.append(count)
+                lists.append((batch, part, index, group))
+            if not lists:
+                return
+            key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+            del keys, counts
+            own = np.zeros(max((int(i.max()) + 1 for _, _, i, _ in lists if len(i)), default=0), np.int64)
+            for _, _, index, group in lists:
+                own[index] = group
+            order = np.argsort(key, kind="stable")
+            key, count = key[order], count[order]
+            heads = np.flatnonzero(np.diff(key, prepend=-1))
+            if len(heads):
+                key, count = key[heads], np.add.reduceat(count, heads)
+            word, cell = key // (2 * k), key % (2 * k)
+            rare = (np.bincount(word, np.where(cell < k, count, 0), len(own)) <= least)[word]
+            best = assign(word[rare], cell[rare], count[rare], own, table).astype(np.uint16)
+            for batch, part, index, _ in lists:
+                yield batch, part, wordblocks.pack(best[index])
+
+        return answer
+
+    before = None
+    for r in range(ASSIGN_ROUNDS + 1 if n_all else 0):
+        beside, now = count_classes(grouped, r, r < ASSIGN_ROUNDS)
+        if before is not None and likelihood(now) < likelihood(before[1]):
+            grouped, moves = before
+            break
+        moves = now
+        if before is not None and r < ASSIGN_ROUNDS and (moves == before[1]).all():
+            break
+        if r < ASSIGN_ROUNDS:
+            before = grouped, moves
+            grouped = ws.put(wordblocks.resolve(beside, parts, regroup(moves)), f"classes{r + 1}")
+            ws.drop(f"beside{r}")
+
+    # 4. Transitions and emissions.
     size = moves.sum(0)
     prior = (size + 1e-9) / (size.sum() + 1e-9 * k)
     spread = (moves > 0).sum(1) + 1.0
@@ -167,16 +331,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     log_unseen, log_seen = np.log10(unseen), np.log10(max(1 - unseen, 1e-12))
     base_total = n_all + 0.1 * (n_distinct + 1)
 
-    # 4. Scores.
+    # 5. Scores.
     def finish(doc: list, bodies: list[bytes]) -> pa.Table:
-        half = len(bodies) // 2  # two answers for each part: words and counts, in that order
-        typed = _typer(frequent, endings)
+        half = len(bodies) // 2
         ids, known, flags, sizes, codes = doc
-        counts = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(wordblocks.unpack(b)[0], np.uint64) for b in bodies[half:])]).astype(np.float64)
-        group = cls[np.array([typed(w) for b in bodies[:half] for w in wordblocks.unpack_words(b)[0]], np.int64)]
+        counts = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(wordblocks.unpack(b)[0], np.uint64) for b in bodies[:half])]).astype(np.float64)
+        group = np.concatenate([np.frombuffer(wordblocks.unpack(b)[0], np.uint16) for b in bodies[half:]]).astype(np.int64)
         emit = np.log10(np.maximum(counts, 1)) - log_size[group]
         c, g, e = counts[codes], group[codes], emit[codes]
-        before = np.concatenate([[cls[end_type]], g[:-1]])
+        before = np.concatenate([g[-1:], g[:-1]])
         each = np.where(c > 0, log_seen + log_transition[before, g] + e, log_unseen)
         base = np.log10((c + 0.1) / base_total)
         starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)[:-1]])
@@ -189,5 +352,4 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
         )
 
-    both = words.select("batch", "part", "body").unionByName(answers.select("batch", (F.col("part") + parts).alias("part"), "body"))
-    return wordblocks.reassemble(coded, both, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return wordblocks.reassemble(coded, look_up(grouped), finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -248,6 +248,20 @@ def test_class_lm_beats_unigrams_on_held_out_texts(spark):
     assert model > base
 
 
+def test_class_lm_clusters_words_beyond_the_frequent_ones(spark):
+    rng, n = np.random.default_rng(3), 3000
+    name = [f"w{i:04}zzz" for i in range(n)]  # one ending, one frequency; even and odd words take turns
+    rows = []
+    for _ in range(12):
+        words = np.stack([rng.permutation(np.arange(0, n, 2)), rng.permutation(np.arange(1, n, 2))], 1).ravel()
+        rows += [(len(rows) + k, " ".join(name[i] for i in w)) for k, w in enumerate(words.reshape(-1, 60))]
+    turns, apart = [x for i in range(2000, 2060, 2) for x in (i, i + 901)], [*range(2000, 2060, 2), *range(2901, 2961, 2)]
+    rows += [(-1, " ".join(name[i] for i in turns)), (-2, " ".join(name[i] for i in apart))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in class_lm.score(docs, F.col("doc_id") < 0, classes=8).where("held_out").collect()}
+    assert got[-1] > got[-2] + 15  # the same words, in and out of turn
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     group = rng.integers(0, 3, 30)
