@@ -8,6 +8,9 @@ it speaks for neither. What is compared is the log-likelihood per word, of the w
 most suspicious stretches; a logistic curve, fitted on labelled texts kept apart from the counts, makes
 it a score.
 
+All bytes of a word count: a long one, as in text without spaces, is a run of pieces of at most PIECE bytes,
+each a unit of evidence like a word and spelt with the ORDER - 1 bytes before it as context.
+
 Models are fitted on a bounded sample of labelled rows, so what tasks receive is bounded too.
 
 Defined results: a null or empty text has no evidence and gets the score of neutral evidence; without
@@ -36,6 +39,8 @@ STRETCHES = (4, 16)
 CALIBRATION = 4
 #: Words a task keeps scored; beyond them it starts anew.
 CACHED_WORDS = 200_000
+#: Bytes of the pieces of long words; units whose spelling is computed at once.
+PIECE, SPELT_UNITS = 64, 1 << 14
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STRIP = b".,;:!?\"'()[]{}*_-#$%&|<>"
 
@@ -45,18 +50,39 @@ def words_of(text: str) -> list[bytes]:
     return [s for w in text.encode().translate(_LOWER).split() if (s := w.strip(_STRIP))]
 
 
-def _grams(words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Word of each byte (ends included) and, by order, the packed gram that ends there, or -1."""
-    spelt = b"".join(b"\x01" + w[:64] + b"\x02" for w in words)
-    b = np.frombuffer(spelt, np.uint8).astype(np.int64)
-    sizes = np.fromiter((min(len(w), 64) + 2 for w in words), np.int64, len(words))
+def units(text: str) -> list[bytes]:
+    """Words, and pieces of long words. A piece is its context, a space if it starts inside the word, its bytes, a space if the word goes on."""
+    out = []
+    for w in words_of(text):
+        if len(w) <= PIECE:
+            out.append(w)
+            continue
+        for at in range(0, len(w), PIECE):
+            head = w[at - ORDER + 1 : at] + b" " if at else b""
+            out.append(head + w[at : at + PIECE] + (b" " if at + PIECE < len(w) else b""))
+    return out
+
+
+def _spell(unit: bytes) -> tuple[bytes, int]:
+    """Bytes of a unit between the marks of a word's start and end, and how many of them are context."""
+    head, inside = b"\x01", unit[ORDER - 1 : ORDER] == b" "
+    if inside:
+        head, unit = unit[: ORDER - 1], unit[ORDER:]
+    return head + (unit[:-1] if unit.endswith(b" ") else unit + b"\x02"), len(head)
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Unit of each byte (ends included), whether it is more than context and, by order, the packed gram that ends there, or -1."""
+    spelt, heads = zip(*map(_spell, words)) if words else ((), ())
+    b = np.frombuffer(b"".join(spelt), np.uint8).astype(np.int64)
+    sizes = np.fromiter(map(len, spelt), np.int64, len(words))
     word = np.repeat(np.arange(len(words)), sizes)
     inside = np.arange(len(b)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     grams, packed = [b], b
     for k in range(1, ORDER):
         packed = packed + (np.concatenate([np.zeros(k, np.int64), b[:-k]])[: len(b)] << (8 * k))
         grams.append(np.where(inside >= k, packed, -1))
-    return word, inside, grams
+    return word, inside >= np.repeat(np.array(heads, np.int64), sizes), grams
 
 
 class SpellingModel:
@@ -64,16 +90,22 @@ class SpellingModel:
 
     def __init__(self, words: list[bytes], counts: np.ndarray) -> None:
         present = counts > 0  # distinct words of a class
-        word, inside, grams = _grams(words)
-        real = inside > 0
-        pooled = np.bincount(grams[0][real], minlength=256) + 1.0
+        pooled, found = np.ones(256), [[] for _ in range(ORDER)]
+        for lo in range(0, len(words), SPELT_UNITS):
+            word, real, grams = _grams(words[lo : lo + SPELT_UNITS])
+            pooled += np.bincount(grams[0][real], minlength=256)
+            here = present[lo : lo + SPELT_UNITS]
+            for k in range(1, ORDER):
+                ok = (grams[k] >= 0) & real
+                keys, where = np.unique(grams[k][ok], return_inverse=True)
+                found[k].append((keys, np.stack([np.bincount(where, here[word[ok], c], len(keys)) for c in (0, 1)], 1)))
         self.unigram = pooled / pooled.sum()
         self.levels = []
         for k in range(1, ORDER):
-            g = grams[k]
-            ok = (g >= 0) & real
-            keys, where = np.unique(g[ok], return_inverse=True)
-            n = np.stack([np.bincount(where, present[word[ok], c], len(keys)) for c in (0, 1)], 1)
+            keys, where = np.unique(np.concatenate([f[0] for f in found[k]]), return_inverse=True)
+            counts_found = np.concatenate([f[1] for f in found[k]])
+            n = np.stack([np.bincount(where, counts_found[:, c], len(keys)) for c in (0, 1)], 1)
+            found[k] = []
             context = keys >> 8
             ctx, back = np.unique(context, return_inverse=True)
             total = np.stack([np.bincount(back, n[:, c], len(ctx)) for c in (0, 1)], 1)
@@ -82,11 +114,15 @@ class SpellingModel:
             self.levels.append((keys[often], n[often].astype(np.float32), ctx, total.astype(np.float32), kinds.astype(np.float32)))
 
     def log(self, words: list[bytes]) -> np.ndarray:
-        """Log-probability of each word's spelling in both classes."""
-        word, inside, grams = _grams(words)
+        """Log-probability of each unit's spelling in both classes."""
+        parts = [self._log(words[lo : lo + SPELT_UNITS]) for lo in range(0, len(words), SPELT_UNITS)]
+        return np.concatenate(parts) if parts else np.zeros((0, 2))
+
+    def _log(self, words: list[bytes]) -> np.ndarray:
+        word, real, grams = _grams(words)
         p = np.repeat(self.unigram[grams[0]][:, None], 2, 1)
         for k, (keys, n, ctx, total, kinds) in enumerate(self.levels, 1):
-            at = np.flatnonzero((grams[k] >= 0) & (inside > 0))
+            at = np.flatnonzero((grams[k] >= 0) & real)
             g = grams[k][at]
             c = g >> 8
             i = np.minimum(np.searchsorted(ctx, c), len(ctx) - 1)
@@ -103,7 +139,7 @@ class SpellingModel:
                 q = (np.maximum(count - SPELLING_DISCOUNT, 0) + SPELLING_DISCOUNT * kinds[i] * p[at]) / t
             p[at] = np.where(t > 0, q, p[at])
         out = np.log(np.maximum(p, 1e-30))
-        out[inside == 0] = 0
+        out[~real] = 0
         return np.stack([np.bincount(word, out[:, c], len(words)) for c in (0, 1)], 1)
 
 
@@ -121,10 +157,10 @@ class ClassModels:
         """log p(word | toxic) - log p(word | ordinary)."""
         n = np.array([self.counts.get(w, (0, 0)) for w in words], np.float64).reshape(-1, 2)
         novel = DISCOUNT * self.kinds / self.total
-        p = np.maximum(n - DISCOUNT, 0) / self.total + novel * np.exp(np.maximum(self.spelling.log(words), -60))
-        logs = np.log(p)
+        spelt = self.spelling.log(words)
+        logs = np.log(np.maximum(n - DISCOUNT, 0) / self.total + novel * np.exp(np.maximum(spelt, -60)))
         new = n.sum(1) == 0  # the share of new words tells the sizes of the samples apart, not the classes
-        logs[new] -= np.log(novel)
+        logs[new] = spelt[new]  # however improbable: the least probability above is for words that are counted
         return logs[:, 1] - logs[:, 0]
 
 
@@ -148,7 +184,7 @@ def evidence_features(docs: DataFrame, models, extra: list[str] = []) -> DataFra
         for rb in batches:
             texts = rb.column(1)
             for at in range(0, max(1, len(texts)), 256):
-                split = [words_of(t.as_py()) for t in texts[at : at + 256]]
+                split = [units(t.as_py()) for t in texts[at : at + 256]]
                 if len(known) > CACHED_WORDS:
                     known.clear()
                 if new := list({w for words in split for w in words if w not in known}):
@@ -198,7 +234,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
         total: dict[bytes, list[int]] = {}
         for rb in batches:
             for text, label in zip(rb.column(0), rb.column(1).to_pylist()):
-                for w in words_of(text.as_py()):
+                for w in units(text.as_py()):
                     total.setdefault(w, [0, 0])[label] += 1
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.binary()), pa.array([n[0] for n in total.values()], pa.int64()), pa.array([n[1] for n in total.values()], pa.int64())], names=["word", "ordinary", "toxic"])
 
