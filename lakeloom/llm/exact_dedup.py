@@ -1,11 +1,13 @@
-"""Exact deduplication by an extendible-hash index on shared files (DataFrame operations only).
-
-A text's key is the 64-bit hash of the text without white space; the key's leading bits select a
-directory cell. `build_directory` splits overfull buckets and doubles the directory when a bucket that
-splits already uses all its bits. Each bucket is a range of keys; owner tasks take ranges of buckets,
-compare the bytes of equal keys (the normalised text itself is a grouping key, so copies collapse in
-the map tasks, before the shuffle), chain different texts of one key, and write the index as files.
-Every document then probes the index for the row that stays.
+"""Exact deduplication by grouping, with an extendible-hash index on shared files (DataFrame operations only).
+
+A text's key is the 64-bit hash of the text without white space. A grouping by key and bytes finds the
+groups and the row that stays (the normalised text itself is a grouping key, so copies collapse in the
+map tasks, before the shuffle), and every document joins to its group by key and SHA-256.
+
+The index of the groups is laid out by an extendible-hash directory, which decides nothing: the key's
+leading bits select a cell, `build_directory` splits overfull buckets and doubles the directory when a
+bucket that splits already uses all its bits. Each bucket is a range of keys; owner tasks take ranges of
+buckets, chain different texts of one key, and write the index as files.
 
 Defined results: a null text counts as empty and empty texts form one group; null ids sort last; rows
 that repeat id and text alike can't be told apart, so all of them carry the same decision; an empty
