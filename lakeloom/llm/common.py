@@ -31,8 +31,8 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-#: Rows and bytes of an Arrow batch at most.
-ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
+#: Rows and bytes of an Arrow batch at most, and rows of a batch of the Parquet reader.
+ARROW_ROWS, ARROW_BYTES, SCAN_ROWS = 2000, 2 << 20, 256
 
 
 class Workspace:
@@ -42,7 +42,9 @@ class Workspace:
         self.spark = spark
         self.name = f"{name}_{uuid.uuid4().hex[:12]}"
         self.root = f"{shared_root(spark)}/lakeloom/{self.name}"
-        # Texts may be long: Arrow batches are bounded by bytes and not by rows alone.
+        # Texts may be long: Arrow batches are bounded by bytes and not by rows alone, and the Parquet reader, whose
+        # buffers hold whole batches of texts, by few rows. Results are lazy, so the session keeps these settings.
+        spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import Workspace, documents, partitions
+from lakeloom.llm.wordblocks import trim
 
 WINDOW = 4096
 END_ID = 2
-#: Words a worker keeps encoded; beyond them it starts anew.
-CACHED_WORDS = 250_000
+#: Bytes of words and their ids that a worker keeps; beyond them it starts anew. Texts encoded at once have so many bytes.
+CACHED_BYTES, ENCODED_BYTES = 48 << 20, 2 << 20
 
 
 class CapacityTree:
@@ -166,20 +167,25 @@ def _fast_words(path: str):
 def _encoder(path: str, end_id: int):
     """Texts to ids. No token spans white space, so words are encoded apart, each new one once."""
     known: dict[bytes, bytes] = {}
+    held = 0
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal held
         fast = _fast_words(path)
-        if len(known) > CACHED_WORDS:
+        if held > CACHED_BYTES:
             known.clear()
+            held = 0
         out, end, slow = [], np.array([end_id], "<u4").tobytes(), []
         split = [t.encode().split() for t in texts]  # parts at the bytes 09-0D and 20
-        for w in {w for words in split for w in words if w not in known}:
+        new = {w for words in split for w in words if w not in known}
+        for w in new:
             if fast is None or (ids := fast(w.decode())) is None:
                 slow.append(w)
             else:
                 known[w] = ids
         for w, e in zip(slow, _tokenizer(path).encode_batch_fast([w.decode() for w in slow], add_special_tokens=False) if slow else ()):
             known[w] = np.array(e.ids, "<u4").tobytes()
+        held += sum(len(w) + len(known[w]) + 200 for w in new)  # with what two objects and their entry take
         for words in split:
             out.append(b"".join(map(known.__getitem__, words)) + end)
         return out
@@ -193,16 +199,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path, end_id)
         for rb in batches:
-            rows, kept = [], []
-            for doc_id, raw in zip(rb.column(0).to_pylist(), encode(rb.column(1).to_pylist())):
-                n = len(raw) // 4
-                for start in range(0, n, window):
-                    part = raw[4 * start : 4 * (start + window)]
-                    rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
-                    if with_ids:
-                        kept.append(part)
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * with_ids, names=names)
+            ids, texts = rb.column(0).to_pylist(), rb.column(1)
+            at = 0
+            while at < len(ids):
+                some, size = [], 0
+                while at + len(some) < len(ids) and (not some or size < ENCODED_BYTES):
+                    some.append(texts[at + len(some)].as_py())
+                    size += len(some[-1])
+                rows, kept = [], []
+                for doc_id, raw in zip(ids[at:], encode(some)):
+                    n = len(raw) // 4
+                    for start in range(0, n, window):
+                        part = raw[4 * start : 4 * (start + window)]
+                        rows.append((doc_id, start, len(part) // 4, zlib.crc32(part), n))
+                        if with_ids:
+                            kept.append(part)
+                at += len(some)
+                cols = [pa.array(c, pa.int64()) for c in zip(*rows)]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.binary())] * with_ids, names=names)
+        trim()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
