@@ -12,6 +12,7 @@ tokens; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -45,16 +46,40 @@ def _token_bytes(path: str) -> list[bytes]:
     return table
 
 
-#: Rust's regular expressions know these as white space; Python's count four control characters more.
-_RUST_SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-
-
 @cache
 def _splitter(pattern: str):
+    """Pre-tokens of a text, as tiktoken's own regular expressions would find them.
+
+    Their tables of characters are older than those of the module `regex`, which splits here. Code points that the two
+    put into different classes of the pattern are found once by asking tiktoken for all code points. A text that holds
+    one is split by a stand-in of equal length, in which they are replaced by code points of the right classes.
+    """
     import regex
+    import tiktoken
 
-    inside = pattern.replace("[^\\s", f"[^{_RUST_SPACE}")
-    return regex.compile(inside.replace("\\s", f"[{_RUST_SPACE}]").replace("\\S", f"[^{_RUST_SPACE}]")).findall
+    find = regex.compile(pattern)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    ours, theirs = np.zeros((2, 0x110000), np.int64)
+    for k, name in enumerate(sorted(set(regex.findall(r"\\[pP]\{[^}]*\}|\\[sdw]", pattern)))):
+        asked = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs[[ord(c) for c in bytes(asked.encode_ordinary(every)).decode()]] |= 1 << k
+        ours[[ord(c) for c in regex.findall(name, every)]] |= 1 << k
+    odd = np.flatnonzero(ours != theirs)
+    if not len(odd):
+        return find.findall
+    agreed = np.flatnonzero((ours == theirs) & (np.arange(0x110000) >= 128) & (np.arange(0x110000) // 0x800 != 0x1B))  # no surrogates
+    stands = {int(v): chr(agreed[ours[agreed] == v][0]) for v in np.unique(theirs[odd])}
+    table = {int(c): stands[int(theirs[c])] for c in odd}
+    edges = np.flatnonzero(np.diff(odd) != 1)
+    ranges = zip(odd[np.concatenate([[0], edges + 1])].tolist(), odd[np.concatenate([edges, [len(odd) - 1]])].tolist())
+    holds_odd = re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]").search
+
+    def split(text: str) -> list[str]:
+        if not holds_odd(text):
+            return find.findall(text)
+        return [text[slice(*m.span())] for m in find.finditer(text.translate(table))]
+
+    return split
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
