@@ -43,7 +43,7 @@ END = b""
 FREQUENT_WORDS, ENDINGS, ENDING_BYTES = 768, 255, 3
 CLASSES, ROUNDS = 64, 8
 #: Rounds over the whole vocabulary at most; entries whose gains are computed at once.
-ASSIGN_ROUNDS, ENTRIES = 3, 1 << 16
+ASSIGN_ROUNDS, ENTRIES = 3, 1 << 18
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -106,6 +106,20 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
 
 
+def _sums(rows: np.ndarray, pick: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of rows[pick] between one head and the next: the first of each at once, then the second, and so on."""
+    size = np.diff(heads, append=len(pick))
+    order = np.argsort(-size)
+    at, size = heads[order], size[order]
+    sums = np.zeros((len(heads), rows.shape[1]))
+    for j in range(int(size[0])):
+        n = int(np.searchsorted(-size, -j, side="left"))  # those with more than j rows
+        sums[:n] += rows[pick[at[:n] + j]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def assign(word: np.ndarray, cell: np.ndarray, n: np.ndarray, own: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The best class of each word against the table of class bigrams, which holds the word in its own class.
 
@@ -131,7 +145,7 @@ def assign(word: np.ndarray, cell: np.ndarray, n: np.ndarray, own: np.ndarray, t
             gains = (_xlogx(cells[:, pc] + px) - flat[:, pc]).T  # [pair, class]
             heads = np.flatnonzero(np.diff(w, prepend=-1))
             who = w[heads]
-            total = np.add.reduceat(gains[back], heads)
+            total = _sums(gains, back, heads)
             o = own[w]
             here = np.add.reduceat(flat[o, c] - _xlogx(np.maximum(cells[o, c] - x, 0)), heads)
             a = own[who]
@@ -166,22 +180,25 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     # 1. Counts of all words. Batch -1: totals of a part; -2 and -3: its most frequent words and endings.
     def answer(blocks: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
-        total, lists = {}, []
+        number, total, lists = wordblocks.numbering(), np.zeros(0, np.int64), []
         for batch, part, body in blocks:
             words, (counts,) = wordblocks.unpack_words(body)
-            lists.append((batch, part, words))
-            for w, n in zip(words, np.frombuffer(counts, np.uint32).tolist()):
-                total[w] = total.get(w, 0) + n
-        get = total.__getitem__
-        index = {w: i for i, w in enumerate(total)}.__getitem__  # numbers of the part's words, for the rounds
-        for batch, part, words in lists:
-            head = np.array([batch, part], np.int64)
-            yield batch, part, wordblocks.pack(np.fromiter(map(get, words), np.uint64, len(words)), np.fromiter(map(index, words), np.uint32, len(words)), head), b"", 0, 0, 0
-        yield -1, 0, b"", b"", sum(total.values()), sum(n > 0 for n in total.values()), sum(n == 1 for n in total.values())
-        for w in sorted(total, key=lambda w: (-total[w], w))[:FREQUENT_WORDS]:
-            yield -2, 0, b"", w, total[w], 0, 0
+            own = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            if len(number) > len(total):
+                total = np.concatenate([total, np.zeros(2 * len(number) - len(total), np.int64)])
+            total[own] += np.frombuffer(counts, np.uint32)  # a block holds a word once
+            lists.append((batch, part, own.astype(np.uint32)))
+        total = total[: len(number)]
+        for batch, part, own in lists:  # the numbers of the part's words serve the rounds
+            yield batch, part, wordblocks.pack(total[own].astype(np.uint64), own, np.array([batch, part], np.int64)), b"", 0, 0, 0
+        yield -1, 0, b"", b"", int(total.sum()), int((total > 0).sum()), int((total == 1).sum())
+        words = list(number)
+        least = np.partition(total, len(total) - FREQUENT_WORDS)[len(total) - FREQUENT_WORDS] if len(total) > FREQUENT_WORDS else 0
+        most = [(words[i], int(total[i])) for i in np.flatnonzero(total >= least).tolist()]
+        for w, n in sorted(most, key=lambda x: (-x[1], x[0]))[:FREQUENT_WORDS]:
+            yield -2, 0, b"", w, n, 0, 0
         ends: dict[bytes, int] = {}
-        for w, n in total.items():
+        for w, n in zip(words, total.tolist()):
             ends[w[-ENDING_BYTES:]] = ends.get(w[-ENDING_BYTES:], 0) + n
         for e, n in ends.items():
             yield -3, 0, b"", e, n, 0, 0
@@ -206,18 +223,26 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     words = coded.where(F.col("kind") == "words").select("batch", "part", "body")
     end_type = frequent.index(END)
 
-    # 2. Bigrams of types over all training documents.
-    def bigrams(doc: list, bodies: list[bytes]) -> pa.Table:
+    # 2. Types of all words, and bigrams of types over all training documents.
+    def by_type(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         typed = _typer(frequent, endings)
+        for rb in batches:
+            lists = [wordblocks.unpack_words(b.as_py())[0] for b in rb.column(2)]
+            bodies = [wordblocks.pack(np.fromiter(map(typed, words), np.uint16, len(words))) for words in lists]
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(bodies, pa.binary())], names=["batch", "part", "body"])
+
+    typed = ws.put(words.mapInArrow(by_type, wordblocks.ANSWER), "types")
+
+    def bigrams(doc: list, bodies: list[bytes]) -> pa.Table:
         _, _, flags, sizes, codes = doc
-        kinds = np.array([typed(w) for b in bodies for w in wordblocks.unpack_words(b)[0]] or [0], np.int64)[codes]
+        kinds = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(wordblocks.unpack(b)[0], np.uint16) for b in bodies)]).astype(np.int64)[codes]
         previous = np.concatenate([[end_type], kinds[:-1]])  # every document ends with the end, the next starts after it
         train = np.repeat(flags, sizes) == 1
         n = np.bincount(previous[train] * types + kinds[train], minlength=1)
         at = np.flatnonzero(n)
         return pa.table([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["pair", "n"])
 
-    pairs = wordblocks.reassemble(coded, words, bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = wordblocks.reassemble(coded, typed, bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(types * types)
     table[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     table = table.reshape(types, types)
@@ -230,12 +255,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     moves = one.T @ table @ one
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        typed = _typer(frequent, endings)
         for rb in batches:
-            bodies = [wordblocks.pack(cls[np.fromiter(map(typed, wordblocks.unpack_words(b.as_py())[0]), np.int64)].astype(np.uint16)) for b in rb.column(2)]
+            bodies = [wordblocks.pack(cls[np.frombuffer(wordblocks.unpack(b.as_py())[0], np.uint16)].astype(np.uint16)) for b in rb.column(2)]
             yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(bodies, pa.binary())], names=["batch", "part", "body"])
 
-    grouped = ws.put(words.mapInArrow(start, wordblocks.ANSWER), "classes0")
+    grouped = ws.put(typed.mapInArrow(start, wordblocks.ANSWER), "classes0")
 
     def look_up(grouped: DataFrame) -> DataFrame:
         """Counts and classes of each batch's words: two answers for each part, in that order."""
@@ -293,7 +317,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             own = np.zeros(max((int(i.max()) + 1 for _, _, i, _ in lists if len(i)), default=0), np.int64)
             for _, _, index, group in lists:
                 own[index] = group
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             key, count = key[order], count[order]
             heads = np.flatnonzero(np.diff(key, prepend=-1))
             if len(heads):

@@ -17,6 +17,7 @@ from __future__ import annotations
 import ctypes
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,9 +67,16 @@ def unpack_words(body: bytes) -> tuple[list[bytes], list[memoryview]]:
     return [text[a:b] for a, b in zip([0, *ends], ends)], more
 
 
+def numbering() -> defaultdict:
+    """A dictionary that numbers its keys from 0 on, in the order in which they are first looked up."""
+    numbers: defaultdict = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 class _Batch:
     def __init__(self) -> None:
-        self.codes: dict = {}
+        self.codes: defaultdict = numbering()
         self.ids: list = []
         self.flags: list[int] = []
         self.sizes: list[int] = []
@@ -76,19 +84,17 @@ class _Batch:
         self.bytes = 0
 
     def add(self, doc_id, flag: int, tokens: list, size: int) -> None:
-        codes = self.codes
-        for t in tokens:
-            if t not in codes:
-                codes[t] = len(codes)
-        self.words.append(np.fromiter(map(codes.__getitem__, tokens), np.uint32, len(tokens)))
+        self.words.append(np.fromiter(map(self.codes.__getitem__, tokens), np.uint32, len(tokens)))
         self.ids.append(doc_id)
         self.flags.append(flag)
         self.sizes.append(len(tokens))
         self.bytes += size
 
     def rows(self, batch: int, parts: int, counted: bool) -> Iterator[tuple]:
-        words = [w.encode() if isinstance(w, str) else w for w in self.codes]
-        part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int32, len(words))
+        words = list(self.codes)
+        if words and isinstance(words[0], str):
+            words = [w.encode() for w in words]
+        part = (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         renumber = np.empty(len(words), np.uint32)
         renumber[order] = np.arange(len(words), dtype=np.uint32)
