@@ -334,20 +334,6 @@ def test_classifiers_hold_out(spark, operator, label, least):
     assert right >= least
 
 
-def test_toxicity_reads_long_words_to_their_end():
-    rng = np.random.default_rng(4)
-    plain = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
-    bad = ["".join(rng.choice(list("uvwxyz"), 6)) for _ in range(300)]
-    words = [w.encode() for w in plain + bad]
-    models = toxicity.ClassModels(words, np.array([[5, 0]] * 300 + [[0, 5]] * 300))
-    long = "".join(plain[:40])
-    clean, toxic = (toxicity.units(t) for t in (long, long + "".join(bad[:8]) + long))
-    assert all(len(u) <= toxicity.PIECE + toxicity.ORDER + 1 for u in clean + toxic)
-    assert models.evidence(clean).max() < 0 < models.evidence(toxic).max()
-    whole, _ = toxicity._spell(long.encode())
-    assert b"".join(s[n:] for s, n in map(toxicity._spell, clean)) == whole[1:]
-
-
 def test_pipeline(spark):
     import corpus_pipeline
 
