@@ -5,8 +5,7 @@ Two language models, one of toxic and one of ordinary labelled texts, each an in
     word after word     discounted counts of the class, back-off weight of the context
     word                discounted numbers of different words before it in the class (continuation counts)
     spelling            Kneser-Ney over the bytes of the class's distinct words, five bytes at most
-    pairs and single    counts that both classes share
-    bytes
+    single bytes        counts that both classes share
 
 Every order hands what it discounts to the next, so each model's probabilities add up to one. A rare expression is
 judged by what its words, then its spelling, have in common with a class, and at the end by counts that both
@@ -42,7 +41,7 @@ from lakeloom.llm.wordblocks import numbering, pack, pack_words, trim, unpack, u
 #: Labelled rows of each class that are learnt from at most, and bytes of their texts, drawn by a hash of the id.
 CLASS_ROWS, CLASS_BYTES = 8000, 32 << 20
 #: Bytes of the longest n-gram of the spelling model; up to which length its counts are shared by the classes.
-ORDER, SHARED_ORDER = 5, 2
+ORDER, SHARED_ORDER = 5, 1
 #: Discount of words and of spellings.
 DISCOUNT, SPELLING_DISCOUNT = 0.75, 0.75
 #: Words of the stretches that are compared besides the whole text.
