@@ -1,31 +1,32 @@
-"""Exact deduplication by grouping, with an extendible-hash index on shared files (DataFrame operations only).
+"""Exact deduplication by an extendible-hash index on shared files (DataFrame operations only).
 
-A text's key is the 64-bit hash of the text without white space. A grouping by key and bytes finds the
-groups and the row that stays (the normalised text itself is a grouping key, so copies collapse in the
-map tasks, before the shuffle), and every document joins to its group by key and SHA-256.
+A text's key is the 64-bit hash of the text without white space. Its leading bits select a cell of the
+directory and the cell names the bucket: `build_directory` splits overfull buckets, and doubles the
+directory when a bucket that splits already uses all its bits. Each bucket is a range of keys.
 
-The index of the groups is laid out by an extendible-hash directory, which decides nothing: the key's
-leading bits select a cell, `build_directory` splits overfull buckets and doubles the directory when a
-bucket that splits already uses all its bits. Each bucket is a range of keys; owner tasks take ranges of
-buckets, chain different texts of one key, and write the index as files.
+Texts are compared byte by byte within their bucket (the normalised text itself is a grouping key there, so
+copies collapse in the map tasks, before the shuffle). Owner tasks take ranges of buckets and write slots, one a
+key, sorted: a slot holds the chain of all different texts that collide in its key, with the row of each that stays.
+A document's fingerprint finds its bucket by the directory, its slot by the key, and its entry by walking the chain.
 
-Defined results: a null text counts as empty and empty texts form one group; null ids sort last; rows
-that repeat id and text alike can't be told apart, so all of them carry the same decision; an empty
-table gives an empty result; other columns are not read.
+Defined results: a null text counts as empty and empty texts form one group; null ids sort last; of rows that
+repeat id and text alike one may stay; rows of one id, equal without white space and of one length but not alike, carry
+the same decision; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lakeloom.llm.common import SPACES, Workspace, documents, join_hot
+from lakeloom.llm.common import SPACES, Workspace, documents, join_hot, partitions
 
 #: Directory cells at most: 2 ** MAX_DEPTH rows of metadata on the driver.
 MAX_DEPTH = 16
-#: Keys a bucket holds before it splits.
+#: Rows a bucket holds before it splits.
 BUCKET_CAPACITY = 8192
+#: Rows alike that are written out at once.
+REPEATS = 1 << 16
 
 _SHIFT = 10**20
 _BIAS = 2**63
@@ -74,46 +75,59 @@ def _cell(key, depth: int):
     return F.shiftrightunsigned(key, 64 - depth).cast("int") if depth else F.lit(0)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain (place in it), text_key.
 
-    Of texts equal without white space the one with most code points stays, then the smallest id.
+    Of texts equal without white space the one with most code points stays, then the smallest id; of rows
+    alike in id and text one. text_key is a hash of the original text. Keys have key_bits bits: few make texts collide.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "exact_dedup")
+    parts = partitions(spark)
     base = documents(docs, id_col, text_col)
-    keyed = base.select("doc_id", F.length("text").alias("points"), _normalised(F.col("text")).alias("norm")).withColumn("key", F.xxhash64("norm"))
-
-    # 1. Fingerprints, without texts, and the directory from their histogram.
-    prints = ws.put(keyed.select("doc_id", "points", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "fingerprints")
-    histogram = prints.groupBy(_cell(F.col("key"), MAX_DEPTH).alias("cell")).count().collect()
-    total = sum(r["count"] for r in histogram)
-    directory = build_directory({r["cell"]: r["count"] for r in histogram}, MAX_DEPTH, capacity)
-    depth = len(directory).bit_length() - 1
+    key = F.xxhash64("norm").bitwiseAND(F.lit(-1 << (64 - key_bits)))
+    keyed = base.select("doc_id", F.length("text").alias("points"), F.xxhash64("text").alias("text_key"), _normalised(F.col("text")).alias("norm")).withColumn("key", key)
+
+    # 1. Fingerprints, without texts, rows alike being one; the directory comes from their histogram.
+    sha = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
+    prints = ws.put(keyed.select("doc_id", "points", "text_key", "key", sha).groupBy("doc_id", "points", "text_key", "key", "text_sha256").agg(F.count(F.lit(1)).alias("copies")), "fingerprints")
+    histogram = prints.groupBy(_cell(F.col("key"), MAX_DEPTH).alias("cell")).agg(F.sum("copies").alias("n")).collect()
+    total = sum(r["n"] for r in histogram)
+    directory = build_directory({r["cell"]: r["n"] for r in histogram}, MAX_DEPTH, capacity)
+    depth, buckets = len(directory).bit_length() - 1, max(directory) + 1
     entries = spark.range(1).select(F.posexplode(F.split(F.lit(",".join(map(str, directory))), ",")).alias("cell", "bucket")).select("cell", F.col("bucket").cast("int").alias("bucket"))
 
-    # 2. Equal keys meet, bytes are compared, copies collapse before the shuffle.
+    def hashed(rows: DataFrame) -> DataFrame:
+        """Rows with the bucket that the directory names for their key."""
+        return rows.withColumn("cell", _cell(F.col("key"), depth)).join(F.broadcast(entries), "cell").drop("cell")
+
+    # 2. In each bucket bytes are compared; copies collapse before the shuffle. What stays is the text's entry.
     shift, top = F.lit(str(_SHIFT)).cast("decimal(21,0)"), F.lit(str(_SHIFT - 1)).cast("decimal(20,0)")
     after = top - F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(str(_BIAS)).cast("decimal(20,0)"), top)
-    groups = (
-        keyed.withColumn("rank", (F.col("points").cast("decimal(10,0)") * shift + after).cast("decimal(38,0)"))
-        .groupBy("key", "norm")
+    texts = (
+        hashed(keyed.withColumn("rank", (F.col("points").cast("decimal(10,0)") * shift + after).cast("decimal(38,0)")))
+        .groupBy("bucket", "key", "norm")
         .agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("best"))
     )
     rest = F.col("best") % shift
     at = top - rest
-    groups = groups.select(
-        "key", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "group_size",
-        F.when(rest > 0, (at - F.lit(str(_BIAS)).cast("decimal(20,0)")).cast("long")).alias("keep_id"),
+    entry = F.struct(
+        sha, F.col("group_size"), F.when(rest > 0, (at - F.lit(str(_BIAS)).cast("decimal(20,0)")).cast("long")).alias("keep_id"),
         ((F.col("best") - rest) / shift).cast("int").alias("keep_points"),
-    )
-
-    # 3. Owner tasks take ranges of buckets, chain what shares a key, and write their part of the index.
-    placed = groups.withColumn("cell", _cell(F.col("key"), depth)).join(F.broadcast(entries), "cell").drop("cell")
-    owned = placed.repartitionByRange(F.col("bucket"), F.col("key")).withColumn("chain", F.row_number().over(Window.partitionBy("bucket", "key").orderBy("text_sha256")) - 1)
-    index = ws.put(owned, "index")
-
-    # 4. Every document probes the index.
-    found = join_hot(prints, index, ["key", "text_sha256"], "group_size", total)
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    return found.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), stays.alias("kept"), "text_sha256", "bucket", "chain")
+    ).alias("entry")
+
+    # 3. Owner tasks take ranges of buckets: a slot is a key, and the texts that collide in it are its chain.
+    owner = F.expr(f"cast(bucket * {parts}L div {buckets} as int)").alias("owner")
+    slots = texts.select(owner, "bucket", "key", entry).repartitionById(parts, F.col("owner"))
+    index = ws.put(slots.groupBy("bucket", "key").agg(F.array_sort(F.collect_list("entry")).alias("entries"), F.sum("entry.group_size").alias("slot_size")).sortWithinPartitions("bucket", "key"), "index")
+
+    # 4. Every document goes to its bucket and slot, and walks the chain to the entry of its own text.
+    found = join_hot(hashed(prints), index, ["bucket", "key"], "slot_size", total)
+    place = F.array_position(F.transform("entries", lambda e: e["text_sha256"]), F.col("text_sha256"))
+    walked = found.withColumn("chain", (place - 1).cast("int")).withColumn("e", F.get("entries", F.col("chain"))).drop("entries")
+    stays = F.col("doc_id").eqNullSafe(F.col("e.keep_id")) & (F.col("points") == F.col("e.keep_points"))
+    # Rows alike were one: blocks of them, and in these each again, the first of which may stay.
+    again = walked.withColumn("block", F.explode(F.sequence(F.lit(0), ((F.col("copies") - 1) / REPEATS).cast("int"))))
+    again = again.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.lit(REPEATS), F.col("copies") - F.col("block") * REPEATS).cast("int") - 1)))
+    one = (F.col("block") == 0) & (F.col("copy") == 0)
+    return again.select("doc_id", "e.keep_id", F.col("e.group_size").cast("long").alias("group_size"), (stays & one).alias("kept"), "text_sha256", "bucket", "chain", "text_key")

@@ -171,28 +171,28 @@ def heavy_keys(sets: list[np.ndarray], sizes: Sizes) -> tuple[np.ndarray, np.nda
 
 
 def _sets(docs: DataFrame, ws: Workspace, words: int, seed: int) -> DataFrame:
-    """Rows of kind doc (doc_id, cls, check, n) and, once a task for each class, of kind text (cls, n, body, sketch)."""
+    """Rows of kind doc (doc_id, text_key, cls, check, n) and, once a task for each class, of kind text (cls, n, body, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, press, seen = Shingler(words, seed), zstandard.ZstdCompressor(level=3), set()
         for rb in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(rb.column(0).to_pylist(), rb.column(1)):
+            for doc_id, text, text_key in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2).to_pylist()):
                 text = text.as_py()
                 u = shingle(text)
                 with np.errstate(over="ignore"):
                     cls, check = (int(mix(u + c).sum(dtype=np.uint64).astype(np.int64)) for c in (_M1, _M2))
-                rows.append((doc_id, cls, check, len(u), None, None, "doc"))
+                rows.append((doc_id, text_key, cls, check, len(u), None, None, "doc"))
                 if len(u) and cls not in seen:
                     if len(seen) > CACHED_WORDS:
                         seen.clear()
                     seen.add(cls)
-                    rows.append((None, cls, check, len(u), press.compress(text.encode()), sketch(u), "text"))
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.string()))], names=["doc_id", "cls", "check", "n", "body", "sketch", "kind"])
+                    rows.append((None, None, cls, check, len(u), press.compress(text.encode()), sketch(u), "text"))
+            cols = list(zip(*rows)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary(), pa.list_(pa.int64()), pa.string()))], names=["doc_id", "text_key", "cls", "check", "n", "body", "sketch", "kind"])
         trim()
 
-    return ws.put(docs.mapInArrow(run, "doc_id long, cls long, check long, n long, body binary, sketch array<long>, kind string"), "sets", "kind")
+    return ws.put(docs.mapInArrow(run, "doc_id long, text_key long, cls long, check long, n long, body binary, sketch array<long>, kind string"), "sets", "kind")
 
 
 def _lists(texts: DataFrame, sizes: Sizes, words: int, seed: int, parts: int) -> DataFrame:
@@ -302,15 +302,15 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int, seed:
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, cls (the class of equal sets).
+    """Per row of docs: doc_id, n_shingles, component_id, cls (the class of equal sets), text_key (a hash of the text).
 
     Two documents are linked when 100 * intersection >= percent * union of their shingle sets.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram_join")
     parts = partitions(spark)
-    rows = _sets(documents(docs, id_col, text_col), ws, words, seed)
-    members = rows.where("kind = 'doc'").select("doc_id", "cls", "check", "n")
+    rows = _sets(documents(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text")), ws, words, seed)
+    members = rows.where("kind = 'doc'").select("doc_id", "text_key", "cls", "check", "n")
     texts = rows.where("kind = 'text'").select("cls", "n", "body", "sketch")
     classes = ws.put(members.where("n > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")), "classes")
     total, clash = classes.agg(F.sum("copies"), F.sum((F.col("c1") != F.col("c2")).cast("long"))).first()
@@ -355,4 +355,4 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     for done in ("sets/kind=text", "lists", "texts", "open", "edges_1", "edges_2", *(f"edges_pivot_{r}" for r in range(PIVOTS)), *(f"open_{r}" for r in range(PIVOTS))):
         ws.drop(done)  # the result needs the index and the members alone
     found = join_hot(members, index, ["cls"], "copies", int(total or 0))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", "text_key")

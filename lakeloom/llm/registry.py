@@ -10,7 +10,7 @@ from lakeloom.llm.common import crc_mod, read_documents
 
 
 def op2_exact_dedup(spark, sf_dir):
-    return exact_dedup.deduplicate(read_documents(spark, sf_dir)).drop("bucket", "chain")
+    return exact_dedup.deduplicate(read_documents(spark, sf_dir)).drop("bucket", "chain", "text_key")
 
 
 OP2_SQL = r"""

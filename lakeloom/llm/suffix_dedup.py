@@ -210,10 +210,11 @@ def _read(body: bytes) -> tuple:
     return np.frombuffer(ids, np.int64), np.frombuffer(known, np.uint8), sizes, raw, np.cumsum(sizes)
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), starts and ends of removed runs.
 
     The columns that carry names travel with their row, so that rows of one id need no join; they stand in the struct `carried`.
+    With as_text, `kept` is a string: of a character that a cut has split, the bytes that stay go too, and nothing else.
     """
     if not GRAM <= length <= GRAM + 127:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 127}")
@@ -361,14 +362,15 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             stops.append(turn[1::2])
             spans.append(len(turn) // 2)
             removed.append(int(g.sum()))
-            kept.append(raw[a:b][~g].tobytes())
+            stays = raw[a:b][~g].tobytes()
+            kept.append(stays.decode(errors="ignore") if as_text else stays)
         out = pa.table(
-            [pa.array(ids, pa.int64(), mask=known == 0), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array(begins, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(extra, pa.string())],
+            [pa.array(ids, pa.int64(), mask=known == 0), pa.array(sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(begins, pa.list_(pa.int64())), pa.array(stops, pa.list_(pa.int64())), pa.array(extra, pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "starts", "ends", "carried"],
         )
         trim()
         return out
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, starts array<long>, ends array<long>, carried string"
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, starts array<long>, ends array<long>, carried string"
     out = payload.groupby("batch").cogroup(covers.groupby("cover_batch")).applyInArrow(cut, schema)
     return out.withColumn("carried", F.from_json("carried", docs.select(*carry).schema)) if carry else out.drop("carried")

@@ -347,7 +347,7 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, np
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, class_rows: int = CLASS_ROWS, class_bytes: int = CLASS_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted, mean_evidence. held_out is a boolean column over doc_id."""
+    """Per row of docs: doc_id, held_out, score, predicted, mean_evidence, text_key (a hash of the text). held_out is a boolean column over doc_id."""
     spark = docs.sparkSession
     ws = Workspace(spark, "toxicity")
     base = documents(docs, id_col, text_col)
@@ -355,7 +355,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     size = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     out_held = F.coalesce(held_out, F.lit(False)).alias("held_out")
     if not size.get(0) or not size.get(1):
-        return base.select("doc_id", out_held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("mean_evidence"))
+        return base.select("doc_id", out_held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("mean_evidence"), F.xxhash64("text").alias("text_key"))
     dice = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = lambda label: int((1 << 30) * min(1.0, class_rows / size[label]))
     drawn = marks.where(((F.col("label") == 1) & (dice < share(1))) | ((F.col("label") == 0) & (dice < share(0))))
@@ -415,7 +415,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     fitted = counted.repartition(1).mapInArrow(add_up, "body binary").toArrow()
     if not len(fitted):
         sample.unpersist()
-        return base.select("doc_id", out_held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("mean_evidence"))
+        return base.select("doc_id", out_held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("mean_evidence"), F.xxhash64("text").alias("text_key"))
     models = spark.sparkContext.broadcast(fitted.column(0)[0].as_py())
     del fitted
 
@@ -436,5 +436,5 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     z = F.lit(float(b))
     for i in range(k):
         z = z + F.lit(float(w[i])) * F.col(f"f{i}")
-    found = evidence_features(base, models).withColumn("score", 1.0 / (1.0 + F.exp(-z)))
-    return found.select("doc_id", out_held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("f0").alias("mean_evidence"))
+    found = evidence_features(base.withColumn("text_key", F.xxhash64("text")), models, ["text_key"]).withColumn("score", 1.0 / (1.0 + F.exp(-z)))
+    return found.select("doc_id", out_held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("f0").alias("mean_evidence"), "text_key")

@@ -49,21 +49,33 @@ def _input(docs):
     return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
 
 
-def test_exact_dedup(docs, empty):
+@pytest.mark.parametrize("key_bits", [64, 3, 1])
+def test_exact_dedup(docs, empty, key_bits):
     rows = _input(docs)
     groups = collections.defaultdict(list)
     for i, t in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i is None, i or 0, i))
-    want = []
+    want, seen = [], set()
     for i, t in rows:
         norm = re.sub(r"[\x20\x09-\x0D]", "", t)
         best = min(groups[norm])
-        want.append((i, best[3], len(groups[norm]), i == best[3] and len(t) == -best[0], hashlib.sha256(norm.encode()).hexdigest()))
-    got = _rows(exact_dedup.deduplicate(docs, capacity=2), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    assert got == sorted(want, key=repr)
+        first = (i, t) not in seen  # of rows alike one may stay
+        seen.add((i, t))
+        want.append((i, best[3], len(groups[norm]), first and i == best[3] and len(t) == -best[0], hashlib.sha256(norm.encode()).hexdigest()))
+    found = exact_dedup.deduplicate(docs, capacity=2, key_bits=key_bits).persist()
+    assert _rows(found, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(want, key=repr)
+    # With few bits many texts share a slot, and only the chain tells them apart.
+    assert found.agg(F.max("chain")).first()[0] >= {64: 0, 3: 1, 1: 4}[key_bits]
     assert exact_dedup.deduplicate(empty).count() == 0
 
 
+def test_exact_dedup_writes_many_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "REPEATS", 4)
+    rows = [(1, "a b")] * 11 + [(2, "ab")] * 4 + [(None, "c")] * 5
+    got = _rows(exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "keep_id", "group_size", "kept")
+    assert got == sorted([(1, 1, 15, True)] + [(1, 1, 15, False)] * 10 + [(2, 1, 15, False)] * 4 + [(None, None, 5, True)] + [(None, None, 5, False)] * 4, key=repr)
+
+
 def test_directory_doubles_and_splits():
     cells = {i: 1 for i in range(64)} | {5: 1000}
     directory = exact_dedup.build_directory(cells, 6, 8)
@@ -353,13 +365,12 @@ def _kept_exact(rows):
     for i, t in rows:
         norm = re.sub(r"[\x20\x09-\x0D]", "", t or "")
         best[norm] = min(best.get(norm, (1, True, 0, None)), (-len(t or ""), i is None, i or 0, i))
-    kept = {b[3] for b in best.values()}
-    return [r for r in rows if r[0] in kept]
+    stays = [(i, t) for i, t in rows if best[re.sub(r"[\x20\x09-\x0D]", "", t or "")] == (-len(t or ""), i is None, i or 0, i)]
+    return list({(i, t or ""): (i, t) for i, t in stays}.values())
 
 
 def _kept_near(rows):
-    kept = {i for i, _, least in _components([(i, t or "") for i, t in rows], 5, 80) if i == least}
-    return [r for r in rows if r[0] in kept]
+    return [r for r, (i, _, least) in zip(rows, _components([(i, t or "") for i, t in rows], 5, 80)) if i == least]
 
 
 def _kept_passages(rows):
