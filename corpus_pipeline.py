@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir), with docs what the stage before kept, and returns a DataFrame;
 all but the last return the columns of documents.
 
-Defined results: other columns are not read; an empty table gives an empty one; a null id is an id of its
-own, and rows of one id are kept or dropped together where one of them is kept; null and empty texts
-are equal and linked with nothing; rows alike in id and text stay together until their passages are cut.
+Defined results: other columns are not read; an empty table gives an empty one; null and empty texts are equal and
+linked with nothing. Decisions are made for each row, which is known by its id (null is one) and a hash of its text, so
+rows of one id with different texts are kept or dropped apart. Of rows alike in id and text one is left by the exact
+stage. Near copies that share one id, or have none, are not told apart by it: those that name their group stay together.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS)
 
 
-def _keep(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id stands in decided; a null id stands for itself."""
-    ids = decided.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
+def _keep(docs: DataFrame, decided: DataFrame, once: bool = False) -> DataFrame:
+    """The rows of docs whose doc_id and text stand in decided; a null id stands for itself. With once, one of rows alike."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = decided.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_kept")).distinct()
+    out = keyed.join(rows, keyed["doc_id"].eqNullSafe(rows["_id"]) & (keyed["_key"] == rows["_kept"]), "left_semi")
+    return out.dropDuplicates(["doc_id", "_key"]) if once else out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal without white space one document stays."""
-    return _columns(_keep(docs, exact_dedup.deduplicate(docs).where("kept")))
+    return _columns(_keep(docs, exact_dedup.deduplicate(docs).where("kept"), once=True))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,14 +55,10 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Passages that also start earlier are cut out of the texts; a character that a cut splits goes whole.
 
     Documents of which a cut leaves nothing go; null and empty texts stay as they are. n_chars is counted anew.
-    A text with a split character loses its replacement characters (U+FFFD) too.
     """
     marked = docs.select(*COLUMNS, F.col("text").isNull().alias("no_text"))
-    cut = suffix_dedup.deduplicate(marked, carry=("lang", "source", "no_text"))
-    raw = F.col("kept").cast("string")
-    # A cut inside a character leaves bytes that are no UTF-8: these are dropped, by way of UTF-16's replacement.
-    mended = F.when(F.col("n_removed") == 0, raw).otherwise(F.coalesce(F.try_validate_utf8(raw), F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit(""))))
-    texts = cut.select("doc_id", "n_removed", "carried.*", F.when(~F.col("carried.no_text"), mended).alias("text"))
+    cut = suffix_dedup.deduplicate(marked, carry=("lang", "source", "no_text"), as_text=True)
+    texts = cut.select("doc_id", "n_removed", "carried.*", F.when(~F.col("carried.no_text"), F.col("kept")).alias("text"))
     left = texts.where("n_removed = 0 or length(text) > 0")
     return _columns(left.withColumn("n_chars", F.length("text").cast("long")))
 
