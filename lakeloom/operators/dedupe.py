@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,21 +82,68 @@ def sign_bits(vector: Column, n: int = 64) -> Column:
     return out
 
 
+#: Rows that two sides of a tile have each, and what sending a key costs beside comparing a pair.
+TILE_ROWS, KEY_COST = 2000, 4
+#: Near values of a band that a row sends at most.
+NEAR_VALUES = 4096
+
+
+def _near(width: int, radius: int) -> int:
+    return sum(math.comb(width, i) for i in range(radius + 1))
+
+
+def hamming_plan(n: int, k: int) -> tuple[int, float]:
+    """Number of bands by which n hashes are compared at the least cost, 0 for tiles, and the expected candidates."""
+    best, every = (0, n * n / 2), n * n / 2
+    cost = every + n * max(1, n // TILE_ROWS)
+    for bands in (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 21, 32, 64):
+        width, radius = 64 // bands, k // bands
+        near = _near(width, min(radius, width))
+        if near > NEAR_VALUES:
+            continue
+        met = min(1.0, bands * near / 2**width) * every
+        if (now := KEY_COST * n * bands * (near + 1) + met) < cost:
+            best, cost = (bands, met), now
+    return best
+
+
+def hamming_candidates(rows: DataFrame, k: int, bands: int, n: int) -> DataFrame:
+    """(a, ha, b, hb) with a < b of rows (id, h): every pair within k once, and few others."""
+    spark = rows.sparkSession
+    if not bands:  # all pairs: a row meets each block's rows in one tile of two blocks
+        blocks = max(1, n // TILE_ROWS)
+        own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+        a = own.select(F.col("id").alias("p"), F.col("h").alias("hp"), F.col("own").alias("x"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("y"))
+        b = own.select(F.col("id").alias("q"), F.col("h").alias("hq"), F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"))
+        met = a.join(b, ["x", "y"]).where((F.col("x") < F.col("y")) | (F.col("p") < F.col("q")))
+        turned = F.col("p") > F.col("q")
+        return met.select(F.least("p", "q").alias("a"), F.when(turned, F.col("hq")).otherwise(F.col("hp")).alias("ha"), F.greatest("p", "q").alias("b"), F.when(turned, F.col("hp")).otherwise(F.col("hq")).alias("hb"))
+    edges = [64 * i // bands for i in range(bands + 1)]
+    radius = k // bands  # of k + 1 differences or fewer one band has no more
+    band = lambda h: [F.shiftrightunsigned(F.shiftleft(h, 64 - hi), 64 - hi + lo) for lo, hi in zip(edges, edges[1:])]
+    masks = [(i, sum(1 << x for x in bits)) for i, (lo, hi) in enumerate(zip(edges, edges[1:])) for r in range(min(radius, hi - lo) + 1) for bits in combinations(range(hi - lo), r)]
+    masks = [(i, m - (1 << 64) if m >= 1 << 63 else m) for i, m in masks]
+    keyed = rows.select("id", "h", F.posexplode(F.array(*band(F.col("h")))).alias("band", "value"))
+    table = F.broadcast(spark.createDataFrame(masks, "band int, mask long"))  # bands * NEAR_VALUES rows at most
+    a = keyed.join(table, "band").select(F.col("id").alias("a"), F.col("h").alias("ha"), "band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+    b = keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "value")
+    close = F.array(*(F.bit_count(x.bitwiseXOR(y)) <= radius for x, y in zip(band(F.col("ha")), band(F.col("hb")))))
+    # A pair is reported by its first close band alone.
+    return a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (F.array_position(close, F.lit(True)) == F.col("band") + 1)).select("a", "ha", "b", "hb")
+
+
 def hamming_pairs(hashes: DataFrame, k: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
     """(a, b, distance) with a < b and distance <= k, complete for every k.
 
-    Two hashes within k agree on one of k + 1 bands of their bits at least (pigeonhole), so bands are an
-    equi-join and the distance is the residual. A pair is reported by its first common band alone.
+    Of m bands of their bits, two hashes within k differ in at most k // m bits in one (pigeonhole): one side sends each
+    band's value, the other all values so near to it, and the bands are an equi-join. How many bands, or whether all pairs
+    in tiles of equal size are cheaper, follows from the number of rows and k.
     """
-    bands = min(64, k + 1)
-    edges = [64 * i // bands for i in range(bands + 1)]
-    band = lambda h: [F.shiftrightunsigned(F.shiftleft(h, 64 - hi), 64 - hi + lo) for lo, hi in zip(edges, edges[1:])]
     rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).where("h is not null")
-    keyed = rows.select("id", "h", F.posexplode(F.array(*band(F.col("h")))).alias("band", "value"))
-    a, b = keyed.select(F.col("id").alias("a"), F.col("h").alias("ha"), "band", "value"), keyed.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "value")
-    same = F.array(*(x == y for x, y in zip(band(F.col("ha")), band(F.col("hb")))))
-    met = a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (hamming(F.col("ha"), F.col("hb")) <= k) & (F.array_position(same, F.lit(True)) == F.col("band") + 1))
-    return met.select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance"))
+    n = rows.count()
+    met = hamming_candidates(rows, k, hamming_plan(n, k)[0], n)
+    distance = hamming(F.col("ha"), F.col("hb"))
+    return met.where(distance <= k).select("a", "b", distance.alias("distance"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

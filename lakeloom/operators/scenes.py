@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakeloom.operators.kernels import frame_difference_udf
+from lakeloom.operators.kernels import dhash_udf, frame_difference_udf
 
 
 def split_scenes(scores: DataFrame, threshold: float, fps: float, assets: DataFrame | None = None, key: str = "asset_id", order: tuple[str, ...] = ("frame",), score: str = "score") -> DataFrame:
@@ -44,7 +46,31 @@ def checked_scenes(scenes: DataFrame) -> DataFrame:
 
 
 def merge_short_scenes(scenes: DataFrame, min_seconds: float = 1.0, key: str = "asset_id") -> DataFrame:
-    """Cuts that come less than min_seconds after the scene before began are dropped (our own design)."""
-    w = Window.partitionBy(key).orderBy("start_s")
-    kept = scenes.withColumn("gap", F.col("start_s") - F.lag("start_s").over(w)).where("gap is null or gap >= %r" % min_seconds)
-    return kept.select(key, (F.row_number().over(w) - 1).alias("scene"), "start_s", F.lead("start_s").over(w).alias("end_s"))
+    """Scenes shorter than min_seconds become part of the scene before, which then lasts on (our own design).
+
+    A cut counts if the scene that is open began min_seconds earlier at least, so cuts that were dropped don't count.
+    """
+    starts = scenes.groupBy(key).agg(F.array_sort(F.collect_list(F.col("start_s").cast("double"))).alias("starts"))
+    none = F.array().cast("array<double>")
+    kept = F.aggregate("starts", none, lambda cuts, x: F.when((F.size(cuts) == 0) | (x - F.element_at(cuts, F.greatest(F.size(cuts), F.lit(1))) >= min_seconds), F.array_append(cuts, x)).otherwise(cuts))
+    cut = starts.select(key, kept.alias("cuts"))
+    out = cut.select(key, "cuts", F.posexplode("cuts").alias("scene", "start_s"))
+    return out.select(key, "scene", "start_s", F.get("cuts", F.col("scene") + 1).alias("end_s"))
+
+
+@dataclass(frozen=True)
+class SceneDetector:
+    """Cuts where the difference hashes of neighbouring sampled frames lie further apart than hash_distance."""
+
+    hash_distance: int = 24
+    min_scene_ms: int = 1000
+    every_nth_frame: int = 1
+
+    def detect(self, frames: DataFrame, fps: float, key: str = "asset_id") -> DataFrame:
+        """frames (key, frame, data, width, height) to (key, scene, start_s, end_s)."""
+        sampled = frames.where(F.col("frame") % self.every_nth_frame == 0).select(key, "frame", dhash_udf("data", "width", "height").alias("hash"))
+        w = Window.partitionBy(key).orderBy("frame")
+        apart = F.bit_count(F.col("hash").bitwiseXOR(F.lag("hash").over(w)))
+        cuts = sampled.withColumn("apart", apart).where(F.col("apart").isNull() | (F.col("apart") > self.hash_distance))
+        scenes = cuts.select(key, (F.row_number().over(w) - 1).alias("scene"), (F.col("frame") / fps).alias("start_s"), (F.lead("frame").over(w) / fps).alias("end_s"))
+        return merge_short_scenes(scenes, self.min_scene_ms / 1000, key)

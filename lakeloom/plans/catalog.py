@@ -282,8 +282,17 @@ ORACLES = {
     "groups_for_archive": f"WITH {_ASSETS_SQL}, {_GROUPS_SQL} SELECT DISTINCT archive, group_id FROM grp JOIN assets USING (fingerprint)",
     "hamming_pairs": f"WITH {_BITS_SQL} SELECT x.id AS a, y.id AS b, CAST(list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS INTEGER) AS distance FROM h x JOIN h y ON x.id < y.id WHERE list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) <= 18",
     "scene_cuts": f"WITH {_SCENES_SQL} SELECT asset_id, scene, round(i / 25.0, 6) AS start_s, round(j / 25.0, 6) AS end_s FROM cuts",
-    "scenes_merged": f"""WITH {_SCENES_SQL}, g AS (SELECT asset_id, i, i / 25.0 - lag(i) OVER (PARTITION BY asset_id ORDER BY i) / 25.0 AS gap FROM cuts)
-      SELECT asset_id, row_number() OVER w - 1 AS scene, round(i / 25.0, 6) AS start_s, round(lead(i) OVER w / 25.0, 6) AS end_s FROM g WHERE gap IS NULL OR gap >= 0.2 WINDOW w AS (PARTITION BY asset_id ORDER BY i)""",
+"hamming_leaders": f"""WITH RECURSIVE {_BITS_SQL}, p AS (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.id < y.id WHERE list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) <= 18),
+      near AS (SELECT b, list(a ORDER BY a) AS l FROM p GROUP BY b), o AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM h),
+      r AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS leaders, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS leader
+        UNION ALL SELECT o.rn, CASE WHEN list_has_any(coalesce(n.l, CAST([] AS BIGINT[])), r.leaders) THEN r.leaders ELSE list_append(r.leaders, o.id) END, o.id,
+          coalesce(list_min(list_intersect(coalesce(n.l, CAST([] AS BIGINT[])), r.leaders)), o.id) FROM r JOIN o ON o.rn = r.rn + 1 LEFT JOIN near n ON n.b = o.id)
+      SELECT leader, id AS member FROM r WHERE leader IN (SELECT leader FROM r WHERE id IS NOT NULL GROUP BY leader HAVING count(*) > 1)""",
+    "asset_uuid5": f"""WITH {_ASSETS_SQL}, x AS (SELECT asset_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode('asset:' || archive || ':' || path)) AS h FROM assets)
+      SELECT asset_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid FROM x""",
+    "scenes_merged": f"""WITH RECURSIVE {_SCENES_SQL}, k AS (SELECT asset_id, i FROM cuts WHERE scene = 0
+        UNION ALL SELECT k.asset_id, min(c.i) FROM k JOIN cuts c ON c.asset_id = k.asset_id AND c.i > k.i AND c.i / 25.0 - k.i / 25.0 >= 0.2 GROUP BY k.asset_id, k.i)
+      SELECT asset_id, row_number() OVER w - 1 AS scene, round(i / 25.0, 6) AS start_s, round(lead(i) OVER w / 25.0, 6) AS end_s FROM k WINDOW w AS (PARTITION BY asset_id ORDER BY i)""",
     "rescan_outcomes": f"""WITH {_ASSETS_SQL}, {_SCAN_SQL}, o AS (SELECT s.path, a.size_bytes AS old, CASE WHEN a.path IS NULL THEN 'new' WHEN a.size_bytes = s.size_bytes THEN 'unchanged' ELSE 'changed' END AS outcome FROM scan s LEFT JOIN assets a ON a.path = s.path)
       SELECT path, outcome, CASE WHEN outcome = 'changed' THEN old END AS previous_size FROM o""",
     "rescan_pending": f"""WITH {_ASSETS_SQL}, {_SCAN_SQL}, o AS (SELECT CASE WHEN a.path IS NULL THEN 'new' WHEN a.size_bytes = s.size_bytes THEN 'unchanged' ELSE 'changed' END AS outcome FROM scan s LEFT JOIN assets a ON a.path = s.path)
