@@ -19,6 +19,13 @@ def exact_duplicates(assets: DataFrame, id_col: str = "asset_id") -> DataFrame:
     return groups.where(F.size("members") > 1).select(F.get("members", F.lit(0)).alias("group_id"), "fingerprint", "members", F.lit(LAYERS["exact"]).alias("match_kind"), F.lit(1.0).cast("float").alias("similarity"))
 
 
+def exact_members(assets: DataFrame, id_col: str = "asset_id") -> DataFrame:
+    """(group_id, fingerprint, asset_id): the same groups, a row for each member, however many they are."""
+    known = assets.where("fingerprint is not null and fingerprint <> ''").select("fingerprint", F.col(id_col).alias("asset_id"))
+    groups = known.groupBy("fingerprint").agg(F.min("asset_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return known.join(groups, "fingerprint").select("group_id", "fingerprint", "asset_id")
+
+
 def group_by_fingerprint(files: DataFrame) -> DataFrame:
     return files.groupBy("fingerprint").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
@@ -30,10 +37,11 @@ def with_fingerprint(assets: DataFrame, fingerprint: str) -> DataFrame:
 def waste_report(groups: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row: groups, duplicate_assets (members of known size), reclaimable_bytes.
 
-    Of each group the keeper's size stays, or the largest known one where none was chosen.
+    Of each group the keeper's size stays, or the largest known one where none was chosen. Groups have arrays of members, or a
+    row for each member in asset_id.
     """
     keeper = F.col("keeper") if "keeper" in groups.columns else F.lit(None).cast("long")
-    members = groups.select("group_id", keeper.alias("keeper"), F.explode("members").alias("asset_id")).join(sizes.select("asset_id", "size_bytes"), "asset_id", "left")
+    members = groups.select("group_id", keeper.alias("keeper"), (F.explode("members") if "members" in groups.columns else F.col("asset_id")).alias("asset_id")).join(sizes.select("asset_id", "size_bytes"), "asset_id", "left")
     per = members.groupBy("group_id").agg(
         F.count("size_bytes").alias("known"), F.sum("size_bytes").alias("total"),
         F.coalesce(F.max(F.when(F.col("asset_id") == F.col("keeper"), F.col("size_bytes"))), F.max("size_bytes")).alias("stays"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -264,6 +265,23 @@ def simple_entries(assets: DataFrame, tags: DataFrame) -> DataFrame:
     return assets.join(labels, "asset_id", "left").select("asset_id", filename(F.col("path")).alias("filename"), "codec", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.lit("").alias("notes"))
 
 
+class SearchLayer(Enum):
+    """Where a match comes from: deterministic fields, words of text, or similarity with a score from 0 to 1."""
+
+    METADATA = "metadata"
+    FULL_TEXT = "full-text"
+    SEMANTIC = "semantic"
+
+
+def semantic_entries(entries: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """entries (asset_id, ...) with embedding, embedding_source and has_embedding from vectors (asset_id, embedding, source); without vectors all are text only."""
+    if vectors is None:
+        out = entries.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("embedding_source", F.lit(None).cast("string"))
+    else:
+        out = entries.join(vectors.select("asset_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("source").alias("embedding_source")), "asset_id", "left")
+    return out.withColumn("has_embedding", F.col("embedding").isNotNull())
+
+
 def cosine_topk(vectors: DataFrame, query: list[float], k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k vectors most similar to the query by cosine; a scan with a bounded heap in each task."""
     q = F.array(*(F.lit(float(x)) for x in query))

@@ -6,20 +6,23 @@ import argparse
 import ipaddress
 import json
 import os
+import socket
+import uuid
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from enum import IntEnum
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
 from urllib.parse import unquote_plus
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import media, text
 from lakeloom.operators import dedupe, health, search
 from lakeloom.plans.jobs import JobQueue
-from lakeloom.sources import archive
-from lakeloom.sources.store import TABLES, Store
+from lakeloom.sources import archive, probe
+from lakeloom.sources.store import TABLES, Store, StoreError
 
 
 class ExitCode(IntEnum):
@@ -37,10 +40,10 @@ def default_data_dir() -> str:
 
 
 class Engine:
-    """Everything the command line and the service do."""
+    """Everything the command line and the service do. With headers, an index run also reads what file headers say."""
 
-    def __init__(self, spark: SparkSession, data_dir: str) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, data_dir: str, headers: bool = False) -> None:
+        self.spark, self.headers = spark, headers
         self.store = Store(spark, data_dir)
         self.queue = JobQueue(self.store, {"index": self._index_job})
 
@@ -48,25 +51,44 @@ class Engine:
         row = self.store.table("archives").where(F.col("name") == name).first()
         return row["id"] if row else None
 
+    def _scan_once(self, roots: list[str]) -> str:
+        """Walks and hashes the roots and writes what was found beside the tables; the folder's name."""
+        files, _ = archive.scan(self.spark, roots, "simple")
+        if self.headers:
+            files = probe.probe_files(files)
+        name = f"{self.store.root}/scans/{uuid.uuid4().hex}"
+        files.write.parquet(name)
+        return name
+
     def _index_job(self, context, job: dict) -> str:
-        row = self.store.table("archives").where(F.col("id") == job["archive_id"]).first()
-        files, _ = archive.scan(self.spark, row["roots"], "simple")
-        ext = text.extension(text.filename(F.col("path")))
-        probe = media.extension_probe(ext)
+        row = self.store.archive(job["archive_id"])
+        scan = self._scan_once(row["roots"])
+        try:
+            return self._store_scan(context, row["id"], self.spark.read.parquet(scan))
+        finally:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(scan)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _store_scan(self, context, aid: str, files: DataFrame) -> str:
+        found = media.extension_probe(text.extension(text.filename(F.col("path"))))
+        value = {"media_type": found["media_type"], "supported": found["supported"], "container": found["container"], "codec": found["codec"]}
+        if self.headers:  # the extension speaks where the header says nothing
+            value = {n: F.coalesce(F.when(F.col("codec").isNotNull(), F.col(n)), v) for n, v in value.items()}
         fresh = files.where("fingerprint is not null").select(
-            text.asset_uuid(F.lit(row["id"]), text.normalize_path(F.col("path"))).alias("id"), F.lit(row["id"]).alias("archive_id"), "path", "fingerprint", "size_bytes", "modified_time",
-            probe["media_type"].alias("media_type"), probe["supported"].alias("supported"), F.to_json(F.struct(probe["container"].alias("container"), probe["codec"].alias("codec"))).alias("technical"),
+            text.asset_uuid(F.lit(aid), text.normalize_path(F.col("path"))).alias("id"), F.lit(aid).alias("archive_id"), "path", "fingerprint", "size_bytes", "modified_time",
+            value["media_type"].alias("media_type"), value["supported"].alias("supported"), F.to_json(F.struct(value["container"].alias("container"), value["codec"].alias("codec"))).alias("technical"),
         )
-        fresh = fresh.persist()
         n = fresh.count()
         self.store.upsert("assets", fresh)
         context.report_progress(0.9)
-        assets = self.store.assets_of(row["id"])
-        gone = [r["path"] for r in health.missing(assets, files).select("path").collect()]
-        bad = [r["id"] for r in health.corrupt(assets).select("id").collect()]
-        snapshot = (row["id"], datetime.now(timezone.utc), assets.count(), gone, bad, [], 0)
+        assets, now = self.store.assets_of(aid), datetime.now(timezone.utc)
+        finding = lambda kind, rows, subject: rows.select(F.lit(aid).alias("archive_id"), F.lit(now).alias("taken_at"), F.lit(kind).alias("kind"), F.col(subject).alias("subject"))
+        self.store.upsert("health_findings", finding("missing-file", health.missing(assets, files), "path").unionByName(finding("corrupt-asset", health.corrupt(assets), "id")))
+        mine = self.store.table("health_findings").where((F.col("archive_id") == aid) & (F.col("taken_at") == F.lit(now)))
+        counts = {r["kind"]: r["n"] for r in health.counts_by_kind(mine).collect()}  # a row for each kind
+        waste = dedupe.waste_report(dedupe.exact_members(assets, "id"), assets.select(F.col("id").alias("asset_id"), "size_bytes")).first()
+        snapshot = (aid, now, assets.count(), counts.get("missing-file", 0), counts.get("corrupt-asset", 0), 0, waste["reclaimable_bytes"])
         self.store.upsert("health_snapshots", self.spark.createDataFrame([snapshot], TABLES["health_snapshots"][0]))
-        fresh.unpersist()
         return f"indexed {n} asset(s)"
 
     def index(self, name: str, roots: list[str]) -> dict:
@@ -100,7 +122,7 @@ class Engine:
 
     def trend(self, archive_id: str | None, limit: int):
         rows = self.store.recent_snapshots(archive_id, limit)
-        return health.trend(rows.withColumn("interventions", F.size("missing_files") + F.size("corrupt_assets") + F.size("orphaned_derivatives")))
+        return health.trend(rows.withColumn("interventions", F.col("missing_files") + F.col("corrupt_assets") + F.col("orphaned_derivatives")))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -156,16 +178,96 @@ def run(spark: SparkSession, argv: list[str]) -> tuple[ExitCode, str]:
     return ExitCode.SUCCESS, "tagging needs a model: nothing was tagged"
 
 
-def check_bind(host: str) -> str:
+def host_of(bind: str) -> str:
+    """The host of `host` or `host:port`; IPv6 addresses stand bare or in brackets."""
+    if bind.startswith("["):
+        end = bind.find("]")
+        return bind if end < 0 else bind[: end + 1]
+    return bind.rpartition(":")[0] if bind.count(":") == 1 else bind
+
+
+def check_bind(bind: str) -> str:
     """The host if it is a loopback address; anything else is an error."""
-    bare = host.strip("[]")
-    if bare != "localhost" and not ipaddress.ip_address(bare).is_loopback:
-        raise ValueError(f"not a loopback address: {host}")
+    host = host_of(bind)
+    bare = host[1:-1] if host.startswith("[") and host.endswith("]") else host
+    try:
+        ok = bare == "localhost" or ipaddress.ip_address(bare).is_loopback
+    except ValueError:
+        ok = False
+    if not ok:
+        raise ValueError(f"not a loopback address: {bind}")
     return bare
 
 
+@dataclass(frozen=True)
+class ApiConfig:
+    """The service is off unless it is enabled, and never binds anything but the loopback."""
+
+    enabled: bool = False
+    bind: str = "127.0.0.1"
+    port: int = 8420
+
+    def validate(self) -> str:
+        return check_bind(self.bind)
+
+    def start(self, engine: Engine) -> HTTPServer | None:
+        """The server, or None if it is not enabled. A port in `bind` goes before `port`."""
+        host = self.validate()
+        if not self.enabled:
+            return None
+        after = self.bind[len(host_of(self.bind)) :].lstrip(":")
+        return serve(engine, int(after) if after else self.port, host)
+
+
+class NotFoundError(LookupError):
+    """There is no such row."""
+
+
+class Commands:
+    """What a desktop program or the service asks for, by name: plain values in and out."""
+
+    def __init__(self, engine: Engine) -> None:
+        self.engine = engine
+
+    def health(self) -> dict:
+        return {"status": "ok", "archives": self.engine.store.table("archives").count()}
+
+    def list_archives(self) -> list[dict]:
+        return [r.asDict() for r in self.engine.store.archives().collect()]
+
+    def search(self, archive: str, q: str, dialect: str = "simple") -> list[dict]:
+        return [r.asDict() for r in self.engine.search(archive, q, dialect).collect()]
+
+    def row(self, table: str, key: str) -> dict:
+        found = self.engine.store.table(table).where(F.col("id") == key).first()
+        if found is None:
+            raise NotFoundError(f"{table}: {key}")
+        return found.asDict()
+
+    def health_trend(self, archive: str | None = None, limit: int = 30) -> list[dict]:
+        return [r.asDict() for r in self.engine.trend(archive, limit).collect()]
+
+    def reindex(self, archive: str) -> dict:
+        if self.engine.store.archive(archive) is None:
+            raise NotFoundError(f"archives: {archive}")
+        return {"job": self.engine.queue.enqueue(archive, "index")}
+
+
+def _status(error: Exception) -> int:
+    if isinstance(error, (search.QueryError, KeyError, ValueError)):
+        return 400
+    if isinstance(error, NotFoundError):
+        return 404
+    unavailable = isinstance(error, StoreError) or any(n in str(error) for n in ("java.io.", "PATH_NOT_FOUND", "UNABLE_TO_INFER", "FAILED_READ_FILE"))
+    return 503 if unavailable else 500
+
+
 def serve(engine: Engine, port: int = 8420, host: str = "127.0.0.1", decode: bool = True) -> HTTPServer:
-    """GET /health, /search?archive=&q=, /assets/<id>, /jobs/<id>, /health-trend; POST /reindex?archive=. Call serve_forever()."""
+    """GET /health, /search?archive=&q=, /assets/<id>, /jobs/<id>, /health-trend; POST /reindex?archive=. Call serve_forever().
+
+    Errors: 400 for a bad query or a missing argument, 404 for what isn't there, 503 if the store can't be read, else 500.
+    """
+    commands = Commands(engine)
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, body) -> None:
@@ -176,31 +278,28 @@ def serve(engine: Engine, port: int = 8420, host: str = "127.0.0.1", decode: boo
             self.end_headers()
             self.wfile.write(raw)
 
-        def _handle(self, method: str) -> None:
+        def _answer(self, method: str):
             path, _, query = self.path.partition("?")
             args = dict(x.partition("=")[::2] for x in query.split("&") if x)
             args = {k: unquote_plus(v) if decode else v for k, v in args.items()}
-            store = engine.store
+            if method == "GET" and path == "/health":
+                return commands.health()
+            if method == "GET" and path == "/search":
+                return commands.search(args["archive"], args["q"], args.get("dialect", "simple"))
+            if method == "GET" and path.startswith(("/assets/", "/jobs/")):
+                _, kind, key = path.split("/", 2)
+                return commands.row(kind, key)
+            if method == "GET" and path == "/health-trend":
+                return commands.health_trend(args.get("archive"), int(args.get("limit", 30)))
+            if method == "POST" and path == "/reindex":
+                return commands.reindex(args["archive"])
+            raise NotFoundError("no such route")
+
+        def _handle(self, method: str) -> None:
             try:
-                if method == "GET" and path == "/health":
-                    return self._send(200, {"status": "ok", "archives": store.table("archives").count()})
-                if method == "GET" and path == "/search":
-                    return self._send(200, [r.asDict() for r in engine.search(args["archive"], args["q"], args.get("dialect", "simple")).collect()])
-                if method == "GET" and path.startswith(("/assets/", "/jobs/")):
-                    _, kind, key = path.split("/", 2)
-                    row = store.table(kind).where(F.col("id") == key).first()
-                    return self._send(200, row.asDict()) if row else self._send(404, {"error": "not found"})
-                if method == "GET" and path == "/health-trend":
-                    return self._send(200, [r.asDict() for r in engine.trend(args.get("archive"), int(args.get("limit", 30))).collect()])
-                if method == "POST" and path == "/reindex":
-                    return self._send(200, {"job": engine.queue.enqueue(args["archive"], "index")})
-                return self._send(404, {"error": "not found"})
-            except search.QueryError as e:
-                self._send(400, {"error": str(e)})
-            except KeyError as e:
-                self._send(404 if method == "POST" else 400, {"error": str(e)})
+                self._send(200, self._answer(method))
             except Exception as e:
-                self._send(500, {"error": str(e)})
+                self._send(_status(e), {"error": str(e)})
 
         def do_GET(self) -> None:  # noqa: N802
             self._handle("GET")
@@ -211,4 +310,62 @@ def serve(engine: Engine, port: int = 8420, host: str = "127.0.0.1", decode: boo
         def log_message(self, *args) -> None:
             pass
 
-    return HTTPServer((check_bind(host), port), Handler)
+    family = socket.AF_INET6 if ":" in check_bind(host) else socket.AF_INET
+    return type("Server", (HTTPServer,), {"address_family": family})((check_bind(host), port), Handler)
+
+
+def strict_parser() -> argparse.ArgumentParser:
+    """The second command line: an archive is a configuration file, roots repeat, and a cloud model needs a second flag."""
+    p = argparse.ArgumentParser(prog="lakeloom")
+    p.add_argument("--data-dir", default=None)
+    sub = p.add_subparsers(dest="command", required=True)
+    for name in ("index", "search", "dedupe", "tag"):
+        c = sub.add_parser(name)
+        c.add_argument("--archive", required=True)
+        if name == "index":
+            c.add_argument("--root", dest="roots", action="append", default=[])
+        if name == "search":
+            c.add_argument("--query", required=True)
+        if name == "dedupe":
+            c.add_argument("--report", required=True)
+        if name == "tag":
+            c.add_argument("--local-only", action="store_true", default=True)
+            c.add_argument("--cloud", action="store_true")
+            c.add_argument("--cloud-confirmed", action="store_true")
+    return p
+
+
+def read_archive_file(path: str) -> tuple[str, list[str]]:
+    """Name and roots of an archive's configuration: the lines `name: x` and `roots:` with `- path` below it."""
+    name, roots, below = "", [], False
+    for line in Path(path).read_text().splitlines():
+        bare = line.split(" #")[0].strip()
+        if bare.startswith("- ") and below:
+            roots.append(bare[2:].strip().strip("'\""))
+        elif ":" in bare and not bare.startswith("#"):
+            key, _, value = bare.partition(":")
+            below = key == "roots"
+            if key == "name":
+                name = value.strip().strip("'\"")
+    if not name:
+        raise ValueError(f"no name in {path}")
+    return name, roots
+
+
+def run_strict(spark: SparkSession, argv: list[str]) -> tuple[ExitCode, str]:
+    """A command of the second command line, in the boolean dialect."""
+    try:
+        args = strict_parser().parse_args(argv)
+    except SystemExit:
+        return ExitCode.INPUT, "bad arguments"
+    if args.command == "tag" and args.cloud and not args.cloud_confirmed:
+        return ExitCode.INPUT, "--cloud needs --cloud-confirmed"
+    own = ["--data-dir", args.data_dir] if args.data_dir else []
+    if args.command == "index":
+        try:
+            name, roots = read_archive_file(args.archive)
+        except (OSError, ValueError) as e:
+            return ExitCode.CONFIGURATION, str(e)
+        return run(spark, [*own, "index", "--archive", name, "--roots", *(args.roots or roots)])
+    more = {"search": lambda: ["--query", args.query, "--dialect", "boolean"], "dedupe": lambda: ["--report", args.report], "tag": lambda: ["--allow-cloud"] if args.cloud else ["--local-only"]}
+    return run(spark, [*own, args.command, "--archive", args.archive, *more[args.command]()])

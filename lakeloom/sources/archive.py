@@ -14,6 +14,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.window import Window
+from lakeloom.sources.store import numbered
 
 CHUNK = 64 * 1024
 SCHEMA = "root string, path string, size_bytes long, modified_time timestamp, fingerprint string, error string"
@@ -188,3 +190,16 @@ def pending(candidates: DataFrame, log: DataFrame) -> DataFrame:
 
 def mark_indexed(log: DataFrame, done: DataFrame) -> DataFrame:
     return log.select("fingerprint").unionByName(done.select("fingerprint")).distinct()
+
+
+def index_scanned(files: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows that files add to an index of (id, path, ...): numbers go on after the greatest, from 1, in order of path.
+
+    A path that the index has already, or that stands twice in files, is an error; so is a file that could not be hashed.
+    """
+    last = index.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    known = index.select("path", F.lit(True).alias("_known"))
+    marked = files.join(known, "path", "left").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("path")))
+    fault = F.when(F.col("_known").isNotNull() | (F.col("_n") > 1), F.concat(F.lit("path already indexed: "), F.col("path"))).when(F.col("fingerprint").isNull(), F.concat(F.lit("unreadable file: "), F.col("path")))
+    checked = marked.withColumn("path", F.when(fault.isNotNull(), F.raise_error(fault).cast("string")).otherwise(F.col("path"))).drop("_known", "_n")
+    return numbered(checked, ["path"], "id", last + 1).select("id", *files.columns)

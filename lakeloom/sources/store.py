@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,26 +22,106 @@ TABLES = {
     "tags": ("id long, asset_id string, label string, source string, model string, version string, provider string, confidence float, rejected boolean", ["id"]),
     "duplicate_groups": ("id string, match_kind string, similarity float, reviewed boolean, keeper string, members array<string>", ["id"]),
     "scenes": ("asset_id string, idx int, start_s double, end_s double", ["asset_id", "idx"]),
-    "health_snapshots": ("archive_id string, taken_at timestamp, total_assets long, missing_files array<string>, corrupt_assets array<string>, orphaned_derivatives array<string>, duplicate_waste_bytes long", ["archive_id", "taken_at"]),
+    "health_snapshots": ("archive_id string, taken_at timestamp, total_assets long, missing_files long, corrupt_assets long, orphaned_derivatives long, duplicate_waste_bytes long", ["archive_id", "taken_at"]),
+    "health_findings": ("archive_id string, taken_at timestamp, kind string, subject string", ["archive_id", "taken_at", "kind", "subject"]),
     "jobs": ("id string, archive_id string, kind string, status string, progress double, error string, note string, created_at timestamp, updated_at timestamp", ["id"]),
 }
 
 
+#: Values that columns may have, in the order of their numbers; fixed values.
+ENUMS = {
+    "media_type": ("video", "audio", "unknown"),
+    "tag_source": ("manual", "local-model", "cloud-model"),
+    "derivative_kind": ("thumbnail", "proxy", "waveform"),
+    "match_kind": ("exact-hash", "perceptual-near-duplicate", "audio-fingerprint"),
+    "job_kind": ("index", "derivatives", "tagging"),
+    "job_status": ("queued", "active", "paused", "cancelled", "done", "failed"),
+}
+_CHECKED = {("assets", "media_type"): "media_type", ("tags", "source"): "tag_source", ("derivatives", "kind"): "derivative_kind", ("duplicate_groups", "match_kind"): "match_kind", ("jobs", "kind"): "job_kind", ("jobs", "status"): "job_status"}
+
+
+class StoreError(RuntimeError):
+    """The store is of another version, can't be read, or was asked for what it can't do."""
+
+
+def _invalid(kind: str, value: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(f"invalid {kind} "), value.cast("string")))
+
+
+def encode_enum(kind: str, value: Column) -> Column:
+    """A value's number; null stays null, an unknown value is an error when it is met."""
+    numbers = F.create_map(*(x for i, v in enumerate(ENUMS[kind]) for x in (F.lit(v), F.lit(i))))
+    return F.when(value.isNotNull(), F.coalesce(F.try_element_at(numbers, value), _invalid(kind, value).cast("int")))
+
+
+def decode_enum(kind: str, number: Column) -> Column:
+    """The value of a number; null stays null, an unknown number is an error when it is met."""
+    return F.when(number.isNotNull(), F.coalesce(F.get(F.array(*map(F.lit, ENUMS[kind])), number.cast("int")), _invalid(kind, number)))
+
+
+def checked_enum(kind: str, value: Column) -> Column:
+    return F.when(value.isNull() | value.isin(*ENUMS[kind]), value).otherwise(_invalid(kind, value))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "id", first: int = 1) -> DataFrame:
+    """rows numbered from `first` on without gaps, in order, by ranges: only the number of rows of each range meets in one place."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    sizes = dealt.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    out = dealt.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(starts), "_range")  # a row for each range
+    return out.withColumn(name, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + F.lit(first)).drop("_at", "_range", "_before")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of old and new, the new one where the key is in both; of new rows with one key an arbitrary one."""
+    """Rows of old and new, the new one where the key is in both; of new rows with one key the greatest, column by column."""
+    rest = [c for c in old.columns if c not in keys]
     both = old.withColumn("_new", F.lit(0)).unionByName(new.select(*old.columns).withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_new"))
+    # Maps have no order; as text they have.
+    kinds = dict(old.dtypes)
+    order = [F.to_json(c) if kinds[c].startswith("map") else F.col(c) for c in rest]
+    w = Window.partitionBy(*keys).orderBy(F.desc("_new"), *(c.desc() for c in order))
     return both.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_new")
 
 
 class Store:
     """Tables below one folder, which any Hadoop file system may hold."""
 
-    VERSION = 1
+    VERSION = 2
 
     def __init__(self, spark: SparkSession, root: str) -> None:
+        """Opens the store, or makes one with the present version; a store of another version is refused."""
         self.spark, self.root = spark, root.rstrip("/")
         self._conf = spark._jsc.hadoopConfiguration()
+        found = self._read(f"{self.root}/VERSION")
+        if found is None:
+            if any(self._fs().exists(self._path(f"{self.root}/{t}/CURRENT")) for t in TABLES):
+                raise StoreError("a store without a version")
+            self._write(f"{self.root}/VERSION", str(self.VERSION))
+        elif found != str(self.VERSION):
+            raise StoreError(f"a store of version {found}, not {self.VERSION}")
+
+    def _read(self, name: str) -> str | None:
+        fs, p = self._fs(), self._path(name)
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode().strip()
+        finally:
+            stream.close()
+
+    def _write(self, name: str, value: str) -> None:
+        """Writes beside the file and renames, so readers see the old or the new value."""
+        jvm, fs = self.spark._jvm, self._fs()
+        temporary, final = self._path(f"{name}.{uuid.uuid4().hex}"), self._path(name)
+        out = fs.create(temporary, True)
+        out.write(bytearray(value.encode()))
+        out.close()
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.isAbsolute() and final.toUri().getScheme() else fs.getUri(), self._conf)
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(temporary, final, options)
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -50,14 +130,7 @@ class Store:
         return self._path(self.root).getFileSystem(self._conf)
 
     def _pointer(self, table: str) -> str | None:
-        fs, p = self._fs(), self._path(f"{self.root}/{table}/CURRENT")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode().strip()
-        finally:
-            stream.close()
+        return self._read(f"{self.root}/{table}/CURRENT")
 
     def table(self, name: str) -> DataFrame:
         schema, _ = TABLES[name]
@@ -67,17 +140,28 @@ class Store:
     def replace(self, name: str, rows: DataFrame) -> None:
         schema, keys = TABLES[name]
         columns = self.spark.createDataFrame([], schema).columns
-        version = f"v_{uuid.uuid4().hex}"
+        for column in columns:
+            if kind := _CHECKED.get((name, column)):
+                rows = rows.withColumn(column, checked_enum(kind, F.col(column)))
+        before, version = self._pointer(name), f"v_{uuid.uuid4().hex}"
         rows.select(*columns).write.parquet(f"{self.root}/{name}/{version}")
-        jvm, fs = self.spark._jvm, self._fs()
-        temporary, final = self._path(f"{self.root}/{name}/.{version}"), self._path(f"{self.root}/{name}/CURRENT")
-        out = fs.create(temporary, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.isAbsolute() and final.toUri().getScheme() else fs.getUri(), self._conf)
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temporary, final, options)
+        if self._pointer(name) != before:
+            raise StoreError(f"{name} was written by another")  # the new version is not pointed to: vacuum() takes it
+        self._write(f"{self.root}/{name}/CURRENT", version)
+
+    def vacuum(self) -> int:
+        """Deletes the versions that no pointer names, but for those of readers that may still be at work: call it when none is."""
+        fs, gone = self._fs(), 0
+        for name in TABLES:
+            folder = self._path(f"{self.root}/{name}")
+            if not fs.exists(folder):
+                continue
+            keep = self._pointer(name)
+            for entry in fs.listStatus(folder):
+                path = entry.getPath()
+                if path.getName().startswith("v_") and path.getName() != keep:
+                    gone += bool(fs.delete(path, True))
+        return gone
 
     def upsert(self, name: str, rows: DataFrame) -> None:
         _, keys = TABLES[name]
@@ -104,7 +188,8 @@ class Store:
 
     def delete_archive(self, archive_id: str) -> None:
         self.delete_assets(self.table("assets").where(F.col("archive_id") == archive_id).select("id"))
-        self.delete("health_snapshots", F.col("archive_id") == archive_id)
+        for name in ("health_snapshots", "health_findings"):
+            self.delete(name, F.col("archive_id") == archive_id)
         jobs = self.table("jobs")
         self.replace("jobs", jobs.withColumn("archive_id", F.when(F.col("archive_id") != archive_id, F.col("archive_id"))))
         self.delete("archives", F.col("id") == archive_id)
@@ -116,6 +201,21 @@ class Store:
         self.upsert("archives", self.spark.createDataFrame([row], TABLES["archives"][0]))
         return row[0]
 
+    def archives(self) -> DataFrame:
+        return self.table("archives").orderBy("name")
+
+    def archive(self, archive_id: str) -> dict | None:
+        row = self.table("archives").where(F.col("id") == archive_id).first()
+        return row.asDict() if row else None
+
+    def roots_of(self, archive_id: str) -> DataFrame:
+        """(pos, root) in order."""
+        return self.table("archives").where(F.col("id") == archive_id).select(F.posexplode("roots").alias("pos", "root")).orderBy("pos")
+
+    def asset(self, asset_id: str) -> dict | None:
+        row = self.table("assets").where(F.col("id") == asset_id).first()
+        return row.asDict() if row else None
+
     def set_preference(self, key: str, value: str) -> None:
         self.upsert("preferences", self.spark.createDataFrame([(key, value)], TABLES["preferences"][0]))
 
@@ -130,8 +230,9 @@ class Store:
         return self.table("derivatives").where(F.col("asset_id") == asset_id).orderBy("kind")
 
     def add_tags(self, tags: DataFrame) -> None:
+        """New tags get the numbers after the greatest, in order of asset and label."""
         base = self.table("tags").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        self.upsert("tags", tags.withColumn("id", F.row_number().over(Window.orderBy("asset_id", "label")).cast("long") + base))
+        self.upsert("tags", numbered(tags.drop("id"), ["asset_id", "label"], "id", base + 1))
 
     def set_tag_rejected(self, tag_id: int, rejected: bool) -> None:
         self.replace("tags", self.table("tags").withColumn("rejected", F.when(F.col("id") == tag_id, F.lit(rejected)).otherwise(F.col("rejected"))))
@@ -147,7 +248,21 @@ class Store:
     def groups_of_asset(self, asset_id: str) -> DataFrame:
         return self.table("duplicate_groups").where(F.array_contains("members", asset_id)).orderBy("id")
 
+    def group(self, group_id: str) -> dict | None:
+        """One group; its members keep their order."""
+        row = self.table("duplicate_groups").where(F.col("id") == group_id).first()
+        return row.asDict() if row else None
+
+    def delete_group(self, group_id: str) -> None:
+        self.delete("duplicate_groups", F.col("id") == group_id)
+
     def review_group(self, group_id: str, keeper: str | None) -> None:
+        """Marks the group as reviewed; a keeper must be one of its members."""
+        found = self.group(group_id)
+        if found is None:
+            raise StoreError(f"no group {group_id}")
+        if keeper is not None and keeper not in found["members"]:
+            raise StoreError(f"{keeper} is not in group {group_id}")
         mine = F.col("id") == group_id
         self.replace("duplicate_groups", self.table("duplicate_groups").withColumn("reviewed", F.when(mine, F.lit(True)).otherwise(F.col("reviewed"))).withColumn("keeper", F.when(mine, F.lit(keeper)).otherwise(F.col("keeper"))))
 

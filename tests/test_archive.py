@@ -207,12 +207,12 @@ def test_application(spark, tree, tmp_path):
 def test_job_recovery(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     queue = JobQueue(store)
-    job = queue.enqueue(None, "custom", lambda c, j: c.report_progress(0.4))
+    job = queue.enqueue(None, "tagging", lambda c, j: c.report_progress(0.4))
     queue._update(job, status="active", progress=0.4)
-    again = JobQueue(store, {"custom": lambda c, j: "fine"})
+    again = JobQueue(store, {"tagging": lambda c, j: "fine"})
     assert again.get(job)["status"] == "queued"
-    bad = again.enqueue(None, "custom", lambda c, j: 1 / 0)
-    gone = again.enqueue(None, "custom")
+    bad = again.enqueue(None, "tagging", lambda c, j: 1 / 0)
+    gone = again.enqueue(None, "tagging")
     again.cancel(gone)
     again.run_until_idle()
     assert [again.get(j)["status"] for j in (job, bad, gone)] == ["done", "failed", "cancelled"]
@@ -220,3 +220,149 @@ def test_job_recovery(spark, tmp_path):
     store.set_preference("a", "1")
     store.set_preference("a", "2")
     assert store.preference("a") == "2" and store.preference("b") is None
+
+
+def test_store_versions_and_reads(spark, tmp_path):
+    from lakeloom.sources.store import ENUMS, StoreError, decode_enum, encode_enum, numbered
+
+    root = str(tmp_path / "s")
+    store = Store(spark, root)
+    aid = store.find_or_create_archive("b", ["/y", "/x"])
+    store.find_or_create_archive("a", ["/z"])
+    assert [r["name"] for r in store.archives().collect()] == ["a", "b"]
+    assert [tuple(r) for r in store.roots_of(aid).collect()] == [(0, "/x"), (1, "/y")]
+    assert store.archive(aid)["name"] == "b" and store.archive("none") is None and store.asset("none") is None
+    groups = spark.createDataFrame([("g", "exact-hash", 1.0, False, None, ["k", "j"])], "id string, match_kind string, similarity float, reviewed boolean, keeper string, members array<string>")
+    store.upsert("duplicate_groups", groups)
+    assert store.group("g")["members"] == ["k", "j"] and store.group("h") is None
+    for bad in (("h", None), ("g", "q")):
+        with pytest.raises(StoreError):
+            store.review_group(*bad)
+    store.review_group("g", "j")
+    assert (store.group("g")["keeper"], store.group("g")["reviewed"]) == ("j", True)
+    store.delete_group("g")
+    assert store.group("g") is None
+    with pytest.raises(Exception, match="invalid job_kind other"):
+        JobQueue(store).enqueue(None, "other")
+    tags = spark.createDataFrame([("k", f"l{i:02d}") for i in range(40)], "asset_id string, label string")
+    more = {c: F.lit(None) for c in ("model", "version", "provider", "confidence")}
+    for _ in range(2):
+        store.add_tags(tags.withColumns(more | {"source": F.lit("manual"), "rejected": F.lit(False)}))
+    assert [(r["id"], r["label"]) for r in store.table("tags").orderBy("id").collect()] == [(i + 1, f"l{i % 40:02d}") for i in range(80)]
+    assert store.vacuum() > 0 and store.vacuum() == 0 and store.table("tags").count() == 80
+    assert Store(spark, root).archive(aid)["roots"] == ["/x", "/y"]
+    (tmp_path / "s" / "VERSION").write_text("99")
+    (tmp_path / "s" / ".VERSION.crc").unlink(missing_ok=True)
+    with pytest.raises(StoreError, match="version 99"):
+        Store(spark, root)
+    values = spark.createDataFrame([(v, i) for i, v in enumerate(ENUMS["job_status"])] + [(None, None)], "v string, i int")
+    assert all(r[0] == r[1] and r[2] == r[3] for r in values.select("i", encode_enum("job_status", F.col("v")), "v", decode_enum("job_status", F.col("i"))).collect())
+    for column in (encode_enum("match_kind", F.lit("odd")), decode_enum("match_kind", F.lit(7))):
+        with pytest.raises(Exception, match="invalid match_kind"):
+            spark.range(1).select(column).collect()
+    assert numbered(spark.createDataFrame([], "path string"), ["path"]).count() == 0
+
+
+def test_upsert_ties_are_settled(spark):
+    from lakeloom.sources.store import upsert
+
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id long, x string, n int")
+    new = spark.createDataFrame([(1, "c", 1), (1, "d", 0), (1, "d", 5), (3, None, None)], "id long, x string, n int")
+    assert sorted(map(tuple, upsert(old, new, ["id"]).collect())) == [(1, "d", 5), (2, "b", 2), (3, None, None)]
+
+
+def test_index_scanned(spark):
+    from lakeloom.sources.archive import index_scanned
+
+    files = spark.createDataFrame([(p, "f") for p in ("b", "a", "c")], "path string, fingerprint string")
+    none = spark.createDataFrame([], "id long, path string, fingerprint string")
+    assert sorted(map(tuple, index_scanned(files, none).collect())) == [(1, "a", "f"), (2, "b", "f"), (3, "c", "f")]
+    some = spark.createDataFrame([(7, "z")], "id long, path string")
+    assert min(r["id"] for r in index_scanned(files, some).collect()) == 8
+    for bad, message in ((files.unionByName(files.limit(1)), "path already indexed"), (files.withColumn("fingerprint", F.lit(None).cast("string")), "unreadable file")):
+        with pytest.raises(Exception, match=message):
+            index_scanned(bad, none).collect()
+    with pytest.raises(Exception, match="path already indexed"):
+        index_scanned(files, spark.createDataFrame([(1, "b")], "id long, path string")).collect()
+
+
+def test_headers_findings_and_second_command_line(spark, tmp_path):
+    import json
+
+    from lakeloom.plans import api
+
+    root = tmp_path / "files"
+    root.mkdir()
+    (root / "odd.dat").write_bytes(b"fLaC\0\0\0\x22" + b"\0" * 10 + ((48000 << 44) | (1 << 41) | (15 << 36) | 48000).to_bytes(8, "big") + b"\0" * 16)
+    (root / "text.xyz").write_text("words")
+    data = str(tmp_path / "data")
+    engine = api.Engine(spark, data, headers=True)
+    assert engine.index("arch", [str(root)])["assets"] == 2
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in engine.store.table("assets").collect()}
+    assert rows["odd.dat"]["media_type"] == "audio" and rows["odd.dat"]["supported"] and json.loads(rows["odd.dat"]["technical"])["codec"] == "flac"
+    assert not rows["text.xyz"]["supported"]
+    (root / "odd.dat").unlink()
+    engine.index("arch", [])
+    kinds = {(r["kind"], r["subject"].rsplit("/", 1)[-1]) for r in engine.store.table("health_findings").collect()}
+    assert ("missing-file", "odd.dat") in kinds and ("corrupt-asset", rows["text.xyz"]["id"]) in kinds
+    assert not any((tmp_path / "data" / "scans").iterdir())
+    # The second command line.
+    config = tmp_path / "arch.yaml"
+    config.write_text(f"# an archive\nname: 'arch'\nroots:\n  - {root}\n")
+    say = lambda *a: api.run_strict(spark, ["--data-dir", data, *a])
+    assert say("index", "--archive", str(config))[0] == api.ExitCode.SUCCESS
+    assert say("index", "--archive", str(tmp_path / "none.yaml"))[0] == api.ExitCode.CONFIGURATION
+    code, out = say("search", "--archive", "arch", "--query", "text NOT media:audio")
+    assert code == api.ExitCode.SUCCESS and "text.xyz" in out
+    assert say("tag", "--archive", "arch", "--cloud")[0] == api.ExitCode.INPUT
+    assert say("tag", "--archive", "arch", "--cloud", "--cloud-confirmed")[0] == api.ExitCode.SUCCESS
+    assert say("dedupe", "--archive", "arch")[0] == api.ExitCode.INPUT
+    assert say("dedupe", "--archive", "arch", "--report", str(tmp_path / "r.json"))[0] == api.ExitCode.SUCCESS and (tmp_path / "r.json").exists()
+
+
+def test_service_configuration_and_statuses(spark, tmp_path):
+    import shutil
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from lakeloom.plans import api
+
+    for bind, host in (("127.0.0.1", "127.0.0.1"), ("localhost:99", "localhost"), ("[::1]:8420", "[::1]"), ("::1", "::1"), ("[::1", "[::1"), ("10.0.0.1:1", "10.0.0.1")):
+        assert api.host_of(bind) == host
+    for bad in ("0.0.0.0", "10.0.0.1:1", "[::1", "example.com", ""):
+        with pytest.raises(ValueError):
+            api.ApiConfig(bind=bad).validate()
+    engine = api.Engine(spark, str(tmp_path / "data"))
+    assert api.ApiConfig().start(engine) is None
+    server = api.ApiConfig(enabled=True, bind="127.0.0.1:0").start(engine)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+
+    def status(path, method="GET"):
+        try:
+            return urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", method=method), timeout=60).status
+        except urllib.error.HTTPError as e:
+            return e.code
+
+    try:
+        assert [status("/health"), status("/nothing"), status("/assets/x"), status("/search?archive=x"), status("/reindex?archive=x", "POST")] == [200, 404, 404, 400, 404]
+        engine.store.set_preference("a", "b")
+        aid = engine.store.find_or_create_archive("n", [])
+        assert status(f"/search?archive={aid}&q=colour:") in (200, 400)
+        shutil.rmtree(next((tmp_path / "data" / "archives").glob("v_*")))
+        for v in (tmp_path / "data" / "archives").glob("v_*"):
+            shutil.rmtree(v)
+        assert status("/health") == 503
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_semantic_entries_and_layers(spark):
+    from lakeloom.operators.search import SearchLayer, semantic_entries
+
+    entries = spark.createDataFrame([("a",), ("b",)], "asset_id string")
+    vectors = spark.createDataFrame([("a", [0.5], "local-model")], "asset_id string, embedding array<double>, source string")
+    assert sorted(map(tuple, semantic_entries(entries, vectors).collect())) == [("a", [0.5], "local-model", True), ("b", None, None, False)]
+    assert not any(r["has_embedding"] for r in semantic_entries(entries).collect())
+    assert [x.value for x in SearchLayer] == ["metadata", "full-text", "semantic"]
