@@ -15,6 +15,8 @@ the same offset and it is enough to sort what stands around anchors. Sorting is
 Anchors whose gram stands once in the corpus are found by a shuffle of hashes alone. Texts are written
 once, bucketed by batch, and never shuffled. What repeats inside a batch is settled there, so only a
 batch's first occurrences travel: a passage that a third of all documents hold is one entry a batch.
+A gram that stands in very many batches, as in a common line with different text around it, would bring
+them all into one task. Its windows go out one by one, to the task that owns their 128-bit fingerprint.
 
 Defined results: matches never cross documents; rows count as different documents, in order of doc_id
 (null ids last), rows of one id in an order that is fixed once; a null or empty text has no bytes and is
@@ -38,7 +40,9 @@ from lakeloom.llm.wordblocks import _table, pack, trim, unpack
 LENGTH, GRAM = 100, 24
 BATCH_BYTES = 8 << 20
 #: Window starts that are hashed at once, and windows that are sorted at once.
-BLOCK, SORTED_WINDOWS = 1 << 20, 1 << 20
+BLOCK, SORTED_WINDOWS = 1 << 18, 1 << 18
+#: An anchor in so many batches is hot: its windows meet by their fingerprints and not by the anchor.
+HOT_BATCHES = 16
 _POSITION = np.uint64((1 << 30) - 1)
 _ROWS = "batch long, part int, body binary, kind string"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -62,6 +66,8 @@ def anchor_runs(text: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tup
 
     text holds documents one after another, which end at `ends`, and 8 bytes more.
     """
+    if len(text) > int(_POSITION):
+        raise ValueError("a batch of documents must be shorter than 2 ** 30 bytes")
     width = length - GRAM + 1
     found: list[tuple] = []
     for x in range(0, max(0, len(text) - 8 - length + 1), BLOCK):
@@ -164,7 +170,7 @@ def repeated_windows(text: np.ndarray, first: np.ndarray, count: np.ndarray, anc
     if len(first) < 2:
         return out
     w = words8(text)
-    order, group = multikey_quicksort([w[anchor], w[anchor + 8], w[anchor + 16]])
+    order, group = multikey_quicksort([w[anchor + d].byteswap() for d in (0, 8, 16)])  # first byte highest: the order of suffixes
     several = np.bincount(group)[group] > 1
     order, group = order[several], group[several]
     if not len(order):
@@ -190,6 +196,28 @@ def repeated_windows(text: np.ndarray, first: np.ndarray, count: np.ndarray, anc
     return out
 
 
+def fingerprints(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit fingerprints, as two numbers, of the strings that begin at `starts`. text has 8 bytes more."""
+    a, b = np.full(len(starts), _M1), np.full(len(starts), _M2)
+    w = words8(text)
+    with np.errstate(over="ignore"):
+        for d in [*range(0, length - 8, 8), length - 8]:  # whole words; the last may overlap the one before
+            x = w[starts + d]
+            a, b = _mix((a ^ x) * _M2 + np.uint64(d + 1)), _mix((b + x) * _M1 + np.uint64(3 * d + 1))
+            b = b ^ (b >> np.uint64(32))
+    return a, b
+
+
+def _by_part(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes by part, in which of their places each hash's is, how often they stand, and the parts' edges."""
+    unique, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+    part = (unique % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return unique[order], place[inverse], n[order], np.searchsorted(part[order], np.arange(parts + 1))
+
+
 def _intervals(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted window starts to first starts and lengths of runs of consecutive ones."""
     if not len(starts):
@@ -232,13 +260,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             body = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), sizes, b"".join(texts), np.fromiter(map(len, extra), np.uint32, len(extra)), b"".join(extra))
             raw = np.concatenate([np.frombuffer(b"".join(texts), np.uint8), np.zeros(8, np.uint8)])
             _, _, _, h = anchor_runs(raw, np.cumsum(sizes, dtype=np.int64), length)
-            part = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            unique, _, n, edges = _by_part(h, parts)
             rows = [(base + seq, -1, body, "payload")]
             for p in np.flatnonzero(np.diff(edges)).tolist():
-                at = order[edges[p] : edges[p + 1]]
-                rows.append((base + seq, p, h[at].tobytes() + at.astype(np.uint32).tobytes(), "anchors"))
+                at = slice(edges[p], edges[p + 1])
+                rows.append((base + seq, p, unique[at].tobytes() + (n[at] > 1).tobytes(), "anchors"))
             return _emit(rows)
 
         for rb in batches:
@@ -260,23 +286,49 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     coded = ws.bucketed(documents(docs, id_col, text_col, carried.alias("carried")).mapInArrow(code, _ROWS), "coded", "batch", parts)
     payload = coded.where("kind = 'payload'").select("batch", "body")
 
-    # 2. Anchors whose gram stands twice or more go back to their batch.
+    # 2. Anchors whose gram stands twice or more go back to their batch: 1, or 2 for hot ones.
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(b, x) for rb in batches for b, x in zip(rb.column(0).to_pylist(), rb.column(2).to_pylist())]
+        rows = [r for rb in batches for r in zip(*(c.to_pylist() for c in rb.columns))]
         if not rows:
             return
-        hashes = [np.frombuffer(x, np.uint64, len(x) // 12) for _, x in rows]
-        h = np.sort(np.concatenate(hashes))
-        twice = np.unique(h[1:][h[1:] == h[:-1]])
-        for (batch, x), own in zip(rows, hashes):
-            i = np.minimum(np.searchsorted(twice, own), max(0, len(twice) - 1))
-            hit = twice[i] == own if len(twice) else np.zeros(len(own), bool)
-            if hit.any():
-                yield _emit([(batch, 0, np.frombuffer(x, np.uint32, len(own), 8 * len(own))[hit].tobytes(), "hits")])
+        sizes = [len(x) // 9 for _, _, x in rows]
+        h = np.concatenate([np.frombuffer(x, np.uint64, n) for (_, _, x), n in zip(rows, sizes)])
+        again = np.concatenate([np.frombuffer(x, np.uint8, n, 8 * n) for (_, _, x), n in zip(rows, sizes)])
+        order = np.argsort(h)
+        heads = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        size = np.diff(np.concatenate([heads, [len(h)]]))  # batches that have the gram
+        mark = np.where(size >= HOT_BATCHES, 2, (size > 1) | (np.maximum.reduceat(again[order], heads) > 0)).astype(np.uint8)
+        flags = np.empty(len(h), np.uint8)
+        flags[order] = np.repeat(mark, size)
+        for (batch, part, _), own in zip(rows, np.split(flags, np.cumsum(sizes)[:-1])):
+            if own.any():
+                yield _emit([(batch, part, own.tobytes(), "hits")])
         trim()
 
     anchors = coded.where("kind = 'anchors'").select("batch", "part", "body")
-    hits = anchors.repartitionById(parts, F.col("part")).mapInArrow(several, _ROWS).select(F.col("batch").alias("hit_batch"), F.col("body").alias("hit"))
+    hits = anchors.repartitionById(parts, F.col("part")).mapInArrow(several, _ROWS).select(F.col("batch").alias("hit_batch"), F.col("part").alias("hit_part"), F.col("body").alias("hit"))
+
+    def set_of(run: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return np.sort((run << 7) | which)
+
+    def alone(batch: int, runs: np.ndarray, first: np.ndarray, count: np.ndarray, gone: np.ndarray, ids: np.ndarray, known: np.ndarray, doc: np.ndarray, begin: np.ndarray, raw: np.ndarray) -> list[tuple]:
+        """Rows of the windows of hot runs that repeat nothing in their batch, by part of their fingerprints."""
+        n = count[runs]
+        run = np.repeat(runs, n)
+        which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        stays = ~np.isin((run << 7) | which, gone)
+        run, which = run[stays], which[stays]
+        where = first[run] + which
+        a, b = fingerprints(raw, where, length)
+        part = (a % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = []
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            g = order[edges[p] : edges[p + 1]]
+            d = doc[run[g]]
+            rows.append((batch, p, pack(a[g], b[g], ids[d], known[d], d.astype(np.uint32), (where[g] - begin[run[g]]).astype(np.uint32), where[g].astype(np.uint32)), "hot"))
+        return rows
 
     # 3. Within a batch: sort what stands around these anchors; first occurrences go on.
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -285,8 +337,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         batch = left.column("batch")[0].as_py()
         ids, known, sizes, raw, ends = _read(left.column("body")[0].as_py())
         first, count, anchor, h = anchor_runs(raw, ends, length)
-        at = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in right.column("hit").to_pylist()])).astype(np.int64)
-        first, count, anchor, h = first[at], count[at], anchor[at], h[at]
+        unique, place, _, edges = _by_part(h, parts)
+        flags = np.zeros(len(unique), np.uint8)
+        for p, x in zip(right.column("hit_part").to_pylist(), right.column("hit").to_pylist()):
+            flags[edges[p] : edges[p + 1]] = np.frombuffer(x, np.uint8)
+        at = np.flatnonzero(flags[place])
+        first, count, anchor, h, hot = first[at], count[at], anchor[at], h[at], flags[place][at] == 2
         doc = np.searchsorted(ends, first, side="right")
         begin = ends[doc] - sizes[doc]
         rank = np.empty(len(at), np.int64)
@@ -295,7 +351,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         run = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in hit)])
         which = np.concatenate([np.zeros(0, np.int64), *(x for _, x in hit)])
         rows = [(batch, -1, pack(*_intervals(first[run] + which)), "cover")]
-        goes = np.flatnonzero(np.bincount(run, minlength=len(at)) < count)
+        left_over = np.bincount(run, minlength=len(at)) < count
+        rows += alone(batch, np.flatnonzero(left_over & hot), first, count, set_of(run, which), ids, known, doc, begin, raw)
+        goes = np.flatnonzero(left_over & ~hot)
         part = (h[goes] % np.uint64(parts)).astype(np.int64)
         goes = goes[np.argsort(part, kind="stable")]
         edges = np.searchsorted(np.sort(part), np.arange(parts + 1))
@@ -337,8 +395,29 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             yield _emit([(int(names[i]), 0, pack(*_intervals(where[run[r]].astype(np.int64) + which[r])), "cover")])
         trim()
 
+    def across_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of equal fingerprints all but the earliest window's are repetitions."""
+        rows = [(b, unpack(x)) for rb in batches for b, x in zip(rb.column(0).to_pylist(), rb.column(2).to_pylist())]
+        if not rows:
+            return
+        kinds = (np.uint64, np.uint64, np.int64, np.uint8, np.uint32, np.uint32, np.uint32)
+        a, b, ids, known, doc, start, where = (np.concatenate([np.frombuffer(x[k], t) for _, x in rows]) for k, t in enumerate(kinds))
+        n = [len(x[0]) // 8 for _, x in rows]
+        names = np.array([b for b, _ in rows], np.int64)
+        batch = np.repeat(np.arange(len(rows)), n)
+        del rows
+        order = np.lexsort((start, doc, names[batch], ids, known == 0, b, a))
+        again = np.zeros(len(a), bool)
+        again[order[1:]] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        for i, (lo, hi) in enumerate(zip(np.cumsum(n) - n, np.cumsum(n))):
+            if (w := where[lo:hi][again[lo:hi]]).size:
+                yield _emit([(int(names[i]), 0, pack(*_intervals(w.astype(np.int64))), "cover")])
+        trim()
+
     contexts = found.where("kind = 'context'").select("batch", "part", "body")
     covers = contexts.repartitionById(parts, F.col("part")).mapInArrow(across, _ROWS).select("batch", "body")
+    hots = found.where("kind = 'hot'").select("batch", "part", "body")
+    covers = covers.unionByName(hots.repartitionById(parts, F.col("part")).mapInArrow(across_hot, _ROWS).select("batch", "body"))
     covers = covers.unionByName(found.where("kind = 'cover'").select("batch", "body")).select(F.col("batch").alias("cover_batch"), F.col("body").alias("cover"))
 
     # 5. Cover and cut.

@@ -167,13 +167,30 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.deduplicate(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 5, 1000])
+def test_suffix_dedup_with_hot_anchors(spark, monkeypatch, hot):
+    rng = np.random.default_rng(hot)
+    noise = lambda n: "".join(rng.choice(list("abcdefghij klmn"), n))
+    line, passage = noise(60), noise(260)
+    rows = [(int(i) if i % 9 else None, noise(rng.integers(0, 200)) + line + noise(90) + (passage if i % 2 else passage[: 150 + i]) + noise(40) + line) for i in rng.permutation(60)]
+    rows += [rows[3], (7, passage), (8, line + line), (9, "\u4e2d" * 90)]
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 1500)
+    monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", hot)
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = _cut(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+    known = lambda found: sorted((r for r in found if r[0] is not None), key=repr)  # noqa: E731  rows of one id, or none, stand in any fixed order
+    assert known((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got if r["doc_id"] != rows[3][0]) == known(w for w in want if w[0] != rows[3][0])
+    assert sum(r["n_removed"] for r in got) == sum(w[2] for w in want)
+
+
 def test_multikey_quicksort_and_tries():
     rng = np.random.default_rng(3)
     text = np.concatenate([rng.integers(97, 99, 3000).astype(np.uint8)] * 2 + [np.zeros(8, np.uint8)])
     w = suffix_dedup.words8(text)
     at = np.arange(5000)
-    order, group = suffix_dedup.multikey_quicksort([w[at], w[at + 8], w[at + 16]])
+    order, group = suffix_dedup.multikey_quicksort([w[at + d].byteswap() for d in (0, 8, 16)])
     keys = [text[i : i + 24].tobytes() for i in order]
+    assert keys == sorted(keys)
     assert all((a == b) == (x == y) for a, b, x, y in zip(keys, keys[1:], group, group[1:]))
     starts = np.arange(4000)
     hit = suffix_dedup.blind_tries(w, starts, np.zeros(len(starts), np.int64), 40)
