@@ -15,8 +15,8 @@ the same offset and it is enough to sort what stands around anchors. Sorting is
 Anchors whose gram stands once in the corpus are found by a shuffle of hashes alone. Texts are written
 once, bucketed by batch, and never shuffled. What repeats inside a batch is settled there, so only a
 batch's first occurrences travel: a passage that a third of all documents hold is one entry a batch.
-A gram that stands in very many batches, as in a common line with different text around it, would bring
-them all into one task. Its windows go out one by one, to the task that owns their 128-bit fingerprint.
+A gram that stands very often, as in a common line with different text around it, would bring all its
+places into one task. Its windows go out one by one, to the task that owns their 128-bit fingerprint.
 
 Defined results: matches never cross documents; rows count as different documents, in order of doc_id
 (null ids last), rows of one id in an order that is fixed once; a null or empty text has no bytes and is
@@ -41,8 +41,9 @@ LENGTH, GRAM = 100, 24
 BATCH_BYTES = 8 << 20
 #: Window starts that are hashed at once, and windows that are sorted at once.
 BLOCK, SORTED_WINDOWS = 1 << 18, 1 << 18
-#: An anchor in so many batches is hot: its windows meet by their fingerprints and not by the anchor.
-HOT_BATCHES = 16
+#: An anchor that stands so often, and makes up one part in HOT_PART of what its task receives, is hot: its windows
+#: meet by their fingerprints and not by the anchor.
+HOT_LEAST, HOT_PART = 256, 4
 _POSITION = np.uint64((1 << 30) - 1)
 _ROWS = "batch long, part int, body binary, kind string"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -264,7 +265,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             rows = [(base + seq, -1, body, "payload")]
             for p in np.flatnonzero(np.diff(edges)).tolist():
                 at = slice(edges[p], edges[p + 1])
-                rows.append((base + seq, p, unique[at].tobytes() + (n[at] > 1).tobytes(), "anchors"))
+                rows.append((base + seq, p, unique[at].tobytes() + n[at].astype(np.uint32).tobytes(), "anchors"))
             return _emit(rows)
 
         for rb in batches:
@@ -291,13 +292,14 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         rows = [r for rb in batches for r in zip(*(c.to_pylist() for c in rb.columns))]
         if not rows:
             return
-        sizes = [len(x) // 9 for _, _, x in rows]
+        sizes = [len(x) // 12 for _, _, x in rows]
         h = np.concatenate([np.frombuffer(x, np.uint64, n) for (_, _, x), n in zip(rows, sizes)])
-        again = np.concatenate([np.frombuffer(x, np.uint8, n, 8 * n) for (_, _, x), n in zip(rows, sizes)])
+        often = np.concatenate([np.frombuffer(x, np.uint32, n, 8 * n) for (_, _, x), n in zip(rows, sizes)]).astype(np.int64)
         order = np.argsort(h)
         heads = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         size = np.diff(np.concatenate([heads, [len(h)]]))  # batches that have the gram
-        mark = np.where(size >= HOT_BATCHES, 2, (size > 1) | (np.maximum.reduceat(again[order], heads) > 0)).astype(np.uint8)
+        total = np.add.reduceat(often[order], heads)
+        mark = np.where((total >= HOT_LEAST) & (total * HOT_PART >= total.sum()), 2, total > 1).astype(np.uint8)
         flags = np.empty(len(h), np.uint8)
         flags[order] = np.repeat(mark, size)
         for (batch, part, _), own in zip(rows, np.split(flags, np.cumsum(sizes)[:-1])):

@@ -175,7 +175,8 @@ def test_suffix_dedup_with_hot_anchors(spark, monkeypatch, hot):
     rows = [(int(i) if i % 9 else None, noise(rng.integers(0, 200)) + line + noise(90) + (passage if i % 2 else passage[: 150 + i]) + noise(40) + line) for i in rng.permutation(60)]
     rows += [rows[3], (7, passage), (8, line + line), (9, "\u4e2d" * 90)]
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 1500)
-    monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_LEAST", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_PART", 1000)
     got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = _cut(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])))
     known = lambda found: sorted((r for r in found if r[0] is not None), key=repr)  # noqa: E731  rows of one id, or none, stand in any fixed order
