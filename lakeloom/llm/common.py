@@ -106,18 +106,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: A key is hot from a thousandth of the rows on, so at most this many keys are hot.
-HOT_SHARE = 1000
+#: A key is hot if it has more than one in so many of the rows, so at most so many keys are hot; and the rows any hot key has.
+HOT_SHARE, HOT_ROWS = 1 << 16, 1000
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
     """Left join of many rows to one row a key where some keys hold a large share of the left rows.
 
     right has one row for each key and, in column `count`, the key's number of left rows. Keys with
-    more than max(1000, total / HOT_SHARE) left rows are at most HOT_SHARE many, so their rows of
+    more than max(HOT_ROWS, total / HOT_SHARE) left rows are at most HOT_SHARE many, so their rows of
     `right` are broadcast and the left rows stay where they are; all other keys are joined by shuffle.
     """
-    limit = max(1000, total // HOT_SHARE)
+    limit = max(HOT_ROWS, total // HOT_SHARE)
     hot = right.where(F.col(count) > limit)
     keys = hot.select(*on, F.lit(True).alias("_hot"))
     marked = left.join(F.broadcast(keys), on, "left")

@@ -42,6 +42,8 @@ WORDS, PERCENT = 5, 80
 SUBSET = 2
 #: Rounds in which the lists still open are compared with one more of their members.
 PIVOTS = 2
+#: Members of an open list that one task compares with all others of it, on the average.
+DEALT = 1000
 #: Keys that a task gathers before it sends them on, and words whose hash it keeps.
 SEND, CACHED_WORDS = 1 << 20, 300_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -340,10 +342,13 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
         more = ws.put(_verify(pairs, held, words, percent, seed), f"edges_pivot_{r}")
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), ws, f"pivot_{r}")
     open_ = still_open(labels, "open")
-    minor = open_.where("label <> main").select("list", F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), "main")
-    other = open_.select("list", F.col("cls").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    # Long lists are dealt: each part of the minor ones meets all others.
+    parts_of = open_.groupBy("list").agg((F.count(F.lit(1)) / DEALT).cast("int").alias("more"))
+    open_ = open_.join(parts_of, "list")
+    minor = open_.where("label <> main").select("list", F.pmod(F.xxhash64("cls"), F.col("more") + 1).cast("int").alias("deal"), F.col("cls").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), F.col("sketch").alias("sx"), "main")
+    other = open_.select("list", F.explode(F.sequence(F.lit(0), "more")).alias("deal"), F.col("cls").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
     # A pair of two minor components is found from both sides: it is kept from one.
-    cross = minor.join(other, "list").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & _possible("sx", "sy", "nx", "ny", percent))
+    cross = minor.join(other, ["list", "deal"]).where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))) & _possible("sx", "sy", "nx", "ny", percent))
     rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     edges_2 = ws.put(_verify(rest, held, words, percent, seed, checked=True), "edges_2")
     final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(edges_2), ws, "final")

@@ -1,13 +1,16 @@
 """URL filters by a temporal list join (DataFrame operations only).
 
-List entries are dated events (add or remove a pattern). Per list and pattern they become validity
-intervals [from, until); a capture matches the entries whose pattern is one of its keys and whose
-interval holds its fetch time. A capture's keys are its host and the host's parent domains, and its
-host with each directory prefix of its path. Keys that a large share of captures has are salted on
-both sides of the join, so one host can't fill a task.
+List entries are dated events (add or remove a pattern). Per list and pattern they become validity intervals
+[from, until), which don't overlap. A capture's keys are its host and the host's parent domains, and its host with each directory of its path and
+with the whole path, with and without a slash at the end. Captures meet the lists that ever had one of their keys; an
+as-of join takes each list's last interval that began by the fetch time, which holds if it has not ended: intervals and
+captures of a pattern stand in one order of time, so a long history costs no more than its intervals.
+
+Keys that many captures have are salted on both sides by their number of captures, so one host can't fill a task.
 
 Defined results: urls without a host and null urls or times match nothing; of events of one pattern at
-one time the removal wins; repeated captures keep their number of rows; empty lists and empty captures
+one time the removal wins, and an event counts at its own time; a prefix without a slash at the end covers that path and
+what is below it, and no longer name; repeated captures keep their number of rows; empty lists and empty captures
 give no matches and no rows; other columns are not read.
 """
 
@@ -17,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakeloom.llm.common import HOT_SHARE, ascii_lower
+from lakeloom.llm.common import HOT_ROWS, HOT_SHARE, Workspace, ascii_lower
 
-#: Tasks over which the rows of one hot key are dealt.
-SALTS = 64
+#: Copies of a capture that are written out at once.
+COPIES = 1 << 16
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, pattern, action, at) to (list, kind, pattern, valid_from, valid_until); open ends are null."""
-    events = entries.select("list", "kind", ascii_lower(F.col("pattern")).alias("pattern"), "action", "at").where("pattern is not null and at is not null")
+    events = entries.select("list", "kind", ascii_lower(F.col("pattern")).alias("pattern"), "action", F.col("at").cast("timestamp").alias("at")).where("pattern is not null and at is not null")
     w = Window.partitionBy("list", "kind", "pattern").orderBy("at", F.when(F.col("action") == "add", 0).otherwise(1))
     spans = events.withColumn("valid_until", F.lead("at").over(w)).where(F.col("action") == "add")
     return spans.where("valid_until is null or valid_until > at").select("list", "kind", "pattern", F.col("at").alias("valid_from"), "valid_until")
@@ -41,26 +44,36 @@ def _keys(url):
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
     path = F.split(F.substr(rest, F.length(authority) + 1), "/")
     depth = F.size(path) - 1
-    prefixes = F.when(
-        depth >= 1,
-        F.transform(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, ascii_lower(F.array_join(F.slice(path, F.lit(1), i), "/")), F.lit("/")).alias("pattern"))),
-    ).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
+    whole = F.transform(F.sequence(F.lit(1), depth + 1), lambda i: F.concat(host, ascii_lower(F.array_join(F.slice(path, F.lit(1), i), "/"))))
+    below = F.concat(F.transform(F.slice(whole, F.lit(1), depth), lambda p: F.concat(p, F.lit("/"))), F.slice(whole, F.lit(2), depth))
+    prefixes = F.when(depth >= 1, F.transform(F.array_distinct(below), lambda p: F.struct(F.lit("prefix").alias("kind"), p.alias("pattern")))).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
     return F.when(F.length(host) > 0, F.concat(domains, prefixes)).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "capture_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
     """Per row of captures: id, fetched_at, blocked, n_active, lists (names, sorted) and the most specific pattern."""
-    rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).cast("timestamp").alias("fetched_at")).groupBy("id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("copies"))
-    keyed = rows.select("id", "url", "fetched_at", F.explode(_keys(F.col("url"))).alias("k")).select("id", "url", "fetched_at", "k.kind", "k.pattern")
+    ws = Workspace(captures.sparkSession, "url_filter")
+    rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).cast("timestamp").alias("at")).groupBy("id", "url", "at").agg(F.count(F.lit(1)).alias("copies"))
+    rows = ws.put(rows.withColumn("row", F.monotonically_increasing_id()), "captures")
+    spans = ws.put(intervals(entries), "intervals")
+    named = spans.select("kind", "pattern", "list").distinct()
+    keyed = rows.where("at is not null").select("row", "at", F.explode(_keys(F.col("url"))).alias("k")).select("row", "at", "k.kind", "k.pattern")
+    # Only keys that some list ever had go on.
+    keyed = ws.put(keyed.join(named.select("kind", "pattern").distinct(), ["kind", "pattern"], "left_semi"), "keys")
     sizes = keyed.groupBy("kind", "pattern").count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    hot = F.broadcast(sizes.where(F.col("count") > max(1000, total // HOT_SHARE)).select("kind", "pattern", F.lit(SALTS).alias("salts")))  # at most HOT_SHARE keys
-    left = keyed.join(hot, ["kind", "pattern"], "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "url", "fetched_at"), F.lit(SALTS)).cast("int"))).drop("salts")
-    right = intervals(entries).join(hot, ["kind", "pattern"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    active = left.join(right, ["kind", "pattern", "salt"]).where("fetched_at >= valid_from and (valid_until is null or fetched_at < valid_until)")
+    limit = max(HOT_ROWS, (sizes.agg(F.sum("count")).first()[0] or 0) // HOT_SHARE)
+    hot = F.broadcast(sizes.where(F.col("count") > limit).select("kind", "pattern", (F.col("count") / limit).cast("int").alias("more")))  # HOT_SHARE keys at most
+    salted = lambda df: df.join(hot, ["kind", "pattern"], "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    left = salted(keyed).withColumn("salt", F.pmod(F.xxhash64("row"), F.col("more") + 1).cast("int"))
+    every = lambda df: salted(df).withColumn("salt", F.explode(F.sequence(F.lit(0), "more")))
+    met = left.join(every(named), ["kind", "pattern", "salt"]).select("list", "kind", "pattern", "salt", "at", "row", F.lit(None).cast("struct<until:timestamp>").alias("span"))
+    begun = every(spans).select("list", "kind", "pattern", "salt", F.col("valid_from").alias("at"), F.lit(None).cast("long").alias("row"), F.struct(F.col("valid_until").alias("until")).alias("span"))
+    w = Window.partitionBy("list", "kind", "pattern", "salt").orderBy("at", F.col("row").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = met.unionByName(begun).withColumn("span", F.last("span", ignorenulls=True).over(w))
+    active = last.where("row is not null and span is not null and (span.until is null or at < span.until)")
     best = F.min(F.struct(-F.length("pattern"), F.col("pattern"))).getField("pattern")
-    found = active.groupBy("id", "url", "fetched_at").agg(F.count(F.lit(1)).alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), best.alias("pattern"))
-    joined = rows.alias("r").join(found.alias("f"), F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.url") == F.col("f.url")) & (F.col("r.fetched_at") == F.col("f.fetched_at")), "left")
-    out = joined.select(F.col("r.id").alias(id_col), F.col("r.fetched_at").alias("fetched_at"), F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("lists", F.lit("")).alias("lists"), "pattern", "copies")
-    out = out.withColumn("blocked", F.col("n_active") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(id_col, "fetched_at", "blocked", "n_active", "lists", "pattern")
+    found = active.groupBy("row").agg(F.count(F.lit(1)).alias("n_active"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), best.alias("pattern"))
+    out = rows.join(found, "row", "left").withColumn("block", F.explode(F.sequence(F.lit(0), ((F.col("copies") - 1) / COPIES).cast("int"))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("copies") - F.col("block") * COPIES).cast("int"))))
+    n = F.coalesce("n_active", F.lit(0))
+    return out.select(F.col("id").alias(id_col), F.col("at").alias("fetched_at"), (n > 0).alias("blocked"), n.alias("n_active"), F.coalesce("lists", F.lit("")).alias("lists"), "pattern")

@@ -131,6 +131,17 @@ def test_ngram_join(docs, empty, words, percent):
         assert ngram_join.join(empty).count() == 0
 
 
+def test_ngram_join_deals_long_lists(spark, monkeypatch):
+    """Sets that share blocks, and so a list, without being similar to each other."""
+    monkeypatch.setattr(ngram_join, "DEALT", 3)
+    rng = np.random.default_rng(5)
+    core = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(core + [f"w{rng.integers(10**6)}" for _ in range(int(rng.integers(2, 14)))])) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(0, 60, 7)]
+    got = _rows(ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(_components(rows, 4, 85), key=repr)
+
+
 def test_ngram_join_on_random_families(spark):
     rng = np.random.default_rng(5)
     rows = []
@@ -337,10 +348,34 @@ def test_url_filter(spark):
     ).withColumn("at", F.col("at").cast("timestamp"))
     got = _rows(url_filter.evaluate(caps, lists), "capture_id", "blocked", "n_active", "lists", "pattern")
     assert got == sorted([(1, True, 2, "l,m", "a.b.example.com/x/")] * 2 + [(2, True, 1, "l", "b.example.com"), (3, False, 0, "", None), (None, False, 0, "", None), (4, True, 2, "l,m", "a.b.example.com/x/"), (5, False, 0, "", None)], key=repr)
+    slash = spark.createDataFrame([("p", "prefix", x, "add", "2024-01-01") for x in ("a.com/ads", "a.com/dir/", "a.com/x/page.html", "b.com/")], "list string, kind string, pattern string, action string, at string")
+    urls = {"http://a.com/ads": True, "http://a.com/ads/1": True, "http://a.com/adsense": False, "http://a.com/dir": False, "http://a.com/dir/": True, "http://a.com/dir/y": True, "http://a.com/x/page.html?q": True, "http://a.com/x/page.htm": False, "http://b.com": False, "http://b.com/": True, "http://a.com/X/Page.html/z": True}
+    asked = spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(urls)], "capture_id long, url string, fetched_at string")
+    assert [r["blocked"] for r in url_filter.evaluate(asked, slash).orderBy("capture_id").collect()] == list(urls.values())
     assert url_filter.evaluate(caps.limit(0), lists).count() == 0
     assert not any(r["blocked"] for r in url_filter.evaluate(caps, lists.limit(0)).collect())
 
 
+def test_url_filter_against_intervals(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "HOT_ROWS", 5)
+    monkeypatch.setattr(url_filter, "COPIES", 3)
+    rng = np.random.default_rng(2)
+    events = sorted({(str(rng.choice(["l", "m"])), "domain", str(rng.choice(["a.com", "b.a.com", "c.org"])), str(rng.choice(["add", "remove"])), f"2024-01-{d:02d}") for d in rng.integers(1, 29, 60)})
+    caps = [(int(i % 40), str(rng.choice(["http://b.a.com/x", "http://a.com", "http://c.org/", "http://d.org"])), f"2024-01-{rng.integers(1, 29):02d}") for i in range(120)] + [(1, "http://a.com", "2024-01-09")] * 8
+    want = []
+    for i, url, at in caps:
+        host = url.split("/")[2]
+        active = set()
+        for name in ("l", "m"):
+            for pattern in ("a.com", "b.a.com", "c.org"):
+                past = [(e[4], e[3] != "add") for e in events if e[0] == name and e[2] == pattern and e[4] <= at]
+                if (host == pattern or host.endswith("." + pattern)) and past and not max(past)[1]:
+                    active.add((name, pattern))
+        want.append((i, bool(active), len(active), ",".join(sorted({a for a, _ in active})), min(((-len(p), p) for _, p in active), default=(0, None))[1]))
+    got = _rows(url_filter.evaluate(spark.createDataFrame(caps, "capture_id long, url string, fetched_at string"), spark.createDataFrame(events, "list string, kind string, pattern string, action string, at string")), "capture_id", "blocked", "n_active", "lists", "pattern")
+    assert got == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize(("operator", "label", "threshold"), [(toxicity, "toxic", 0.3), (quality_classifier, "quality", 0.5)])
 def test_classifiers_on_odd_rows(spark, docs, empty, operator, label, threshold):
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
