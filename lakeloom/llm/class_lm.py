@@ -161,12 +161,28 @@ def assign(word: np.ndarray, cell: np.ndarray, n: np.ndarray, own: np.ndarray, t
     return best
 
 
+def ending(word: bytes) -> bytes:
+    """The last ENDING_BYTES bytes, and as many more as the first character needs to be whole."""
+    at = max(0, len(word) - ENDING_BYTES)
+    while at and 0x80 <= word[at] < 0xC0:
+        at -= 1
+    return word[at:]
+
+
+def transitions(moves: np.ndarray) -> np.ndarray:
+    """Probabilities of the next class after each, from the bigrams of classes: Witten-Bell towards the classes' shares."""
+    size = moves.sum(0)
+    prior = (size + 1e-9) / (size.sum() + 1e-9 * len(size))
+    spread = (moves > 0).sum(1) + 1.0
+    return (moves + spread[:, None] * prior[None, :]) / (moves.sum(1) + spread)[:, None]
+
+
 def _typer(frequent: list[bytes], endings: list[bytes]):
     """Type of a word: itself, its ending, or the one type for all others (the last)."""
     by_word = {w: i for i, w in enumerate(frequent)}
     by_ending = {w: len(frequent) + i for i, w in enumerate(endings)}
     rest = len(frequent) + len(endings)
-    return lambda w: by_word[w] if w in by_word else by_ending.get(w[-ENDING_BYTES:], rest)
+    return lambda w: by_word[w] if w in by_word else by_ending.get(ending(w), rest)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES) -> DataFrame:
@@ -199,7 +215,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             yield -2, 0, b"", w, n, 0, 0
         ends: dict[bytes, int] = {}
         for w, n in zip(words, total.tolist()):
-            ends[w[-ENDING_BYTES:]] = ends.get(w[-ENDING_BYTES:], 0) + n
+            e = ending(w)
+            ends[e] = ends.get(e, 0) + n
         for e, n in ends.items():
             yield -3, 0, b"", e, n, 0, 0
 
@@ -211,8 +228,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     own_types = {w for w, _ in frequent}
     ends = dict(top(-3, ENDINGS + len(frequent)))  # endings rank by the words that go by them: the frequent ones do not
     for w, n in frequent:
-        if w[-ENDING_BYTES:] in ends:
-            ends[w[-ENDING_BYTES:]] -= n
+        if (e := ending(w)) in ends:
+            ends[e] -= n
     endings = sorted((e for e, n in ends.items() if n > 0), key=lambda e: (-ends[e], e))[:ENDINGS]
     least = frequent[-1][1] if frequent else 0  # words with more occurrences are all types of their own
     frequent = [w for w, _ in frequent]
@@ -346,11 +363,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     # 4. Transitions and emissions.
     size = moves.sum(0)
-    prior = (size + 1e-9) / (size.sum() + 1e-9 * k)
-    spread = (moves > 0).sum(1) + 1.0
-    transition = (moves + spread[:, None] * prior[None, :]) / (moves.sum(1) + spread)[:, None]
     unseen = (n_once + 0.5) / (n_all + 1.0) if n_all else 1.0
-    log_transition = np.log10(transition)
+    log_transition = np.log10(transitions(moves))
     log_size = np.log10(np.maximum(size, 1.0))
     log_unseen, log_seen = np.log10(unseen), np.log10(max(1 - unseen, 1e-12))
     base_total = n_all + 0.1 * (n_distinct + 1)

@@ -35,6 +35,24 @@ def shared_root(spark: SparkSession) -> str:
 ARROW_ROWS, ARROW_BYTES, SCAN_ROWS = 2000, 2 << 20, 256
 
 
+def _made(spark: SparkSession) -> list[str]:
+    """Catalog tables that this session's operators have made."""
+    if not hasattr(spark, "_lakeloom_tables"):
+        spark._lakeloom_tables = []
+    return spark._lakeloom_tables
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Drops all intermediate tables of this session's operators. Results that were not written before can't be computed after."""
+    tables = _made(spark)
+    while tables:
+        spark.sql(f"DROP TABLE IF EXISTS `{tables.pop()}`")
+    for root in getattr(spark, "_lakeloom_works", []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._lakeloom_works = []
+
+
 class Workspace:
     """A folder of intermediate tables of one call of an operator."""
 
@@ -42,6 +60,7 @@ class Workspace:
         self.spark = spark
         self.name = f"{name}_{uuid.uuid4().hex[:12]}"
         self.root = f"{shared_root(spark)}/lakeloom/{self.name}"
+        spark._lakeloom_works = [*getattr(spark, "_lakeloom_works", []), self.root]
         # Texts may be long: Arrow batches are bounded by bytes and not by rows alone, and the Parquet reader, whose
         # buffers hold whole batches of texts, by few rows. Results are lazy, so the session keeps these settings.
         spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(SCAN_ROWS))
@@ -66,6 +85,7 @@ class Workspace:
     def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
         """Writes df bucketed by key, so that later joins on key don't shuffle it."""
         table = f"{self.name}_{name}"
+        _made(self.spark).append(table)
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:

@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakeloom.llm.common import HOT_ROWS, HOT_SHARE, Workspace, ascii_lower
+from lakeloom.llm.common import HOT_SHARE, Workspace, ascii_lower
 
+#: Captures that a key may have without being salted.
+HOT_ROWS = 256
 #: Copies of a capture that are written out at once.
 COPIES = 1 << 16
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import collections
 import math
+import zlib
 
 import numpy as np
 import pytest
 
-from lakeloom.llm import toxicity
+from pyspark.sql import functions as F
+
+from lakeloom.llm import class_lm, common, quality_classifier, quality_rules, toxicity
 from lakeloom.llm.wordblocks import numbering
 
 START = b""
@@ -161,3 +164,82 @@ def test_words_beyond_the_cache_and_pairs_beyond_a_block(monkeypatch, texts):
     evidence = toxicity.Evidence(models)
     got = [x for one in lists for pair in evidence([one]) for x in pair]
     assert all(np.allclose(a, b) for a, b in zip(want, got))
+
+
+def test_class_lm_with_one_class_equals_the_plain_formula(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i if i % 7 else None, None if i == 3 else " ".join(rng.choice([f"Word{k}" for k in range(40)], int(rng.integers(0, 20))))) for i in range(60)] + [(61, "new words"), (62, "")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = lambda t: [*(t or "").lower().split(), ""]
+    count = collections.Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n = sum(count.values())
+    unseen = (sum(c == 1 for c in count.values()) + 0.5) / (n + 1)
+    want = sorted(sum(math.log10((1 - unseen) * count[w] / n if count[w] else unseen) for w in tokens(t)) for _, t in rows)
+    out = class_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), common.crc_mod(F.col("doc_id"), 10) == 0, classes=1)
+    assert np.allclose(sorted(r["score"] for r in out.collect()), want)
+    common.clean_up(spark)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("class_lm_")]
+
+
+def test_class_probabilities_add_up_to_one():
+    rng = np.random.default_rng(1)
+    words, classes = 50, 6
+    group, text = rng.integers(0, classes, words), rng.zipf(1.5, 4000) % words
+    moves = np.zeros((classes, classes))
+    np.add.at(moves, (group[np.roll(text, 1)], group[text]), 1)
+    count, size = np.bincount(text, minlength=words), moves.sum(0)
+    emit = count / np.maximum(size[group], 1)
+    assert np.allclose((class_lm.transitions(moves)[:, group] * emit[None, :]).sum(1), 1, atol=1e-6)
+    assert class_lm.ending("caf\u00e9s".encode()) == "\u00e9s".encode() and class_lm.ending("\u4e2d\u6587".encode()) == "\u6587".encode() and class_lm.ending(b"ab") == b"ab"
+
+
+def test_compiled_rules_equal_the_rules(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 8, (600, len(quality_classifier.STATISTICS))).astype(float)
+    y = ((x[:, 0] > 3) ^ (x[:, 1] > 4)).astype(float)
+    rules = quality_classifier.grow_rules(x, y)
+    holds = np.column_stack([quality_classifier.holds(r, x) for r in rules]).astype(float)
+    b, w = quality_classifier.lasso(holds, y)
+    names = list(quality_classifier.STATISTICS)
+    rows = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i long, " + ", ".join(f"{s} double" for s in names))
+    got = [r[0] for r in rows.orderBy("i").select(quality_classifier.compile_rules(b, list(w), rules)).collect()]
+    assert np.allclose(got, 1 / (1 + np.exp(-(holds @ w + b))))
+    assert ((np.array(got) > 0.5) == y).mean() > 0.95
+
+
+def test_quality_rules_with_active_cutoffs(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(900):
+        bad = rng.random() < 0.3
+        words = [f"w{k}" for k in rng.integers(0, 10**6, int(rng.integers(12, 40)))]
+        marks = rng.choice(list("#*$%&|<>!?"), int(rng.integers(0, 80 if bad else 3)))
+        rows.append((i, " ".join([*words, *marks]), "en" if i % 2 else "fr" if i % 3 else None))
+        if rng.random() < 0.8:
+            labels.append((i, int(not bad)))
+    good = {i for i, q in labels if q}
+    stat = {}
+    for i, t, _ in rows:
+        w = t.split()
+        n = lambda chars: sum(c in chars for c in t)
+        stat[i] = {"symbols_per_word": n("#*$%&|<>") / len(w), "marks_per_word": n("!?") / len(w), "upper_per_char": 0.0, "dup_lines_per_line": 0.0, "chars_per_word": sum(map(len, w)) / len(w)}
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in quality_rules.judge(table, spark.createDataFrame(labels, "doc_id long, quality int"), risk=0.3).collect()}
+    repeats = {i: r["n_repeat_words"] / r["n_words"] for i, r in out.items()}
+    counts = {}
+    for stratum in ("en", "fr"):
+        mine = [i for i, _, s in rows if s == stratum and i in good and not out[i]["base_failed"]]
+        for rule in quality_rules.RULES:
+            value = lambda i: repeats[i] if rule == "repeats_per_word" else stat[i][rule]  # noqa: E731, B023
+            counts[stratum, rule] = len(mine), [sum(value(i) > c for i in mine) for c in quality_rules.cutoffs(rule)]
+    chosen = quality_rules.select_cutoffs(counts, 0.3)
+    assert {r for _, r in chosen} >= {"symbols_per_word", "marks_per_word"}
+    rejected = 0
+    for i, _, stratum in rows:
+        failed = [rule for (s, rule), c in sorted(chosen.items()) if s == stratum and (repeats[i] if rule == "repeats_per_word" else stat[i][rule]) > c]
+        assert sorted(filter(None, out[i]["failed_rules"].split(","))) == sorted(failed)
+        assert out[i]["kept"] == (not out[i]["base_failed"] and not failed)
+        rejected += bool(failed)
+    assert rejected > 100
+    lost = [i for i in good if out[i]["failed_rules"]]
+    assert len(lost) <= 0.3 * len(good)
