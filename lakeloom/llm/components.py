@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import Workspace
+from lakeloom.llm.common import Workspace, partitions
+
+#: Links that a file of a round holds at least: a small graph is not written as hundreds of files.
+FILE_LINKS = 50_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +36,8 @@ def components(edges: DataFrame, ws: Workspace, name: str, rounds: int = 60) ->
         if not before[0]:
             break
         large = _star(now, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        now = ws.put(_star(large, False), f"{name}_{i}")
+        files = min(partitions(ws.spark), 1 + before[0] // FILE_LINKS)
+        now = ws.put(_star(large, False).coalesce(files), f"{name}_{i}")
         ws.drop(f"{name}_{i - 1}")
         after = mark(now)
         if after == before:
