@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakeloom.sources.store import numbered
+
 #: Kinds of findings; fixed values.
 KINDS = ("missing-file", "moved-file", "corrupt-asset", "orphaned-derivative")
 
@@ -47,12 +49,24 @@ def snapshot(assets: DataFrame, scan: DataFrame, derivatives: DataFrame, waste:
     return out.withColumn("interventions", F.col("missing_files") + F.col("corrupt_assets") + F.col("orphaned_derivatives"))
 
 
-def trend(snapshots: DataFrame, key: str | None = None) -> DataFrame:
-    """Snapshots with delta: interventions less those of the one before; 0 for the first."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy("taken_at")
+def _deltas(snapshots: DataFrame, *key: str) -> DataFrame:
+    w = Window.partitionBy(*key).orderBy("taken_at", "interventions")
     return snapshots.withColumn("delta", F.coalesce(F.col("interventions") - F.lag("interventions").over(w), F.lit(0)))
 
 
+def trend(snapshots: DataFrame, key: str | None = None) -> DataFrame:
+    """Snapshots with delta: interventions less those of the one before; 0 for the first.
+
+    With a key, the one before of that key. Without, snapshots are numbered in order of time by ranges and each meets
+    its predecessor by number, so all of them never meet in one task; of one time the fewer interventions come first.
+    """
+    if key:
+        return _deltas(snapshots, key)
+    at = numbered(snapshots, ["taken_at", "interventions"], "_n")
+    before = at.select((F.col("_n") + 1).alias("_n"), F.col("interventions").alias("_before"))
+    return at.join(before, "_n", "left").select(*snapshots.columns, F.coalesce(F.col("interventions") - F.col("_before"), F.lit(0)).alias("delta"))
+
+
 def recent_trend(snapshots: DataFrame, limit: int) -> DataFrame:
-    """The newest are taken first, so the oldest of them has delta 0."""
-    return trend(snapshots.orderBy(F.desc("taken_at")).limit(limit))
+    """The newest are taken first, so the oldest of them has delta 0. They are `limit` many, so one task orders them."""
+    return _deltas(snapshots.orderBy(F.desc("taken_at")).limit(limit))

@@ -122,7 +122,7 @@ class Engine:
 
     def trend(self, archive_id: str | None, limit: int):
         rows = self.store.recent_snapshots(archive_id, limit)
-        return health.trend(rows.withColumn("interventions", F.col("missing_files") + F.col("corrupt_assets") + F.col("orphaned_derivatives")))
+        return health.recent_trend(rows.withColumn("interventions", F.col("missing_files") + F.col("corrupt_assets") + F.col("orphaned_derivatives")), limit)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -48,13 +49,23 @@ def file_fingerprint(path: str) -> str:
     return h.hexdigest()
 
 
+#: Directories that the driver lists at least, if there are as many, and files of one of these that a task reads.
+LISTED, FILES_A_TASK = 64, 10_000
+
+
 class _Directory(InputPartition):
-    def __init__(self, root: str, path: str, deep: bool) -> None:
-        self.root, self.path, self.deep = root, path, deep
+    """The files of a directory, those of one share of its names, or, if deep, all below it."""
+
+    def __init__(self, root: str, path: str, deep: bool, share: int = 0, shares: int = 1) -> None:
+        self.root, self.path, self.deep, self.share, self.shares = root, path, deep, share, shares
 
 
 class ArchiveReader(DataSourceReader):
-    """One partition for the files of each root and one for each of its sub-directories; errors are rows."""
+    """The tree is parted from the top, level by level, until there are enough directories; errors are rows.
+
+    A directory that was listed is dealt over tasks by a hash of its files' names, so a flat one of many files is not
+    one task; the directories below those that were listed are walked by one task each.
+    """
 
     def __init__(self, options: dict) -> None:
         self.roots = json.loads(options["roots"])
@@ -63,14 +74,25 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
-        for root in self.roots:
-            parts.append(_Directory(root, root, False))
+        waiting, at = [(root, root) for root in self.roots], 0
+        while at < len(waiting) and (at < len(self.roots) or len(waiting) < LISTED):
+            root, path = waiting[at]
+            at += 1
+            files = 0
             try:
-                with os.scandir(root) as entries:
-                    parts += [_Directory(root, e.path, True) for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
+                with os.scandir(path) as entries:
+                    below = []
+                    for e in entries:
+                        if e.is_dir(follow_symlinks=False):
+                            below.append((root, e.path))
+                        else:
+                            files += 1
+                waiting += sorted(below)
             except OSError:
-                pass  # the root's own partition reports it
-        return parts
+                pass  # the directory's own partition reports it
+            shares = 1 + files // FILES_A_TASK
+            parts += [_Directory(root, path, False, i, shares) for i in range(shares)]
+        return parts + [_Directory(root, path, True) for root, path in waiting[at:]]
 
     def read(self, partition: _Directory) -> Iterator[tuple]:
         stack = [partition.path]
@@ -80,13 +102,16 @@ class ArchiveReader(DataSourceReader):
                 with os.scandir(here) as found:
                     entries = sorted(found, key=lambda e: e.name)
             except OSError as e:
-                yield partition.root, here, None, None, None, f"{type(e).__name__}: {e.strerror}"
+                if not partition.share:
+                    yield partition.root, here, None, None, None, f"{type(e).__name__}: {e.strerror}"
                 continue
             for e in entries:
                 if e.is_dir(follow_symlinks=False):
                     if partition.deep:
                         stack.append(e.path)
                     continue
+                if partition.shares > 1 and zlib.crc32(os.fsencode(e.name)) % partition.shares != partition.share:
+                    continue
                 if e.is_symlink() and (not self.links or not os.path.isfile(e.path)):
                     continue
                 try:

@@ -169,6 +169,24 @@ def test_scan(spark, tree):
     assert out == {"changed"}
 
 
+def test_scan_parts(tmp_path, monkeypatch):
+    """Every file is read by one task, however the tree is parted; a flat directory is dealt over several."""
+    names = {f"{d}/{i}.bin" for d in ("", "/flat", "/deep/er/est") for i in range(20)} | {"/deep/er/x.bin"}
+    for name in names:
+        path = str(tmp_path) + "/" + name.lstrip("/")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        open(path, "w").close()
+    for listed, size in ((1, 10_000), (1, 7), (3, 7), (64, 7)):
+        monkeypatch.setattr(archive, "LISTED", listed)
+        monkeypatch.setattr(archive, "FILES_A_TASK", size)
+        reader = archive.ArchiveReader({"roots": json.dumps([str(tmp_path)])})
+        parts = reader.partitions()
+        read = [row[1] for p in parts for row in reader.read(p)]
+        assert sorted(read) == sorted(str(tmp_path) + "/" + n.lstrip("/") for n in names)
+        assert sum(p.path == str(tmp_path) for p in parts) == (1 if size > 20 else 3)
+    assert sum(p.path.endswith("/flat") for p in parts) == 3 and not any(p.deep for p in parts)
+
+
 def test_watch(spark, tree, tmp_path):
     from lakeloom import streaming
 
