@@ -4,10 +4,12 @@ A text's key is the 64-bit hash of the text without white space. Its leading bit
 directory and the cell names the bucket: `build_directory` splits overfull buckets, and doubles the
 directory when a bucket that splits already uses all its bits. Each bucket is a range of keys.
 
-Texts are compared byte by byte within their bucket (the normalised text itself is a grouping key there, so
-copies collapse in the map tasks, before the shuffle). Owner tasks take ranges of buckets and write slots, one a
-key, sorted: a slot holds the chain of all different texts that collide in its key, with the row of each that stays.
-A document's fingerprint finds its bucket by the directory, its slot by the key, and its entry by walking the chain.
+Owner tasks take ranges of buckets. What reaches an owner are texts of which copies are collapsed already, in the map
+tasks and, so that a text of a third of all rows goes through many tasks, by salt; it compares the texts of its buckets
+byte by byte (the normalised text is a grouping key), adds up what the salts have of each, and writes slots, one a key,
+sorted: a slot holds the chain of all different texts that collide in its key, with the row of each that stays. All that
+an owner does follows one shuffle by bucket range. A document's fingerprint finds its bucket by the directory, its slot
+by the key, and its entry by walking the chain, where its SHA-256 names its text.
 
 Defined results: a null text counts as empty and empty texts form one group; null ids sort last; of rows that
 repeat id and text alike one may stay; rows of one id, equal without white space and of one length but not alike, carry
@@ -25,6 +27,8 @@ from lakeloom.llm.common import SPACES, Workspace, documents, join_hot, partitio
 MAX_DEPTH = 16
 #: Rows a bucket holds before it splits.
 BUCKET_CAPACITY = 8192
+#: Tasks that share the copies of one text before its owner has them.
+SALTS = 16
 #: Rows alike that are written out at once.
 REPEATS = 1 << 16
 
@@ -75,6 +79,27 @@ def _cell(key, depth: int):
     return F.shiftrightunsigned(key, 64 - depth).cast("int") if depth else F.lit(0)
 
 
+def _sha256():
+    return F.sha2(F.col("norm").cast("binary"), 256)
+
+
+def slots(salted: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """(owner, bucket, key, entries, slot_size) of (bucket, key, norm, n, best).
+
+    One shuffle sends ranges of buckets to their owners; with the owner among the keys, both groupings stay where it put the rows.
+    """
+    owner = F.expr(f"cast(bucket * {parts}L div {buckets} as int)").alias("owner")
+    texts = salted.select(owner, "bucket", "key", "norm", "n", "best").repartitionById(parts, F.col("owner")).groupBy("owner", "bucket", "key", "norm").agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
+    shift, top = F.lit(str(_SHIFT)).cast("decimal(21,0)"), F.lit(str(_SHIFT - 1)).cast("decimal(20,0)")
+    rest = F.col("best") % shift
+    entry = F.struct(
+        _sha256().alias("text_sha256"), F.col("group_size"), F.when(rest > 0, (top - rest - F.lit(str(_BIAS)).cast("decimal(20,0)")).cast("long")).alias("keep_id"),
+        ((F.col("best") - rest) / shift).cast("int").alias("keep_points"),
+    ).alias("entry")
+    chains = texts.select("owner", "bucket", "key", entry).groupBy("owner", "bucket", "key")
+    return chains.agg(F.array_sort(F.collect_list("entry")).alias("entries"), F.sum("entry.group_size").alias("slot_size"))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY, key_bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain (place in it), text_key.
 
@@ -89,7 +114,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = base.select("doc_id", F.length("text").alias("points"), F.xxhash64("text").alias("text_key"), _normalised(F.col("text")).alias("norm")).withColumn("key", key)
 
     # 1. Fingerprints, without texts, rows alike being one; the directory comes from their histogram.
-    sha = F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")
+    sha = _sha256().alias("text_sha256")
     prints = ws.put(keyed.select("doc_id", "points", "text_key", "key", sha).groupBy("doc_id", "points", "text_key", "key", "text_sha256").agg(F.count(F.lit(1)).alias("copies")), "fingerprints")
     histogram = prints.groupBy(_cell(F.col("key"), MAX_DEPTH).alias("cell")).agg(F.sum("copies").alias("n")).collect()
     total = sum(r["n"] for r in histogram)
@@ -101,25 +126,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Rows with the bucket that the directory names for their key."""
         return rows.withColumn("cell", _cell(F.col("key"), depth)).join(F.broadcast(entries), "cell").drop("cell")
 
-    # 2. In each bucket bytes are compared; copies collapse before the shuffle. What stays is the text's entry.
-    shift, top = F.lit(str(_SHIFT)).cast("decimal(21,0)"), F.lit(str(_SHIFT - 1)).cast("decimal(20,0)")
+    # 2. Copies collapse in the map tasks and by salt, on the way to the owners of bucket ranges.
+    top = F.lit(str(_SHIFT - 1)).cast("decimal(20,0)")
     after = top - F.coalesce(F.col("doc_id").cast("decimal(20,0)") + F.lit(str(_BIAS)).cast("decimal(20,0)"), top)
-    texts = (
-        hashed(keyed.withColumn("rank", (F.col("points").cast("decimal(10,0)") * shift + after).cast("decimal(38,0)")))
-        .groupBy("bucket", "key", "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("best"))
+    salted = (
+        hashed(keyed.withColumn("rank", (F.col("points").cast("decimal(10,0)") * F.lit(str(_SHIFT)).cast("decimal(21,0)") + after).cast("decimal(38,0)")))
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS)).cast("int"))
+        .groupBy("salt", "bucket", "key", "norm")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("best"))
     )
-    rest = F.col("best") % shift
-    at = top - rest
-    entry = F.struct(
-        sha, F.col("group_size"), F.when(rest > 0, (at - F.lit(str(_BIAS)).cast("decimal(20,0)")).cast("long")).alias("keep_id"),
-        ((F.col("best") - rest) / shift).cast("int").alias("keep_points"),
-    ).alias("entry")
 
-    # 3. Owner tasks take ranges of buckets: a slot is a key, and the texts that collide in it are its chain.
-    owner = F.expr(f"cast(bucket * {parts}L div {buckets} as int)").alias("owner")
-    slots = texts.select(owner, "bucket", "key", entry).repartitionById(parts, F.col("owner"))
-    index = ws.put(slots.groupBy("bucket", "key").agg(F.array_sort(F.collect_list("entry")).alias("entries"), F.sum("entry.group_size").alias("slot_size")).sortWithinPartitions("bucket", "key"), "index")
+    # 3. Owners compare bytes and write slots.
+    index = ws.put(slots(salted, parts, buckets).drop("owner").sortWithinPartitions("bucket", "key"), "index")
 
     # 4. Every document goes to its bucket and slot, and walks the chain to the entry of its own text.
     found = join_hot(hashed(prints), index, ["bucket", "key"], "slot_size", total)
