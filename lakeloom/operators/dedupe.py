@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
-import tempfile
+from functools import reduce
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.sources.cut import checkpointed
+from lakeloom.sources.store import numbered
+
 #: Detection layers in order and the kind of match each makes; fixed values.
 LAYERS = {"exact": "exact-hash", "perceptual": "perceptual-near-duplicate", "audio": "audio-fingerprint"}
 
@@ -22,8 +26,13 @@ def exact_duplicates(assets: DataFrame, id_col: str = "asset_id") -> DataFrame:
 def exact_members(assets: DataFrame, id_col: str = "asset_id") -> DataFrame:
     """(group_id, fingerprint, asset_id): the same groups, a row for each member, however many they are."""
     known = assets.where("fingerprint is not null and fingerprint <> ''").select("fingerprint", F.col(id_col).alias("asset_id"))
-    groups = known.groupBy("fingerprint").agg(F.min("asset_id").alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return known.join(groups, "fingerprint").select("group_id", "fingerprint", "asset_id")
+    return known.join(exact_groups(known), "fingerprint").select("group_id", "fingerprint", "asset_id")
+
+
+def exact_groups(assets: DataFrame, id_col: str = "asset_id") -> DataFrame:
+    """(group_id, fingerprint, n): the same groups, a row for each, without their members."""
+    known = assets.where("fingerprint is not null and fingerprint <> ''")
+    return known.groupBy("fingerprint").agg(F.min(id_col).alias("group_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id", "fingerprint", "n")
 
 
 def group_by_fingerprint(files: DataFrame) -> DataFrame:
@@ -72,8 +81,8 @@ def reconcile(old: DataFrame | None, new: DataFrame, preserve_reviews: bool = Fa
 
 
 def groups_for_archive(groups: DataFrame, assets: DataFrame) -> DataFrame:
-    """Distinct (archive, group_id) over groups, members and assets."""
-    members = groups.select("group_id", F.explode("members").alias("asset_id"))
+    """Distinct (archive, group_id) over groups, members and assets. Groups have arrays of members, or a row for each member in asset_id."""
+    members = groups.select("group_id", (F.explode("members") if "members" in groups.columns else F.col("asset_id")).alias("asset_id"))
     return members.join(assets.select("asset_id", "archive"), "asset_id").select("archive", "group_id").distinct()
 
 
@@ -119,7 +128,7 @@ def hamming_candidates(rows: DataFrame, k: int, bands: int, n: int) -> DataFrame
     """(a, ha, b, hb) with a < b of rows (id, h): every pair within k once, and few others."""
     spark = rows.sparkSession
     if not bands:  # all pairs: a row meets each block's rows in one tile of two blocks
-        blocks = max(1, n // TILE_ROWS)
+        blocks = max(1, n // TILE_ROWS, math.isqrt(2 * spark.sparkContext.defaultParallelism) if n > 200 else 1)  # a tile for each core at least
         own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
         a = own.select(F.col("id").alias("p"), F.col("h").alias("hp"), F.col("own").alias("x"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("y"))
         b = own.select(F.col("id").alias("q"), F.col("h").alias("hq"), F.explode(F.sequence(F.lit(0), "own")).alias("x"), F.col("own").alias("y"))
@@ -154,38 +163,74 @@ def hamming_pairs(hashes: DataFrame, k: int, id_col: str = "id", hash_col: str =
     return met.where(distance <= k).select("a", "b", distance.alias("distance"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage in the session's checkpoint folder; a folder of our own only where a local session names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
-    return df.checkpoint()
+#: Ids that a task decides among themselves, and rows left (open ids and edges) that one task decides at once.
+BLOCK_IDS, LAST_ROWS = 2000, 200_000
 
 
-def leader_groups(hashes: DataFrame, k: int, id_col: str = "id", hash_col: str = "hash", rounds: int = 1000) -> DataFrame:
+def _decide(rows: pa.Table) -> pa.Table:
+    """(id, lead) of the ids of a block that can be decided now.
+
+    rows: of an id (b null) its least leader among earlier blocks' neighbours (first) and its least open one (open); and
+    the open edges within the block, from a (in id) to a later b.
+    """
+    ids, to, first, open_ = (rows.column(c).to_pylist() for c in ("id", "b", "first", "open"))
+    earlier: dict = {}
+    for a, b in zip(ids, to):
+        if b is not None:
+            earlier.setdefault(b, []).append(a)
+    lead: dict = {}  # of ids that are decided; those of the block that are missing are open
+    for i, f, o in sorted((i, f, o) for i, b, f, o in zip(ids, to, ((x is None, x or 0) for x in first), open_) if b is None):
+        near = earlier.get(i, ())
+        leaders = [a for a in near if lead.get(a) == a] + ([] if f[0] else [f[1]])
+        waiting = [a for a in near if a not in lead] + ([] if o is None else [o])
+        # The first leader counts once nothing open stands before it.
+        if leaders and (not waiting or min(leaders) < min(waiting)):
+            lead[i] = min(leaders)
+        elif not waiting:
+            lead[i] = i
+    return pa.table({"id": pa.array(lead, pa.int64()), "lead": pa.array(lead.values(), pa.int64())})
+
+
+def leaders_of(pairs: DataFrame, block_ids: int = BLOCK_IDS, last_rows: int = LAST_ROWS) -> DataFrame:
+    """(id, lead) of all ids in pairs (a, b), a < b: in order of id, one without an earlier leader beside it leads itself.
+
+    Ids are numbered and dealt to blocks of block_ids. In a round each block decides as far as its ids and what is known of
+    earlier blocks allow, and only open ids and open edges go into the next; the least open id is always decided, so every
+    round is one step on, and a chain takes as many rounds as it has blocks. What last_rows holds is decided in one task.
+    """
+    pairs = pairs.select("a", "b").distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    block = F.floor(F.col("_n") / block_ids)
+    active = checkpointed(numbered(ids, ["id"], "_n", 0).select("id", block.alias("block")))
+    of = lambda c: active.select(F.col("id").alias(c), F.col("block").alias(f"block_{c}"))
+    edges = checkpointed(pairs.join(of("a"), "a").join(of("b"), "b").withColumn("leads", F.lit(False)))
+    decided = []
+    while left := active.count():
+        if left + edges.count() <= last_rows:
+            active, edges = active.withColumn("block", F.lit(0).cast("long")), edges.withColumn("block_a", F.lit(0).cast("long")).withColumn("block_b", F.lit(0).cast("long"))
+        inside = (F.col("block_a") == F.col("block_b")) & ~F.col("leads")
+        near = edges.where(~inside).groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("first"), F.min(F.when(~F.col("leads"), F.col("a"))).alias("open"))
+        none = F.lit(None).cast("long")
+        rows = active.join(near, "id", "left").select("block", "id", none.alias("b"), "first", "open")
+        rows = rows.unionByName(edges.where(inside).select(F.col("block_b").alias("block"), F.col("a").alias("id"), "b", none.alias("first"), none.alias("open")))
+        fresh = checkpointed(rows.groupBy("block").applyInArrow(_decide, "id long, lead long"))
+        decided.append(fresh)
+        active = checkpointed(active.join(fresh, "id", "left_anti"))
+        still = edges.join(fresh.select(F.col("id").alias("b")), "b", "left_anti").join(fresh.select(F.col("id").alias("a"), "lead"), "a", "left")
+        still = still.where(F.col("lead").isNull() | (F.col("lead") == F.col("a")))  # a follower speaks for nobody
+        edges = checkpointed(still.withColumn("leads", F.col("leads") | F.col("lead").isNotNull()).drop("lead"))
+    return reduce(DataFrame.unionByName, decided) if decided else ids.withColumn("lead", F.col("id"))
+
+
+def leader_groups(hashes: DataFrame, k: int, id_col: str = "id", hash_col: str = "hash") -> DataFrame:
     """(leader, member) of greedy leader clustering in order of id, groups of two or more.
 
-    A row is a leader when no earlier leader is within k; every other row joins its first such leader.
-    Decided in rounds: a row whose earlier neighbours are all decided is decided too.
+    A row is a leader when no earlier leader is within k; every other row joins its first such leader. Rows of one hash fare
+    alike, so each hash is decided once, by its first row: copies make no pairs.
     """
     rows = hashes.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).where("h is not null")
-    # Rows of one hash fare alike, so each hash is decided once, by its first row: copies make no pairs.
-    kinds = rows.groupBy("h").agg(F.min("id").alias("first_id"))
-    pairs = checkpointed(hamming_pairs(kinds, k, "first_id", "h").select("a", "b"))
-    state = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().withColumn("lead", F.lit(None).cast("long"))
-    for _ in range(rounds):
-        seen = pairs.join(state.select(F.col("id").alias("a"), F.col("lead").alias("la")), "a")
-        near = seen.groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("la") == F.col("a"), F.col("a"))).alias("first"), F.min(F.when(F.col("la").isNull(), F.col("a"))).alias("open"))
-        new = state.join(near, "id", "left")
-        # The first leader counts once nothing undecided stands before it.
-        lead = F.when(F.col("lead").isNotNull(), F.col("lead")).when(F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("first") < F.col("open"))), F.col("first")).when(F.col("open").isNull() & F.col("first").isNull(), F.col("id"))
-        state = checkpointed(new.select("id", lead.alias("lead")))
-        if state.where("lead is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("leaders did not settle")
+    kinds = checkpointed(rows.groupBy("h").agg(F.min("id").alias("first_id")))
+    state = leaders_of(checkpointed(hamming_pairs(kinds, k, "first_id", "h").select("a", "b")))
     decided = kinds.join(state, kinds["first_id"] == state["id"], "left").select("h", F.coalesce("lead", "first_id").alias("leader"))
     grouped = rows.join(decided, "h").select("leader", F.col("id").alias("member"))
     several = grouped.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leader")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakeloom.sources import archive
 from lakeloom.sources.store import numbered
 
 #: Kinds of findings; fixed values.
@@ -16,6 +17,19 @@ def missing(assets: DataFrame, scan: DataFrame) -> DataFrame:
     return assets.join(scan.select("path"), "path", "left_anti")
 
 
+def missing_from(assets: DataFrame, listing: DataFrame) -> DataFrame:
+    """Assets that a listing with its errors (path, error) doesn't hold.
+
+    What can't be read is there: it isn't missing, and neither is what stands below a directory that can't be listed.
+    """
+    there = listing.where(F.col("error").isNull() | ~archive.gone(F.col("error")))
+    absent = missing(assets, there)
+    steps = F.split("path", "/")
+    above = absent.select(F.col("path").alias("_path"), F.explode(F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("path"))
+    hidden = above.join(there.where("error is not null").select("path"), "path", "left_semi").select(F.col("_path").alias("path")).distinct()
+    return absent.join(hidden, "path", "left_anti")
+
+
 def corrupt(assets: DataFrame) -> DataFrame:
     """Unsupported counts as corrupt."""
     return assets.where(~F.coalesce(F.col("supported"), F.lit(False)))

@@ -4,32 +4,72 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakeloom.operators.kernels import dhash_udf, frame_difference_udf
+from lakeloom.sources.cut import checkpointed
+
+
+def in_ranges(rows: DataFrame, key: str, order: tuple[str, ...]) -> DataFrame:
+    """rows sorted by key and order and dealt by ranges of both, with _range and _at (place in it): one key may span many ranges.
+
+    Cut from lineage, so rows that tie keep their places.
+    """
+    by = [key, *order]
+    dealt = checkpointed(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    return dealt.withColumn("_range", F.shiftright("_at", 33))
+
+
+def carried(parts: DataFrame, key: str, value: Column, forward: bool = True) -> DataFrame:
+    """(key, _range, _carry): value of the ranges before (forward) or after, summed up by a window over a key's ranges.
+
+    parts has a row for each key and range; so a key has as many as there are ranges at most.
+    """
+    w = Window.partitionBy(key).orderBy("_range")
+    w = w.rowsBetween(Window.unboundedPreceding, -1) if forward else w.rowsBetween(1, Window.unboundedFollowing)
+    return parts.select(key, "_range", value.over(w).alias("_carry"))
+
+
+def numbered_in_ranges(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows of in_ranges() with their number within the key, from 0: the place in the range, and what the ranges before hold of the key."""
+    parts = rows.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    base = carried(parts, key, F.sum("_n")).join(parts, [key, "_range"]).select(key, "_range", "_first", F.coalesce("_carry", F.lit(0)).alias("_before"))
+    return rows.join(base, [key, "_range"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_first", "_before")
 
 
 def split_scenes(scores: DataFrame, threshold: float, fps: float, assets: DataFrame | None = None, key: str = "asset_id", order: tuple[str, ...] = ("frame",), score: str = "score") -> DataFrame:
     """(key, scene, start_s, end_s): a scene begins at frame 0 and at each later frame whose score reaches the threshold.
 
-    The last scene is open (null end). Assets without scores, if given, have one open scene at 0.
+    The last scene is open (null end). Assets without scores, if given, have one open scene at 0. Frames are dealt by ranges of
+    asset and time and joined by what each range carries over, so an endless recording is as many tasks as its share of all.
     """
-    w = Window.partitionBy(key).orderBy(*order)
-    framed = scores.select(key, *order, score).withColumn("i", F.row_number().over(w) - 1)
-    cuts = framed.where((F.col("i") == 0) | (F.col(score) >= threshold)).select(key, "i")
-    v = Window.partitionBy(key).orderBy("i")
-    out = cuts.select(key, (F.row_number().over(v) - 1).alias("scene"), (F.col("i") / fps).alias("start_s"), (F.lead("i").over(v) / fps).alias("end_s"))
+    framed = numbered_in_ranges(in_ranges(scores.select(key, *order, score).where(F.col(key).isNotNull()), key, order), key, "_i")
+    cuts = checkpointed(framed.where((F.col("_i") == 0) | (F.col(score) >= threshold)).select(key, "_range", "_at", "_i"))
+    w = Window.partitionBy(key, "_range").orderBy("_at")  # within a range
+    parts = cuts.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = carried(parts, key, F.sum("_n")).withColumnRenamed("_carry", "_before")
+    after = carried(parts, key, F.min("_first"), forward=False).withColumnRenamed("_carry", "_after")
+    local = cuts.withColumn("_k", F.row_number().over(w) - 1).withColumn("_next", F.lead("_i").over(w))
+    scene = (F.col("_k") + F.coalesce("_before", F.lit(0))).cast("int")
+    out = local.join(before, [key, "_range"]).join(after, [key, "_range"]).select(key, scene.alias("scene"), (F.col("_i") / fps).alias("start_s"), (F.coalesce("_next", "_after") / fps).alias("end_s"))
     if assets is None:
         return out
     return assets.select(key).distinct().join(out, key, "left").select(key, F.coalesce("scene", F.lit(0)).alias("scene"), F.coalesce("start_s", F.lit(0.0)).alias("start_s"), "end_s")
 
 
+def before_in_ranges(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """rows of in_ranges() with the value of the row before within the key; the first row of a range gets the last of the range before."""
+    w = Window.partitionBy(key, "_range").orderBy("_at")
+    parts = rows.groupBy(key, "_range").agg(F.max_by(value, "_at").alias("_last"))
+    last = parts.select(key, "_range", F.lag("_last").over(Window.partitionBy(key).orderBy("_range")).alias("_carry"))
+    return rows.withColumn("_first", F.row_number().over(w) == 1).withColumn(name, F.lag(value).over(w)).join(last, [key, "_range"]).withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(name))).drop("_first", "_carry")
+
+
 def frame_scores(frames: DataFrame, key: str = "asset_id") -> DataFrame:
     """frames (key, frame, data) to (key, frame, score); the first frame scores 0."""
-    w = Window.partitionBy(key).orderBy("frame")
-    return frames.withColumn("before", F.lag("data").over(w)).select(key, "frame", F.coalesce(frame_difference_udf("before", "data"), F.lit(0.0).cast("float")).alias("score"))
+    return before_in_ranges(in_ranges(frames.select(key, "frame", "data"), key, ("frame",)), key, "data", "before").select(key, "frame", F.coalesce(frame_difference_udf("before", "data"), F.lit(0.0).cast("float")).alias("score"))
 
 
 def detect_scenes(frames: DataFrame, threshold: float, fps: float, max_frames: int, short_videos: bool = False, key: str = "asset_id") -> DataFrame:
@@ -69,8 +109,9 @@ class SceneDetector:
     def detect(self, frames: DataFrame, fps: float, key: str = "asset_id") -> DataFrame:
         """frames (key, frame, data, width, height) to (key, scene, start_s, end_s)."""
         sampled = frames.where(F.col("frame") % self.every_nth_frame == 0).select(key, "frame", dhash_udf("data", "width", "height").alias("hash"))
+        apart = F.bit_count(F.col("hash").bitwiseXOR(F.col("before")))
+        scores = before_in_ranges(in_ranges(sampled, key, ("frame",)), key, "hash", "before").select(key, "frame", apart.alias("apart"))
+        cuts = checkpointed(scores.where(F.col("apart").isNull() | (F.col("apart") > self.hash_distance)))
         w = Window.partitionBy(key).orderBy("frame")
-        apart = F.bit_count(F.col("hash").bitwiseXOR(F.lag("hash").over(w)))
-        cuts = sampled.withColumn("apart", apart).where(F.col("apart").isNull() | (F.col("apart") > self.hash_distance))
         scenes = cuts.select(key, (F.row_number().over(w) - 1).alias("scene"), (F.col("frame") / fps).alias("start_s"), (F.lead("frame").over(w) / fps).alias("end_s"))
         return merge_short_scenes(scenes, self.min_scene_ms / 1000, key)

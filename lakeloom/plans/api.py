@@ -7,9 +7,7 @@ import ipaddress
 import json
 import os
 import socket
-import uuid
 from dataclasses import dataclass
-from datetime import datetime, timezone
 from enum import IntEnum
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
@@ -18,11 +16,10 @@ from urllib.parse import unquote_plus
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeloom.functions import media, text
 from lakeloom.operators import dedupe, health, search
+from lakeloom.plans.indexing import CHUNK_FILES, IndexRun
 from lakeloom.plans.jobs import JobQueue
-from lakeloom.sources import archive, probe
-from lakeloom.sources.store import TABLES, Store, StoreError
+from lakeloom.sources.store import Store, StoreError
 
 
 class ExitCode(IntEnum):
@@ -42,8 +39,8 @@ def default_data_dir() -> str:
 class Engine:
     """Everything the command line and the service do. With headers, an index run also reads what file headers say."""
 
-    def __init__(self, spark: SparkSession, data_dir: str, headers: bool = False) -> None:
-        self.spark, self.headers = spark, headers
+    def __init__(self, spark: SparkSession, data_dir: str, headers: bool = False, chunk_files: int = CHUNK_FILES) -> None:
+        self.spark, self.headers, self.chunk_files = spark, headers, chunk_files
         self.store = Store(spark, data_dir)
         self.queue = JobQueue(self.store, {"index": self._index_job})
 
@@ -51,45 +48,14 @@ class Engine:
         row = self.store.table("archives").where(F.col("name") == name).first()
         return row["id"] if row else None
 
-    def _scan_once(self, roots: list[str]) -> str:
-        """Walks and hashes the roots and writes what was found beside the tables; the folder's name."""
-        files, _ = archive.scan(self.spark, roots, "simple")
-        if self.headers:
-            files = probe.probe_files(files)
-        name = f"{self.store.root}/scans/{uuid.uuid4().hex}"
-        files.write.parquet(name)
-        return name
-
     def _index_job(self, context, job: dict) -> str:
-        row = self.store.archive(job["archive_id"])
-        scan = self._scan_once(row["roots"])
+        run = IndexRun(self.store, self.store.archive(job["archive_id"]), job["id"], self.headers, self.chunk_files)
         try:
-            return self._store_scan(context, row["id"], self.spark.read.parquet(scan))
-        finally:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(scan)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def _store_scan(self, context, aid: str, files: DataFrame) -> str:
-        found = media.extension_probe(text.extension(text.filename(F.col("path"))))
-        value = {"media_type": found["media_type"], "supported": found["supported"], "container": found["container"], "codec": found["codec"]}
-        if self.headers:  # the extension speaks where the header says nothing
-            value = {n: F.coalesce(F.when(F.col("codec").isNotNull(), F.col(n)), v) for n, v in value.items()}
-        fresh = files.where("fingerprint is not null").select(
-            text.asset_uuid(F.lit(aid), text.normalize_path(F.col("path"))).alias("id"), F.lit(aid).alias("archive_id"), "path", "fingerprint", "size_bytes", "modified_time",
-            value["media_type"].alias("media_type"), value["supported"].alias("supported"), F.to_json(F.struct(value["container"].alias("container"), value["codec"].alias("codec"))).alias("technical"),
-        )
-        n = fresh.count()
-        self.store.upsert("assets", fresh)
-        context.report_progress(0.9)
-        assets, now = self.store.assets_of(aid), datetime.now(timezone.utc)
-        finding = lambda kind, rows, subject: rows.select(F.lit(aid).alias("archive_id"), F.lit(now).alias("taken_at"), F.lit(kind).alias("kind"), F.col(subject).alias("subject"))
-        self.store.upsert("health_findings", finding("missing-file", health.missing(assets, files), "path").unionByName(finding("corrupt-asset", health.corrupt(assets), "id")))
-        mine = self.store.table("health_findings").where((F.col("archive_id") == aid) & (F.col("taken_at") == F.lit(now)))
-        counts = {r["kind"]: r["n"] for r in health.counts_by_kind(mine).collect()}  # a row for each kind
-        waste = dedupe.waste_report(dedupe.exact_members(assets, "id"), assets.select(F.col("id").alias("asset_id"), "size_bytes")).first()
-        snapshot = (aid, now, assets.count(), counts.get("missing-file", 0), counts.get("corrupt-asset", 0), 0, waste["reclaimable_bytes"])
-        self.store.upsert("health_snapshots", self.spark.createDataFrame([snapshot], TABLES["health_snapshots"][0]))
-        return f"indexed {n} asset(s)"
+            return run.work(context)
+        except Exception:
+            if context.is_cancelled():  # nothing of it will be asked for again
+                run.discard()
+            raise
 
     def index(self, name: str, roots: list[str]) -> dict:
         aid = self.store.find_or_create_archive(name, roots)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import media, text
 from lakeloom.operators import dedupe, health, scenes, search, tagging
+from lakeloom.plans import indexing
 from lakeloom.sources import archive, store
 from lakeloom.streaming import event_counts
 
@@ -75,12 +76,12 @@ def exact_duplicates(spark, sf_dir):
 
 def waste_report(spark, sf_dir):
     a = assets(spark, sf_dir)
-    return dedupe.waste_report(dedupe.exact_duplicates(a), a)
+    return dedupe.waste_report(dedupe.exact_members(a), a)
 
 
 def groups_for_archive(spark, sf_dir):
     a = assets(spark, sf_dir)
-    return dedupe.groups_for_archive(dedupe.exact_duplicates(a), a)
+    return dedupe.groups_for_archive(dedupe.exact_members(a), a)
 
 
 def _hashes(spark, sf_dir):
@@ -139,6 +140,26 @@ def rescan_outcomes(spark, sf_dir):
     return out.select("path", "outcome", "previous_size")
 
 
+def _listing(spark, sf_dir):
+    """The same scan as a listing without hashes: every 11th file can't be read, nor can one of the directories."""
+    rows = _scan(spark, sf_dir).select("path", "size_bytes", "modified_time", F.when(F.substring_index(F.substring_index("path", "_", -1), ".", 1).cast("long") % 11 == 5, "PermissionError: denied").alias("error"))
+    directory = _closed(spark, sf_dir).select("path", F.lit(None).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_time"), F.lit("PermissionError: denied").alias("error"))
+    return rows.unionByName(directory)
+
+
+def _closed(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("lang")).alias("path")).groupBy().agg(F.min("path").alias("path"))
+
+
+def index_plan(spark, sf_dir):
+    before = assets(spark, sf_dir).withColumn("modified_time", F.lit("2024-01-01").cast("timestamp"))
+    return indexing.plan(_listing(spark, sf_dir), before).select("path", "outcome", (F.col("outcome") != "unchanged").alias("to_hash"))
+
+
+def index_missing(spark, sf_dir):
+    return health.missing_from(assets(spark, sf_dir), _listing(spark, sf_dir).select("path", "error")).select("asset_id", "path")
+
+
 def rescan_pending(spark, sf_dir):
     return archive.needing_processing(rescan_outcomes(spark, sf_dir)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
@@ -244,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         search_boolean, search_not_prefix, search_simple, cosine_topk, euclid_topk, exact_duplicates, waste_report, groups_for_archive, hamming_pairs, hamming_leaders, scene_cuts, scenes_merged,
-        rescan_outcomes, rescan_pending, resume_pending, health_missing, health_moved, health_orphans, health_counts_by_kind, health_snapshot, health_trend, health_trend_recent,
+        index_plan, index_missing, rescan_outcomes, rescan_pending, resume_pending, health_missing, health_moved, health_orphans, health_counts_by_kind, health_snapshot, health_trend, health_trend_recent,
         tag_decisions, tags_kept, tags_strict, media_fields, technical_metadata, asset_uuid5, jobs_latest, upsert_assets, archive_roots, event_windows,
     )
 }
@@ -282,8 +303,8 @@ ORACLES = {
     "groups_for_archive": f"WITH {_ASSETS_SQL}, {_GROUPS_SQL} SELECT DISTINCT archive, group_id FROM grp JOIN assets USING (fingerprint)",
     "hamming_pairs": f"WITH {_BITS_SQL} SELECT x.id AS a, y.id AS b, CAST(list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS INTEGER) AS distance FROM h x JOIN h y ON x.id < y.id WHERE list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) <= 18",
     "scene_cuts": f"WITH {_SCENES_SQL} SELECT asset_id, scene, round(i / 25.0, 6) AS start_s, round(j / 25.0, 6) AS end_s FROM cuts",
-"hamming_leaders": f"""WITH RECURSIVE {_BITS_SQL}, p AS (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.id < y.id WHERE list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) <= 18),
-      near AS (SELECT b, list(a ORDER BY a) AS l FROM p GROUP BY b), o AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM h),
+    "hamming_leaders": f"""WITH RECURSIVE {_BITS_SQL.replace("h AS (", "h AS MATERIALIZED (")}, p AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM h x JOIN h y ON x.id < y.id WHERE list_sum([CASE WHEN x.b[i] <> y.b[i] THEN 1 ELSE 0 END FOR i IN range(1, 65)]) <= 18),
+      near AS MATERIALIZED (SELECT b, list(a ORDER BY a) AS l FROM p GROUP BY b), o AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM h),
       r AS (SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS leaders, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS leader
         UNION ALL SELECT o.rn, CASE WHEN list_has_any(coalesce(n.l, CAST([] AS BIGINT[])), r.leaders) THEN r.leaders ELSE list_append(r.leaders, o.id) END, o.id,
           coalesce(list_min(list_intersect(coalesce(n.l, CAST([] AS BIGINT[])), r.leaders)), o.id) FROM r JOIN o ON o.rn = r.rn + 1 LEFT JOIN near n ON n.b = o.id)
@@ -295,6 +316,11 @@ ORACLES = {
       SELECT asset_id, row_number() OVER w - 1 AS scene, round(i / 25.0, 6) AS start_s, round(lead(i) OVER w / 25.0, 6) AS end_s FROM k WINDOW w AS (PARTITION BY asset_id ORDER BY i)""",
     "rescan_outcomes": f"""WITH {_ASSETS_SQL}, {_SCAN_SQL}, o AS (SELECT s.path, a.size_bytes AS old, CASE WHEN a.path IS NULL THEN 'new' WHEN a.size_bytes = s.size_bytes THEN 'unchanged' ELSE 'changed' END AS outcome FROM scan s LEFT JOIN assets a ON a.path = s.path)
       SELECT path, outcome, CASE WHEN outcome = 'changed' THEN old END AS previous_size FROM o""",
+    "index_plan": f"""WITH {_ASSETS_SQL}, {_SCAN_SQL}, o AS (SELECT s.path, CASE WHEN a.path IS NULL THEN 'new' WHEN a.size_bytes = s.size_bytes THEN 'unchanged' ELSE 'changed' END AS outcome
+        FROM scan s LEFT JOIN assets a ON a.path = s.path WHERE CAST(regexp_extract(s.path, '_([0-9]+)[.][a-z0-9]*$', 1) AS BIGINT) % 11 <> 5)
+      SELECT path, outcome, outcome <> 'unchanged' AS to_hash FROM o""",
+    "index_missing": f"""WITH {_ASSETS_SQL}, {_SCAN_SQL}, {_MISSING_SQL}
+      SELECT asset_id, path FROM missing WHERE NOT starts_with(path, (SELECT min(source || '/' || lang) FROM documents) || '/')""",
     "rescan_pending": f"""WITH {_ASSETS_SQL}, {_SCAN_SQL}, o AS (SELECT CASE WHEN a.path IS NULL THEN 'new' WHEN a.size_bytes = s.size_bytes THEN 'unchanged' ELSE 'changed' END AS outcome FROM scan s LEFT JOIN assets a ON a.path = s.path)
       SELECT outcome, count(*) AS n FROM o WHERE outcome <> 'unchanged' GROUP BY outcome""",
     "resume_pending": f"WITH {_ASSETS_SQL} SELECT asset_id, fingerprint FROM assets WHERE fingerprint NOT IN (SELECT fingerprint FROM assets WHERE asset_id % 3 = 0)",

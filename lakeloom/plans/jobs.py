@@ -36,7 +36,11 @@ class Stage(Enum):
 
 
 class Cancelled(Exception):
-    pass
+    """The job was cancelled; raised by check() in its worker."""
+
+
+class Paused(Exception):
+    """The job is to rest: its worker ends, and begins again where it was once the job is resumed."""
 
 
 class JobContext:
@@ -51,6 +55,14 @@ class JobContext:
     def is_paused(self) -> bool:
         return self.queue.get(self.id)["status"] == "paused"
 
+    def check(self) -> None:
+        """For a worker between two chunks of its work: raises if the job is no longer to run."""
+        status = self.queue.get(self.id)["status"]
+        if status == "cancelled":
+            raise Cancelled(self.id)
+        if status == "paused":
+            raise Paused(self.id)
+
     def report_progress(self, p: float) -> None:
         p = min(1.0, max(0.0, p))
         if int(100 * p) != self._percent:
@@ -62,7 +74,7 @@ class JobQueue:
     def __init__(self, store: Store, workers: dict[str, Callable[[JobContext, dict], str | None]] | None = None) -> None:
         self.store = store
         self.parallel = min(8, max(1, os.cpu_count() or 1))
-        self._lock, self._work = threading.RLock(), {}
+        self._lock, self._work, self._running = threading.RLock(), {}, set()
         self.workers = {"derivatives": lambda c, j: "skipped: no decoder", "tagging": lambda c, j: "skipped: no model"} | (workers or {})
         self.recover_interrupted()
 
@@ -112,23 +124,44 @@ class JobQueue:
             self._update(job_id, status="paused")
 
     def resume(self, job_id: str, requeue: bool = False) -> None:
-        """Paused to active; requeue sends a job that never started back to the queue instead."""
-        if self.get(job_id)["status"] == "paused":
-            self._update(job_id, status="queued" if requeue else "active")
+        """Paused to active while its worker is still at it, else back to the queue; requeue sends it there in any case."""
+        with self._lock:
+            if self.get(job_id)["status"] == "paused":
+                self._update(job_id, status="active" if job_id in self._running and not requeue else "queued")
+
+    def _end(self, job_id: str, **values) -> None:
+        """A worker's last word, which doesn't overwrite what was said of its job meanwhile."""
+        with self._lock:
+            self._running.discard(job_id)
+            if self.get(job_id)["status"] == "active":
+                self._update(job_id, **values)
 
     def _run(self, job: dict) -> None:
         job_id = job["id"]
         work = self._work.get(job_id) or self.workers.get(job["kind"])
-        self._update(job_id, status="active")
+        with self._lock:
+            if self.get(job_id)["status"] != "queued":  # cancelled or paused since it was listed
+                return
+            self._running.add(job_id)
+            self._update(job_id, status="active")
         self.store.spark.sparkContext.setJobGroup(job_id, job["kind"], interruptOnCancel=True)
         try:
             note = work(JobContext(self, job_id), job) if work else f"no worker for {job['kind']}"
+        except Paused:
+            with self._lock:
+                self._running.discard(job_id)
+                if self.get(job_id)["status"] == "active":  # resumed while the worker was on its way out
+                    self._update(job_id, status="queued")
+        except Cancelled:
+            self._end(job_id)
         except Exception as e:  # a worker's failure is its job's state
-            if self.get(job_id)["status"] != "cancelled":
-                self._update(job_id, status="failed", error=str(e))
-            return
-        if self.get(job_id)["status"] != "cancelled":
-            self._update(job_id, status="done", progress=1.0, note=note)
+            self._end(job_id, status="failed", error=str(e))
+        else:
+            with self._lock:
+                # Whole work counts, even if a pause came after its last chunk.
+                self._running.discard(job_id)
+                if self.get(job_id)["status"] in ("active", "paused"):
+                    self._update(job_id, status="done", progress=1.0, note=note)
 
     def run_until_idle(self) -> None:
         """Batches of `parallel` queued jobs, each batch to its end."""

@@ -1,6 +1,8 @@
-"""File trees as a Spark source, a watch stream of them, and incremental classification.
+"""File trees as a Spark source, a stream of their listings, and incremental classification.
 
 spark.dataSource.register(ArchiveSource); spark.read.format("lakeloom_archive").option("roots", json).load()
+With option("pushdown", "true") and spark.sql.python.filterPushdown.enabled, filters on path, size and time are tested
+before a file is hashed, and directories that a path filter rules out are not entered.
 """
 
 from __future__ import annotations
@@ -8,13 +10,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 from pyspark.sql.window import Window
 from lakeloom.sources.store import numbered
 
@@ -94,7 +98,37 @@ class ArchiveReader(DataSourceReader):
             parts += [_Directory(root, path, False, i, shares) for i in range(shares)]
         return parts + [_Directory(root, path, True) for root, path in waiting[at:]]
 
+    # What filters that were pushed down say; here there are none.
+    def enters(self, directory: str) -> bool:
+        return True
+
+    def wants_path(self, path: str) -> bool:
+        return True
+
+    def wants(self, size: int | None, when: datetime | None) -> bool:
+        return True
+
+    def _row(self, root: str, path: str) -> tuple | None:
+        try:
+            stat = os.stat(path)
+            when = datetime.fromtimestamp(stat.st_mtime_ns // 1000 / 1e6, timezone.utc)
+            if self.wants(stat.st_size, when):
+                return root, path, stat.st_size, when, file_fingerprint(path) if self.hash else None, None
+        except OSError as e:
+            if self.wants(None, None):
+                return root, path, None, None, None, f"{type(e).__name__}: {e.strerror}"
+        return None
+
     def read(self, partition: _Directory) -> Iterator[tuple]:
+        for path, error in self.walk(partition):
+            if error is None:
+                if self.wants_path(path) and (row := self._row(partition.root, path)):
+                    yield row
+            elif self.wants_path(path) and self.wants(None, None):
+                yield partition.root, path, None, None, None, error
+
+    def walk(self, partition: _Directory) -> Iterator[tuple[str, str | None]]:
+        """Paths of files, and those of directories that can't be listed with the error."""
         stack = [partition.path]
         while stack:
             here = stack.pop()
@@ -103,57 +137,107 @@ class ArchiveReader(DataSourceReader):
                     entries = sorted(found, key=lambda e: e.name)
             except OSError as e:
                 if not partition.share:
-                    yield partition.root, here, None, None, None, f"{type(e).__name__}: {e.strerror}"
+                    yield here, f"{type(e).__name__}: {e.strerror}"
                 continue
             for e in entries:
                 if e.is_dir(follow_symlinks=False):
-                    if partition.deep:
+                    if partition.deep and self.enters(e.path):
                         stack.append(e.path)
                     continue
                 if partition.shares > 1 and zlib.crc32(os.fsencode(e.name)) % partition.shares != partition.share:
                     continue
                 if e.is_symlink() and (not self.links or not os.path.isfile(e.path)):
                     continue
-                try:
-                    stat = os.stat(e.path)
-                    when = datetime.fromtimestamp(stat.st_mtime_ns // 1000 / 1e6, timezone.utc)
-                    yield partition.root, e.path, stat.st_size, when, file_fingerprint(e.path) if self.hash else None, None
-                except OSError as err:
-                    yield partition.root, e.path, None, None, None, f"{type(err).__name__}: {err.strerror}"
+                yield e.path, None
 
 
-class WatchReader(SimpleDataSourceStreamReader):
-    """Rescan hints: the difference between two snapshots of the roots. A rename is a deletion and a new path."""
+#: Filters on these columns are tested here: by the filter's class, what it says of a value.
+_TESTS: dict[type, Callable] = {
+    EqualTo: lambda v, x: v == x, GreaterThan: lambda v, x: v > x, GreaterThanOrEqual: lambda v, x: v >= x, LessThan: lambda v, x: v < x, LessThanOrEqual: lambda v, x: v <= x,
+    In: lambda v, x: v in x, StringStartsWith: lambda v, x: v.startswith(x),
+}
+
+
+class PushingReader(ArchiveReader):
+    """A reader that takes filters on path, size_bytes and modified_time."""
 
     def __init__(self, options: dict) -> None:
-        self.roots = json.loads(options["roots"])
+        super().__init__(options)
+        self.tests: dict[str, list[tuple[type, object]]] = {"path": [], "size_bytes": [], "modified_time": []}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            name = ".".join(getattr(f, "attribute", ()))
+            if type(f) in _TESTS and name in self.tests:
+                value = f.value
+                if isinstance(value, datetime):
+                    value = value.astimezone(timezone.utc) if value.tzinfo else value.replace(tzinfo=timezone.utc)
+                self.tests[name].append((type(f), value))
+            else:
+                yield f
+
+    def _passes(self, name: str, value) -> bool:
+        return all(value is not None and _TESTS[kind](value, x) for kind, x in self.tests[name])
+
+    def enters(self, directory: str) -> bool:
+        """A directory may hold a wanted path if either begins with the other."""
+        inside = directory + "/"
+        for kind, x in self.tests["path"]:
+            prefixes = x if kind is In else [x] if kind in (EqualTo, StringStartsWith) else None
+            if prefixes is not None and not any(p.startswith(inside) or kind is StringStartsWith and inside.startswith(p) for p in prefixes):
+                return False
+        return True
+
+    def wants_path(self, path: str) -> bool:
+        return self._passes("path", path)
+
+    def wants(self, size: int | None, when: datetime | None) -> bool:
+        return self._passes("size_bytes", size) and self._passes("modified_time", when)
 
-    def _snapshot(self) -> dict[str, list[int]]:
-        found: dict[str, list[int]] = {}
-        for root in self.roots:
-            for here, _, names in os.walk(root):
-                for name in names:
-                    try:
-                        stat = os.stat(os.path.join(here, name))
-                        found[os.path.join(here, name)] = [stat.st_size, stat.st_mtime_ns]
-                    except OSError:
-                        continue
-        return found
+    def partitions(self) -> list[InputPartition]:
+        return [p for p in super().partitions() if self.enters(p.path)]
 
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"files": {}}
 
-    def _between(self, old: dict, new: dict) -> Iterator[tuple]:
-        gone = ((p, True) for p in sorted(old.keys() - new.keys()))
-        fresh = ((p, False) for p in sorted(new) if old.get(p) != new[p])
-        return iter([*gone, *fresh])
+class _Beat(InputPartition):
+    """A row for each bucket, so that a bucket of which all files are gone is looked at too."""
+
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = self._snapshot()
-        return self._between(start["files"], now), {"files": now}
+class WatchReader(DataSourceStreamReader):
+    """Each batch is a listing of the roots by the executors, dealt over tasks as a scan is; the offset is the time of the batch alone.
+
+    Rows: bucket, identity (of the file, whatever it is called; of a path for hard links), path, size, time in ns, tick.
+    """
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return self._between(start["files"], end["files"])
+    def __init__(self, options: dict) -> None:
+        self.files = ArchiveReader(options)
+        self.buckets = int(options.get("buckets", "64"))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"tick": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"tick": time.time_ns() // 1_000_000}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        parts: list[InputPartition] = [_Beat(end["tick"])]
+        for p in self.files.partitions():
+            p.tick = end["tick"]
+            parts.append(p)
+        return parts
+
+    def read(self, partition) -> Iterator[tuple]:
+        if isinstance(partition, _Beat):
+            for b in range(self.buckets):
+                yield b, None, None, None, None, partition.value
+            return
+        for path, error in self.files.walk(partition):
+            try:
+                own, stat = os.lstat(path), os.stat(path)
+            except OSError:
+                continue
+            if error is None:
+                identity = f"{own.st_dev}:{own.st_ino}" if own.st_nlink == 1 else path
+                yield zlib.crc32(identity.encode("utf-8", "surrogateescape")) % self.buckets, identity, path, stat.st_size, stat.st_mtime_ns, partition.tick
 
 
 class ArchiveSource(DataSource):
@@ -165,7 +249,7 @@ class ArchiveSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return ArchiveReader(self.options)
+        return (PushingReader if self.options.get("pushdown", "false") == "true" else ArchiveReader)(self.options)
 
 
 class WatchSource(DataSource):
@@ -174,18 +258,41 @@ class WatchSource(DataSource):
         return "lakeloom_watch"
 
     def schema(self) -> str:
-        return "path string, deleted boolean"
+        return "bucket int, identity string, path string, size_bytes long, modified_ns long, tick long"
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return WatchReader(self.options)
 
 
-def scan(spark: SparkSession, roots: list[str], dialect: str = "boolean", hash_files: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(files, issues) below the roots. In the boolean dialect any invalid root fails the scan; in the simple one it is an issue."""
+def listing(spark: SparkSession, roots: list[str], dialect: str = "boolean", hash_files: bool = False) -> DataFrame:
+    """(path, size_bytes, modified_time, fingerprint, error) of every file below the roots, once each, and of what can't be read."""
     for r in roots:
         validate_root(r, dialect)
     spark.dataSource.register(ArchiveSource)
-    rows = spark.read.format("lakeloom_archive").option("roots", json.dumps(roots)).option("hash", str(hash_files).lower()).option("follow_file_links", str(dialect == "boolean").lower()).load()
+    return spark.read.format("lakeloom_archive").option("roots", json.dumps(roots)).option("hash", str(hash_files).lower()).option("follow_file_links", str(dialect == "boolean").lower()).load().drop("root")
+
+
+def hash_files(files: DataFrame) -> DataFrame:
+    """(path, size_bytes, modified_time, fingerprint, error) of (path), as the files are when they are hashed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = ArchiveReader({"roots": "[]"})
+        for rb in batches:
+            rows = [reader._row("", path)[1:] for path in rb.column(0).to_pylist()]
+            kinds = (pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["path", "size_bytes", "modified_time", "fingerprint", "error"])
+
+    return files.select("path").mapInArrow(run, "path string, size_bytes long, modified_time timestamp, fingerprint string, error string")
+
+
+def gone(error):
+    """Whether an error says that there is no such file or directory: any other says that there is one that can't be read."""
+    return error.startswith("FileNotFoundError") | error.startswith("NotADirectoryError")
+
+
+def scan(spark: SparkSession, roots: list[str], dialect: str = "boolean", hash_files: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(files, issues) below the roots. In the boolean dialect any invalid root fails the scan; in the simple one it is an issue."""
+    rows = listing(spark, roots, dialect, hash_files)
     files = rows.where("error is null").select("path", "size_bytes", "modified_time", "fingerprint")
     return files, rows.where("error is not null").select("path", "error")
 

@@ -1,11 +1,16 @@
-"""The store: versioned Parquet tables with upserts, cascades and one pointer file a table.
+"""The store: versioned Parquet tables with upserts, cascades and a numbered pointer file a table.
 
-A write reads the current version, makes the next one beside it and moves the pointer with one rename,
-so readers see the old or the new version and never a path that is being written.
+A write makes new files beside the current ones and then creates the pointer of the next number, which names them.
+The name is taken exclusively, so of two writers that began alike one fails and none is lost; readers see the old or
+the new files and never a path that is being written. Tables of BUCKETED are parted by a hash of their key: a write
+makes anew only the buckets that its rows fall into. Tables of LOGS are appended to, a row of a key standing for those
+before it, and are compacted when the store is opened.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from functools import reduce
 
@@ -13,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakeloom.sources.cut import checkpointed
+
 #: Tables, their schemas and keys.
 TABLES = {
     "archives": ("id string, name string, roots array<string>, ai map<string,string>", ["id"]),
@@ -24,6 +31,8 @@ TABLES = {
     "scenes": ("asset_id string, idx int, start_s double, end_s double", ["asset_id", "idx"]),
     "health_snapshots": ("archive_id string, taken_at timestamp, total_assets long, missing_files long, corrupt_assets long, orphaned_derivatives long, duplicate_waste_bytes long", ["archive_id", "taken_at"]),
     "health_findings": ("archive_id string, taken_at timestamp, kind string, subject string", ["archive_id", "taken_at", "kind", "subject"]),
+    "index_runs": ("job_id string, archive_id string, taken_at timestamp, found long, new long, changed long, unchanged long, hashed long, warnings long", ["job_id"]),
+    "scan_issues": ("archive_id string, path string, error string, taken_at timestamp", ["archive_id", "path"]),
     "jobs": ("id string, archive_id string, kind string, status string, progress double, error string, note string, created_at timestamp, updated_at timestamp", ["id"]),
 }
 
@@ -37,6 +46,11 @@ ENUMS = {
     "job_kind": ("index", "derivatives", "tagging"),
     "job_status": ("queued", "active", "paused", "cancelled", "done", "failed"),
 }
+#: Tables parted by a hash of the column, and tables that are appended to, the last row of a key standing.
+BUCKETED = {"assets": "id", "tags": "id"}
+LOGS = ("jobs",)
+#: Buckets of a new store, and appended files of a log after which opening the store compacts it.
+BUCKETS, LOG_FILES = 16, 64
 _CHECKED = {("assets", "media_type"): "media_type", ("tags", "source"): "tag_source", ("derivatives", "kind"): "derivative_kind", ("duplicate_groups", "match_kind"): "match_kind", ("jobs", "kind"): "job_kind", ("jobs", "status"): "job_status"}
 
 
@@ -64,8 +78,11 @@ def checked_enum(kind: str, value: Column) -> Column:
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "id", first: int = 1) -> DataFrame:
-    """rows numbered from `first` on without gaps, in order, by ranges: only the number of rows of each range meets in one place."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    """rows numbered from `first` on without gaps, in order, by ranges: only the number of rows of each range meets in one place.
+
+    The dealt rows are cut from their lineage, so rows that tie keep their numbers if an executor is lost.
+    """
+    dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     sizes = dealt.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -87,19 +104,25 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 class Store:
     """Tables below one folder, which any Hadoop file system may hold."""
 
-    VERSION = 2
+    VERSION = 3
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        """Opens the store, or makes one with the present version; a store of another version is refused."""
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+        """Opens the store, or makes one with the present version and so many buckets; a store of another version is refused."""
         self.spark, self.root = spark, root.rstrip("/")
         self._conf = spark._jsc.hadoopConfiguration()
         found = self._read(f"{self.root}/VERSION")
         if found is None:
-            if any(self._fs().exists(self._path(f"{self.root}/{t}/CURRENT")) for t in TABLES):
+            if any(self._fs().exists(self._path(f"{self.root}/{t}")) for t in TABLES):
                 raise StoreError("a store without a version")
-            self._write(f"{self.root}/VERSION", str(self.VERSION))
-        elif found != str(self.VERSION):
-            raise StoreError(f"a store of version {found}, not {self.VERSION}")
+            self._create(f"{self.root}/VERSION", f"{self.VERSION} {buckets}")
+            found = self._read(f"{self.root}/VERSION")
+        version, _, held = found.partition(" ")
+        if version != str(self.VERSION):
+            raise StoreError(f"a store of version {version}, not {self.VERSION}")
+        self.buckets = int(held)
+        for name in LOGS:
+            if self._appended(name) > LOG_FILES:
+                self.replace(name, self.table(name))
 
     def _read(self, name: str) -> str | None:
         fs, p = self._fs(), self._path(name)
@@ -111,8 +134,8 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, name: str, value: str) -> None:
-        """Writes beside the file and renames, so readers see the old or the new value."""
+    def _create(self, name: str, value: str) -> None:
+        """Makes a file of that name, whole or not at all; an error if there is one already."""
         jvm, fs = self.spark._jvm, self._fs()
         temporary, final = self._path(f"{name}.{uuid.uuid4().hex}"), self._path(name)
         out = fs.create(temporary, True)
@@ -120,8 +143,12 @@ class Store:
         out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri() if final.isAbsolute() and final.toUri().getScheme() else fs.getUri(), self._conf)
         options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(temporary, final, options)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(temporary, final, options)
+        except Exception as e:
+            fs.delete(temporary, False)
+            raise StoreError(f"{name} was written by another") from e
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -129,66 +156,117 @@ class Store:
     def _fs(self):
         return self._path(self.root).getFileSystem(self._conf)
 
-    def _pointer(self, table: str) -> str | None:
-        return self._read(f"{self.root}/{table}/CURRENT")
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._fs(), self._path(folder)
+        return [e.getPath().getName() for e in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _number(self, table: str) -> int:
+        """Of the current pointer; 0 if there is none."""
+        return max((int(n[1:]) for n in self._names(f"{self.root}/{table}") if n[:1] == "P" and n[1:].isdigit()), default=0)
+
+    def _parts(self, table: str, number: int) -> dict[str, str]:
+        """The folder of each bucket, or of the whole table as bucket ""."""
+        return json.loads(self._read(f"{self.root}/{table}/P{number:09d}")) if number else {}
+
+    def _appended(self, name: str) -> int:
+        return sum(n.startswith("part-") for folder in self._parts(name, self._number(name)).values() for n in self._names(f"{self.root}/{name}/{folder}"))
+
+    def bucket(self, name: str, key: Column | None = None) -> Column:
+        """The bucket of a row of a table of BUCKETED."""
+        return F.pmod(F.xxhash64(F.col(BUCKETED[name]) if key is None else key), F.lit(self.buckets)).cast("int")
+
+    def _stored(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """All rows as they were written, or those of some buckets."""
+        schema = TABLES[name][0] + (", _seq long" if name in LOGS else "")
+        parts = self._parts(name, self._number(name))
+        folders = [f"{self.root}/{name}/{v}" for b, v in parts.items() if buckets is None or b == "" or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def table(self, name: str) -> DataFrame:
-        schema, _ = TABLES[name]
-        version = self._pointer(name)
-        return self.spark.createDataFrame([], schema) if version is None else self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}")
+        rows = self._stored(name)
+        return rows if name not in LOGS else latest(rows, TABLES[name][1][0], ["_seq"]).select(*rows.columns).drop("_seq")
 
-    def replace(self, name: str, rows: DataFrame) -> None:
-        schema, keys = TABLES[name]
-        columns = self.spark.createDataFrame([], schema).columns
+    def _checked(self, name: str, rows: DataFrame) -> DataFrame:
+        columns = [f.strip().split(" ")[0] for f in TABLES[name][0].replace("map<string,string>", "map").split(",")]
         for column in columns:
             if kind := _CHECKED.get((name, column)):
                 rows = rows.withColumn(column, checked_enum(kind, F.col(column)))
-        before, version = self._pointer(name), f"v_{uuid.uuid4().hex}"
-        rows.select(*columns).write.parquet(f"{self.root}/{name}/{version}")
-        if self._pointer(name) != before:
-            raise StoreError(f"{name} was written by another")  # the new version is not pointed to: vacuum() takes it
-        self._write(f"{self.root}/{name}/CURRENT", version)
+        return rows.select(*columns, *[F.lit(time.time_ns()).alias("_seq")] * (name in LOGS))
+
+    def replace(self, name: str, rows: DataFrame, buckets: list[int] | None = None) -> None:
+        """rows become the table, or, with buckets, what these buckets hold; the others stay the files they are."""
+        number, version = self._number(name), f"v_{uuid.uuid4().hex}"
+        parts = {b: v for b, v in self._parts(name, number).items() if buckets is not None and int(b) not in buckets}
+        folder, rows = f"{self.root}/{name}/{version}", self._checked(name, rows)
+        if name in BUCKETED:
+            rows.withColumn("_bucket", self.bucket(name)).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(folder)
+            made = {n.partition("=")[2]: f"{version}/{n}" for n in self._names(folder) if n.startswith("_bucket=")}
+            if buckets is not None and (strange := {*made} - {*map(str, buckets)}):
+                raise StoreError(f"{name}: rows of the buckets {sorted(strange)} don't belong to this write")
+            parts |= made
+        else:
+            rows.write.parquet(folder)
+            parts = {"": version}
+        self._create(f"{self.root}/{name}/P{number + 1:09d}", json.dumps(parts))  # a version that isn't pointed to goes with vacuum()
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Rows for the end of a table of LOGS; nothing else is written."""
+        if name not in LOGS:
+            raise StoreError(f"{name} is not appended to")
+        parts = self._parts(name, self._number(name))
+        if parts:
+            self._checked(name, rows).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}/{parts['']}")
+        else:
+            self.replace(name, rows)
 
     def vacuum(self) -> int:
-        """Deletes the versions that no pointer names, but for those of readers that may still be at work: call it when none is."""
+        """Deletes the versions that the last pointer doesn't name, but for those of readers that may still be at work: call it when none is."""
         fs, gone = self._fs(), 0
         for name in TABLES:
-            folder = self._path(f"{self.root}/{name}")
-            if not fs.exists(folder):
-                continue
-            keep = self._pointer(name)
-            for entry in fs.listStatus(folder):
-                path = entry.getPath()
-                if path.getName().startswith("v_") and path.getName() != keep:
-                    gone += bool(fs.delete(path, True))
+            number = self._number(name)
+            keep = {*self._parts(name, number).values()}
+            for entry in self._names(f"{self.root}/{name}"):
+                below = [f"{entry}/{n}" for n in self._names(f"{self.root}/{name}/{entry}") if n.startswith("_bucket=")] if entry.startswith("v_") else []
+                old = [n for n in below if n not in keep] if any(n in keep for n in below) else [entry] if entry.startswith("v_") and entry not in keep or entry[:1] == "P" and entry != f"P{number:09d}" else []
+                gone += sum(bool(fs.delete(self._path(f"{self.root}/{name}/{n}"), True)) for n in old)
         return gone
 
     def upsert(self, name: str, rows: DataFrame) -> None:
+        """New and changed rows by key; of a bucketed table only the buckets that they fall into are written."""
         _, keys = TABLES[name]
-        merged = upsert(self.table(name), rows, keys)
+        if name in LOGS:
+            return self.append(name, rows)
+        buckets = None
+        if name in BUCKETED:
+            rows = checkpointed(rows)  # read three times, and it may be made of this table
+            buckets = [r[0] for r in rows.select(self.bucket(name)).distinct().collect()]  # as many as there are buckets
+            if not buckets:
+                return None
         if name == "assets":
-            twice = F.count(F.lit(1)).over(Window.partitionBy("path")) > 1
-            merged = merged.withColumn("path", F.when(twice, F.raise_error(F.concat(F.lit("path already indexed: "), F.col("path"))).cast("string")).otherwise(F.col("path")))
-        self.replace(name, merged)
+            others = self.table(name).select(F.col("id").alias("_id"), "path").unionByName(rows.select(F.col("id").alias("_id"), "path"))
+            if twice := others.join(rows.select("path"), "path", "left_semi").groupBy("path").agg(F.count_distinct("_id").alias("n")).where("n > 1").first():
+                raise StoreError(f"path already indexed: {twice['path']}")
+        return self.replace(name, upsert(self._stored(name, buckets), rows, keys), buckets)
 
     def delete(self, name: str, condition) -> None:
         self.replace(name, self.table(name).where(~F.coalesce(condition, F.lit(False))))
 
     # Deletes reach what depends on the row.
     def delete_assets(self, ids: DataFrame) -> None:
-        gone = ids.select(F.col("id").alias("asset_id")).distinct().persist()
+        gone = checkpointed(ids.select(F.col("id").alias("asset_id")).distinct())  # what it is read from changes below
         for name in ("derivatives", "tags", "scenes"):
             self.replace(name, self.table(name).join(gone, "asset_id", "left_anti"))
         groups = self.table("duplicate_groups")
         members = groups.select("id", F.posexplode_outer("members").alias("pos", "asset_id")).join(gone, "asset_id", "left_anti")
         left = members.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "asset_id"))), lambda x: x["asset_id"]).alias("members"))
         self.replace("duplicate_groups", groups.drop("members").join(left, "id", "left").withColumn("members", F.coalesce("members", F.array().cast("array<string>"))))
-        self.replace("assets", self.table("assets").join(gone.withColumnRenamed("asset_id", "id"), "id", "left_anti"))
-        gone.unpersist()
+        buckets = [r[0] for r in gone.select(self.bucket("assets", F.col("asset_id"))).distinct().collect()]
+        if buckets:
+            self.replace("assets", self._stored("assets", buckets).join(gone.withColumnRenamed("asset_id", "id"), "id", "left_anti"), buckets)
 
     def delete_archive(self, archive_id: str) -> None:
         self.delete_assets(self.table("assets").where(F.col("archive_id") == archive_id).select("id"))
-        for name in ("health_snapshots", "health_findings"):
+        for name in ("health_snapshots", "health_findings", "scan_issues", "index_runs"):
             self.delete(name, F.col("archive_id") == archive_id)
         jobs = self.table("jobs")
         self.replace("jobs", jobs.withColumn("archive_id", F.when(F.col("archive_id") != archive_id, F.col("archive_id"))))
@@ -235,7 +313,9 @@ class Store:
         self.upsert("tags", numbered(tags.drop("id"), ["asset_id", "label"], "id", base + 1))
 
     def set_tag_rejected(self, tag_id: int, rejected: bool) -> None:
-        self.replace("tags", self.table("tags").withColumn("rejected", F.when(F.col("id") == tag_id, F.lit(rejected)).otherwise(F.col("rejected"))))
+        """Writes the tag's bucket and nothing else."""
+        mine = [self.spark.range(1).select(self.bucket("tags", F.lit(tag_id).cast("long"))).first()[0]]
+        self.replace("tags", self._stored("tags", mine).withColumn("rejected", F.when(F.col("id") == tag_id, F.lit(rejected)).otherwise(F.col("rejected"))), mine)
 
     def tags_of(self, asset_id: str) -> DataFrame:
         return self.table("tags").where(F.col("asset_id") == asset_id).orderBy("id")
