@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +41,17 @@ def numbered_in_ranges(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(base, [key, "_range"]).withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_first", "_before")
 
 
+def spans(cuts: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, scene, value, next) of cuts (key, _range, _at, value): their number within the key from 0 on, and the value of the next cut."""
+    w = Window.partitionBy(key, "_range").orderBy("_at")  # within a range
+    parts = cuts.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_first"))
+    before = carried(parts, key, F.sum("_n")).withColumnRenamed("_carry", "_before")
+    after = carried(parts, key, F.min("_first"), forward=False).withColumnRenamed("_carry", "_after")
+    local = cuts.withColumn("_k", F.row_number().over(w) - 1).withColumn("_next", F.lead(value).over(w))
+    scene = (F.col("_k") + F.coalesce("_before", F.lit(0))).cast("int").alias("scene")
+    return local.join(before, [key, "_range"]).join(after, [key, "_range"]).select(key, scene, value, F.coalesce("_next", "_after").alias("next"))
+
+
 def split_scenes(scores: DataFrame, threshold: float, fps: float, assets: DataFrame | None = None, key: str = "asset_id", order: tuple[str, ...] = ("frame",), score: str = "score") -> DataFrame:
     """(key, scene, start_s, end_s): a scene begins at frame 0 and at each later frame whose score reaches the threshold.
 
@@ -47,13 +60,7 @@ def split_scenes(scores: DataFrame, threshold: float, fps: float, assets: DataFr
     """
     framed = numbered_in_ranges(in_ranges(scores.select(key, *order, score).where(F.col(key).isNotNull()), key, order), key, "_i")
     cuts = checkpointed(framed.where((F.col("_i") == 0) | (F.col(score) >= threshold)).select(key, "_range", "_at", "_i"))
-    w = Window.partitionBy(key, "_range").orderBy("_at")  # within a range
-    parts = cuts.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
-    before = carried(parts, key, F.sum("_n")).withColumnRenamed("_carry", "_before")
-    after = carried(parts, key, F.min("_first"), forward=False).withColumnRenamed("_carry", "_after")
-    local = cuts.withColumn("_k", F.row_number().over(w) - 1).withColumn("_next", F.lead("_i").over(w))
-    scene = (F.col("_k") + F.coalesce("_before", F.lit(0))).cast("int")
-    out = local.join(before, [key, "_range"]).join(after, [key, "_range"]).select(key, scene.alias("scene"), (F.col("_i") / fps).alias("start_s"), (F.coalesce("_next", "_after") / fps).alias("end_s"))
+    out = spans(cuts, key, "_i").select(key, "scene", (F.col("_i") / fps).alias("start_s"), (F.col("next") / fps).alias("end_s"))
     if assets is None:
         return out
     return assets.select(key).distinct().join(out, key, "left").select(key, F.coalesce("scene", F.lit(0)).alias("scene"), F.coalesce("start_s", F.lit(0.0)).alias("start_s"), "end_s")
@@ -88,14 +95,45 @@ def checked_scenes(scenes: DataFrame) -> DataFrame:
 def merge_short_scenes(scenes: DataFrame, min_seconds: float = 1.0, key: str = "asset_id") -> DataFrame:
     """Scenes shorter than min_seconds become part of the scene before, which then lasts on (our own design).
 
-    A cut counts if the scene that is open began min_seconds earlier at least, so cuts that were dropped don't count.
+    A cut counts if the scene that is open began min_seconds earlier at least, so cuts that were dropped don't count. Which
+    cuts of a range count depends on the last that counts before it. Each range is first decided as if none stood before;
+    then those for which that was wrong are decided again, until none is. A range is right at the latest once those before
+    it are, and mostly soon, as two different beginnings meet in one cut after a few.
     """
-    starts = scenes.groupBy(key).agg(F.array_sort(F.collect_list(F.col("start_s").cast("double"))).alias("starts"))
-    none = F.array().cast("array<double>")
-    kept = F.aggregate("starts", none, lambda cuts, x: F.when((F.size(cuts) == 0) | (x - F.element_at(cuts, F.greatest(F.size(cuts), F.lit(1))) >= min_seconds), F.array_append(cuts, x)).otherwise(cuts))
-    cut = starts.select(key, kept.alias("cuts"))
-    out = cut.select(key, "cuts", F.posexplode("cuts").alias("scene", "start_s"))
-    return out.select(key, "scene", "start_s", F.get("cuts", F.col("scene") + 1).alias("end_s"))
+    kind = scenes.schema[key].dataType.simpleString()
+    cuts = in_ranges(scenes.select(key, F.col("start_s").cast("double").alias("start_s")).where("start_s is not null"), key, ("start_s",))
+
+    def decide(rows: pa.Table) -> Iterator[tuple[int, float]]:
+        """Rows of one range that count, in order of place, given what counts last before it."""
+        last = rows.column("_carry")[0].as_py()
+        starts = rows.column("start_s").to_pylist()
+        at = rows.column("_at").to_pylist()
+        for i in sorted(range(len(at)), key=at.__getitem__):
+            if last is None or starts[i] - last >= min_seconds:
+                last = starts[i]
+                yield i, last
+
+    def end(rows: pa.Table) -> pa.Table:
+        last = rows.column("_carry")[0].as_py()
+        for _, last in decide(rows):
+            pass
+        return pa.table({key: rows.column(key).slice(0, 1), "_range": rows.column("_range").slice(0, 1), "_carry": rows.column("_carry").slice(0, 1), "_end": pa.array([last], pa.float64())})
+
+    def kept(rows: pa.Table) -> pa.Table:
+        return rows.take(pa.array([i for i, _ in decide(rows)], pa.int64()))
+
+    of_range = [key, "_range"]
+    carry = cuts.select(*of_range).distinct().withColumn("_carry", F.lit(None).cast("double"))
+    ends = None  # of each range: what it was decided with, and what counts last in it
+    while True:
+        fresh = cuts.join(carry, of_range).groupBy(*of_range).applyInArrow(end, f"{key} {kind}, _range long, _carry double, _end double")
+        ends = checkpointed(fresh if ends is None else ends.join(carry.select(*of_range), of_range, "left_anti").unionByName(fresh))
+        before = ends.select(*of_range, F.col("_carry").alias("_had"), F.lag("_end").over(Window.partitionBy(key).orderBy("_range")).alias("_carry"))
+        carry = checkpointed(before.where(~F.col("_had").eqNullSafe(F.col("_carry"))).select(*of_range, "_carry"))
+        if carry.isEmpty():
+            break
+    counted = cuts.join(ends.select(*of_range, "_carry"), of_range).groupBy(*of_range).applyInArrow(kept, f"{key} {kind}, _range long, start_s double, _at long, _carry double")
+    return spans(checkpointed(counted.select(key, "_range", "_at", "start_s")), key, "start_s").select(key, "scene", "start_s", F.col("next").alias("end_s"))
 
 
 @dataclass(frozen=True)
@@ -111,7 +149,5 @@ class SceneDetector:
         sampled = frames.where(F.col("frame") % self.every_nth_frame == 0).select(key, "frame", dhash_udf("data", "width", "height").alias("hash"))
         apart = F.bit_count(F.col("hash").bitwiseXOR(F.col("before")))
         scores = before_in_ranges(in_ranges(sampled, key, ("frame",)), key, "hash", "before").select(key, "frame", apart.alias("apart"))
-        cuts = checkpointed(scores.where(F.col("apart").isNull() | (F.col("apart") > self.hash_distance)))
-        w = Window.partitionBy(key).orderBy("frame")
-        scenes = cuts.select(key, (F.row_number().over(w) - 1).alias("scene"), (F.col("frame") / fps).alias("start_s"), (F.lead("frame").over(w) / fps).alias("end_s"))
-        return merge_short_scenes(scenes, self.min_scene_ms / 1000, key)
+        cuts = scores.where(F.col("apart").isNull() | (F.col("apart") > self.hash_distance)).select(key, (F.col("frame") / fps).alias("start_s"))
+        return merge_short_scenes(cuts, self.min_scene_ms / 1000, key)

@@ -323,7 +323,7 @@ def test_headers_findings_and_second_command_line(spark, tmp_path):
     engine.index("arch", [])
     kinds = {(r["kind"], r["subject"].rsplit("/", 1)[-1]) for r in engine.store.table("health_findings").collect()}
     assert ("missing-file", "odd.dat") in kinds and ("corrupt-asset", rows["text.xyz"]["id"]) in kinds
-    assert not any((tmp_path / "data" / "scans").iterdir())
+    assert not any((tmp_path / "data" / "runs").iterdir())
     # The second command line.
     config = tmp_path / "arch.yaml"
     config.write_text(f"# an archive\nname: 'arch'\nroots:\n  - {root}\n")

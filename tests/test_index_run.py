@@ -315,3 +315,29 @@ def test_scenes_across_ranges(spark):
     assert got == sorted(want, key=lambda r: (r[0], r[1]))
     none = spark.createDataFrame([("x",)], "asset_id string")
     assert [tuple(r) for r in scenes.split_scenes(df.limit(0), 0.9, 25.0, none, order=("ts", "n")).collect()] == [("x", 0, 0.0, None)]
+
+
+def test_short_scenes_across_ranges(spark):
+    """One asset's cuts span many ranges, near and far from each other; no range may forget what counts before it."""
+    rng = random.Random(11)
+    starts = {"long": sorted(rng.choice([rng.uniform(0, 900), float(rng.randint(0, 300)) * 3]) for _ in range(2000)), "dense": [i * 0.4 for i in range(500)], "one": [0.0]}
+    rows = [(k, x) for k, v in starts.items() for x in v]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "asset_id string, start_s double").repartition(5)
+    settings = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = sorted(map(tuple, scenes.merge_short_scenes(df, 1.0).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = []
+    for key, xs in starts.items():
+        kept: list = []
+        for x in xs:
+            if not kept or x - kept[-1] >= 1.0:
+                kept.append(x)
+        want += [(key, i, x, kept[i + 1] if i + 1 < len(kept) else None) for i, x in enumerate(kept)]
+    assert got == sorted(want)
