@@ -19,7 +19,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from lakeloom.llm.wordblocks import trim
 
 WINDOW = 4096
 END_ID = 2
-#: Bytes of words and their ids that a worker keeps; beyond them it starts anew. Texts encoded at once have so many bytes.
-CACHED_BYTES, ENCODED_BYTES = 48 << 20, 2 << 20
+#: Bytes of words and their ids that a worker keeps, in two generations: what was not met in one goes with it. Pieces of words
+#: that are kept besides; texts encoded at once have so many bytes.
+CACHED_BYTES, CACHED_PIECES, ENCODED_BYTES = 128 << 20, 1 << 17, 2 << 20
 
 
 class CapacityTree:
@@ -155,10 +156,20 @@ def _fast_words(path: str):
     special = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or "(?!)").search
     as_id = [i.to_bytes(4, "little") if i >= 0 else b"" for i in ids].__getitem__
 
+    @lru_cache(CACHED_PIECES)
+    def one(x: str) -> bytes:
+        return b"".join([as_id(i) for i in piece(x.encode() + b"\xff")])
+
     def encode(word: str) -> bytes | None:
-        if not plain(word) or special(word):
+        if not plain(word):
+            return None
+        if word.isalpha():  # letters are one piece, and so is a mark behind them
+            return one(word.lower())
+        if word[:-1].isalpha() and not word[-1].isalnum():
+            return one(word[:-1].lower()) + one(word[-1])
+        if special(word):
             return None
-        return b"".join([as_id(i) for x in split(word.lower()) for i in piece(x.encode() + b"\xff")])
+        return b"".join(map(one, split(word.lower())))
 
     return encode
 
@@ -167,19 +178,21 @@ def _fast_words(path: str):
 def _encoder(path: str, end_id: int):
     """Texts to ids. No token spans white space, so words are encoded apart, each new one once."""
     known: dict[bytes, bytes] = {}
+    before: dict[bytes, bytes] = {}
     held = 0
 
     def encode(texts: list[str]) -> list[bytes]:
-        nonlocal held
+        nonlocal known, before, held
         fast = _fast_words(path)
-        if held > CACHED_BYTES:
-            known.clear()
-            held = 0
+        if held > CACHED_BYTES // 2:
+            known, before, held = {}, known, 0
         out, end, slow = [], np.array([end_id], "<u4").tobytes(), []
         split = [t.encode().split() for t in texts]  # parts at the bytes 09-0D and 20
         new = {w for words in split for w in words if w not in known}
         for w in new:
-            if fast is None or (ids := fast(w.decode())) is None:
+            if (ids := before.get(w)) is not None:
+                known[w] = ids
+            elif fast is None or (ids := fast(w.decode())) is None:
                 slow.append(w)
             else:
                 known[w] = ids
