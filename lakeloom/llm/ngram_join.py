@@ -1,12 +1,14 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles.
 
 Documents with equal sets form a class, and classes are joined. Light classes (small sets) enumerate the
-2-subsets of a prefix: two sets similar enough share 2 of their n - ceil(t n) + 2 least shingles. Heavy
+2-subsets of a prefix: two sets similar enough share 2 of their n - ceil(t n) + 2 first shingles in an order that is
+one for all sets. The order is rarest first, by counts over all rows in 2^20 cells of the hash, so a phrase that
+thousands of short texts share stands last in each and makes no list. Heavy
 classes (large sets) are scanned through inverted lists. Their keys are blocks of a set: a set of sizes up
 to s is dealt into K blocks by a hash of the shingle, and since similar sets differ in at most
 H = 2 s (1 - t) / (1 + t) shingles, more than K - H blocks are equal in both. One passage that thousands of
-documents share fills no block of theirs, so it makes no candidates. A set with so many empty blocks
-that this proves nothing also lists its prefix. The boundary between light and heavy is the one with the
+documents share fills no block of theirs, so it makes no candidates. A block of common shingles alone is listed no more
+than an empty one: equal blocks are so in both sets. A set with so many of these that this proves nothing lists its prefix. The boundary between light and heavy is the one with the
 least total of keys over the sizes that occur.
 
 In a list, each class is first compared with the list's least class alone, and in lists that still
@@ -44,6 +46,10 @@ SUBSET = 2
 PIVOTS = 2
 #: Members of an open list that one task compares with all others of it, on the average.
 DEALT = 1000
+#: Shingles are counted in 2 ** CELL_BITS cells, which travel in so many ranges.
+CELL_BITS, RANGES = 20, 64
+#: A cell is common if it has so many shingles and so many times the mean of all cells.
+COMMON_LEAST, COMMON_TIMES = 32, 4
 #: Keys that a task gathers before it sends them on, and words whose hash it keeps.
 SEND, CACHED_WORDS = 1 << 20, 300_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -135,19 +141,31 @@ class Sizes:
         return self.spare(n) == 0 and 100 * n // self.percent == n
 
 
-def light_keys(u: np.ndarray, sizes: Sizes) -> np.ndarray:
+def rarest(u: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
+    """The first n shingles of a sorted set in the order of all sets: by the level of their cell, then by hash."""
+    place = (level[u & np.uint64(len(level) - 1)].astype(np.uint64) << np.uint64(56)) | (u >> np.uint64(8))
+    return u[np.argsort(place, kind="stable")[:n]]
+
+
+def common(level: np.ndarray) -> float:
+    """The level from which on a cell's shingles are common: well beyond what as many different shingles as there are put into each cell."""
+    return float(4 * np.log2(COMMON_LEAST + COMMON_TIMES * np.mean(2.0 ** (level.astype(np.float64) / 4) - 1)))
+
+
+def light_keys(u: np.ndarray, sizes: Sizes, level: np.ndarray) -> np.ndarray:
     """Keys of the 2-subsets of the prefix of a sorted set."""
-    prefix = u[: sizes.spare(len(u)) + SUBSET]
+    prefix = rarest(u, level, sizes.spare(len(u)) + SUBSET)
     i, j = np.triu_indices(len(prefix), 1)
     with np.errstate(over="ignore"):
         return mix(mix(prefix[i]) * _M3 + prefix[j])
 
 
-def heavy_keys(sets: list[np.ndarray], sizes: Sizes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the blocks of many sets, and the set each belongs to."""
+def heavy_keys(sets: list[np.ndarray], sizes: Sizes, level: np.ndarray, often: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the blocks of many sets, and the set each belongs to. Shingles of the level `often` are common."""
     n = np.array([len(u) for u in sets])
     own = np.searchsorted(sizes.edges, n, side="right") - 1
     u, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    rare = level[u & np.uint64(len(level) - 1)] < often
     keys, owners = [], []
     with np.errstate(over="ignore"):
         content = mix(u + _M3)
@@ -159,24 +177,26 @@ def heavy_keys(sets: list[np.ndarray], sizes: Sizes) -> tuple[np.ndarray, np.nda
             total = int(k.sum())
             sums = np.zeros(total, np.uint64)
             np.add.at(sums, cell, content)
-            filled = np.bincount(cell, minlength=total) > 0
+            filled = np.bincount(cell[rare], minlength=total) > 0
             owner = np.repeat(np.arange(len(sets)), k)
             index = np.arange(total) - np.repeat(first, k)
             keys.append(mix(sums + mix((np.repeat(tag, k) * (1 << 32) + index).astype(np.uint64)))[filled])
             owners.append(owner[filled])
             empty = np.bincount(owner[~filled], minlength=len(sets))
-            for d in np.flatnonzero(empty >= k - sizes.differ[tag]).tolist():  # equal blocks may all be empty
-                prefix = sets[d][: sizes.spare(len(sets[d])) + 1]
+            for d in np.flatnonzero(empty >= k - sizes.differ[tag]).tolist():  # equal blocks may all be empty or common
+                prefix = rarest(sets[d], level, sizes.spare(len(sets[d])) + 1)
                 keys.append(mix(prefix + mix(np.uint64(tag[d]) + _M2)))
                 owners.append(np.full(len(prefix), d))
     return np.concatenate(keys), np.concatenate(owners)
 
 
 def _sets(docs: DataFrame, ws: Workspace, words: int, seed: int) -> DataFrame:
-    """Rows of kind doc (doc_id, text_key, cls, check, n) and, once a task for each class, of kind text (cls, n, body, sketch)."""
+    """Rows of kind doc (doc_id, text_key, cls, check, n); once a task for each class, of kind text (cls, n, body, sketch); of kind count (cls: range, body: shingles of those classes by cell)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, press, seen = Shingler(words, seed), zstandard.ZstdCompressor(level=3), set()
+        count, kinds = np.zeros(1 << CELL_BITS, np.uint32), (*[pa.int64()] * 5, pa.binary(), pa.list_(pa.int64()), pa.string())
+        names = ["doc_id", "text_key", "cls", "check", "n", "body", "sketch", "kind"]
         for rb in batches:
             rows: list[tuple] = []
             for doc_id, text, text_key in zip(rb.column(0).to_pylist(), rb.column(1), rb.column(2).to_pylist()):
@@ -189,16 +209,36 @@ def _sets(docs: DataFrame, ws: Workspace, words: int, seed: int) -> DataFrame:
                     if len(seen) > CACHED_WORDS:
                         seen.clear()
                     seen.add(cls)
+                    np.add.at(count, u & np.uint64(len(count) - 1), 1)
                     rows.append((None, None, cls, check, len(u), press.compress(text.encode()), sketch(u), "text"))
-            cols = list(zip(*rows)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.binary(), pa.list_(pa.int64()), pa.string()))], names=["doc_id", "text_key", "cls", "check", "n", "body", "sketch", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, kinds)], names=names)
+        if count.any():
+            rows = [(None, None, i, None, None, press.compress(part.tobytes()), None, "count") for i, part in enumerate(np.split(count, RANGES))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
         trim()
 
     return ws.put(docs.mapInArrow(run, "doc_id long, text_key long, cls long, check long, n long, body binary, sketch array<long>, kind string"), "sets", "kind")
 
 
-def _lists(texts: DataFrame, sizes: Sizes, words: int, seed: int, parts: int) -> DataFrame:
+def _levels(counts: DataFrame) -> np.ndarray:
+    """Of each cell four times the logarithm of its shingles: a byte a cell comes to the driver, 2 ** CELL_BITS in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand, total = zstandard.ZstdDecompressor(), {}
+        for rb in batches:
+            for i, body in zip(rb.column(0).to_pylist(), rb.column(1)):
+                total.setdefault(i, np.zeros((1 << CELL_BITS) // RANGES, np.int64))[:] += np.frombuffer(expand.decompress(body.as_py()), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([np.minimum(255, 4 * np.log2(t + 1.0)).astype(np.uint8).tobytes() for t in total.values()], pa.binary())], names=["range", "body"])
+
+    out = np.zeros((RANGES, (1 << CELL_BITS) // RANGES), np.uint8)
+    for r in counts.select(F.col("cls").cast("int").alias("range"), "body").repartitionById(RANGES, F.col("range")).mapInArrow(run, "range int, body binary").collect():
+        out[r["range"]] = np.frombuffer(r["body"], np.uint8)
+    return out.reshape(-1)
+
+
+def _lists(texts: DataFrame, sizes: Sizes, level: np.ndarray, words: int, seed: int, parts: int) -> DataFrame:
     """(list, cls, leader): the members of each inverted list of two classes or more; equal lists of a task once."""
+    often = common(level)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, expand = Shingler(words, seed), zstandard.ZstdDecompressor()
@@ -223,14 +263,14 @@ def _lists(texts: DataFrame, sizes: Sizes, words: int, seed: int, parts: int) ->
                     if sizes.alone(n):
                         continue
                     if n * sizes.percent <= 100 * sizes.boundary:
-                        k = light_keys(u, sizes)
+                        k = light_keys(u, sizes, level)
                         held.append((k, np.full(len(k), c)))
                         count += len(k)
                     if n > sizes.boundary:
                         heavy.append(u)
                         who.append(c)
                 if heavy:
-                    k, owner = heavy_keys(heavy, sizes)
+                    k, owner = heavy_keys(heavy, sizes, level, often)
                     held.append((k, np.array(who, np.int64)[owner]))
                     count += len(k)
                 if count >= SEND:
@@ -321,7 +361,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     sizes = Sizes(percent, {r["n"]: r["count"] for r in classes.groupBy("n").count().collect()})
 
     # 1. Inverted lists; each class against the least class of its lists.
-    lists = ws.put(_lists(texts, sizes, words, seed, parts), "lists")
+    lists = ws.put(_lists(texts, sizes, _levels(rows.where("kind = 'count'")), words, seed, parts), "lists")
     candidates = lists.select("cls").distinct()
     held = ws.put(texts.join(candidates, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("body").alias("body"), F.first("sketch").alias("sketch")), "texts")
     pairs = lists.where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
@@ -357,7 +397,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: st
     named = classes.select("cls", "copies", "least").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     index = ws.put(named.join(names, "label").select("cls", "copies", "component_id"), "index")
-    for done in ("sets/kind=text", "lists", "texts", "open", "edges_1", "edges_2", *(f"edges_pivot_{r}" for r in range(PIVOTS)), *(f"open_{r}" for r in range(PIVOTS))):
+    for done in ("sets/kind=text", "sets/kind=count", "lists", "texts", "open", "edges_1", "edges_2", *(f"edges_pivot_{r}" for r in range(PIVOTS)), *(f"open_{r}" for r in range(PIVOTS))):
         ws.drop(done)  # the result needs the index and the members alone
     found = join_hot(members, index, ["cls"], "copies", int(total or 0))
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", "text_key")

@@ -16,7 +16,8 @@ Anchors whose gram stands once in the corpus are found by a shuffle of hashes al
 once, bucketed by batch, and never shuffled. What repeats inside a batch is settled there, so only a
 batch's first occurrences travel: a passage that a third of all documents hold is one entry a batch.
 A gram that stands very often, as in a common line with different text around it, would bring all its
-places into one task. Its windows go out one by one, to the task that owns their 128-bit fingerprint.
+places into one task. Its windows go out one by one, dealt by a fingerprint of their bytes, so that equal ones
+meet; there they are sorted and compared as all others are.
 
 Defined results: matches never cross documents; rows count as different documents, in order of doc_id
 (null ids last), rows of one id in an order that is fixed once; a null or empty text has no bytes and is
@@ -42,7 +43,7 @@ BATCH_BYTES = 8 << 20
 #: Window starts that are hashed at once, and windows that are sorted at once.
 BLOCK, SORTED_WINDOWS = 1 << 18, 1 << 18
 #: An anchor that stands so often, and makes up one part in HOT_PART of what its task receives, is hot: its windows
-#: meet by their fingerprints and not by the anchor.
+#: are dealt by their fingerprints and not by the anchor.
 HOT_LEAST, HOT_PART = 256, 4
 _POSITION = np.uint64((1 << 30) - 1)
 _ROWS = "batch long, part int, body binary, kind string"
@@ -197,16 +198,14 @@ def repeated_windows(text: np.ndarray, first: np.ndarray, count: np.ndarray, anc
     return out
 
 
-def fingerprints(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints, as two numbers, of the strings that begin at `starts`. text has 8 bytes more."""
-    a, b = np.full(len(starts), _M1), np.full(len(starts), _M2)
+def fingerprints(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A 64-bit mix of each of the strings that begin at `starts`, to deal them by. text has 8 bytes more."""
+    out = np.full(len(starts), _M1)
     w = words8(text)
     with np.errstate(over="ignore"):
         for d in [*range(0, length - 8, 8), length - 8]:  # whole words; the last may overlap the one before
-            x = w[starts + d]
-            a, b = _mix((a ^ x) * _M2 + np.uint64(d + 1)), _mix((b + x) * _M1 + np.uint64(3 * d + 1))
-            b = b ^ (b >> np.uint64(32))
-    return a, b
+            out = _mix((out ^ w[starts + d]) * _M2 + np.uint64(d + 1))
+    return out
 
 
 def _by_part(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -313,23 +312,23 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     def set_of(run: np.ndarray, which: np.ndarray) -> np.ndarray:
         return np.sort((run << 7) | which)
 
-    def alone(batch: int, runs: np.ndarray, first: np.ndarray, count: np.ndarray, gone: np.ndarray, ids: np.ndarray, known: np.ndarray, doc: np.ndarray, begin: np.ndarray, raw: np.ndarray) -> list[tuple]:
-        """Rows of the windows of hot runs that repeat nothing in their batch, by part of their fingerprints."""
+    def alone(batch: int, runs: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, gone: np.ndarray, ids: np.ndarray, known: np.ndarray, doc: np.ndarray, begin: np.ndarray, raw: np.ndarray) -> list[tuple]:
+        """Rows of the windows of hot runs that repeat nothing in their batch, each a context of one window, by part of their fingerprints."""
         n = count[runs]
         run = np.repeat(runs, n)
         which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         stays = ~np.isin((run << 7) | which, gone)
         run, which = run[stays], which[stays]
         where = first[run] + which
-        a, b = fingerprints(raw, where, length)
-        part = (a % np.uint64(parts)).astype(np.int64)
+        part = (fingerprints(raw, where, length) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[order], np.arange(parts + 1))
         rows = []
         for p in np.flatnonzero(np.diff(edges)).tolist():
             g = order[edges[p] : edges[p + 1]]
             d = doc[run[g]]
-            rows.append((batch, p, pack(a[g], b[g], ids[d], known[d], d.astype(np.uint32), (where[g] - begin[run[g]]).astype(np.uint32), where[g].astype(np.uint32)), "hot"))
+            text = raw[where[g][:, None] + np.arange(length)].reshape(-1)
+            rows.append((batch, p, pack(ids[d], known[d], d.astype(np.uint32), (where[g] - begin[run[g]]).astype(np.uint32), where[g].astype(np.uint32), np.ones(len(g), np.uint8), (anchor[run[g]] - where[g]).astype(np.uint8), text), "context"))
         return rows
 
     # 3. Within a batch: sort what stands around these anchors; first occurrences go on.
@@ -354,7 +353,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
         which = np.concatenate([np.zeros(0, np.int64), *(x for _, x in hit)])
         rows = [(batch, -1, pack(*_intervals(first[run] + which)), "cover")]
         left_over = np.bincount(run, minlength=len(at)) < count
-        rows += alone(batch, np.flatnonzero(left_over & hot), first, count, set_of(run, which), ids, known, doc, begin, raw)
+        rows += alone(batch, np.flatnonzero(left_over & hot), first, count, anchor, set_of(run, which), ids, known, doc, begin, raw)
         goes = np.flatnonzero(left_over & ~hot)
         part = (h[goes] % np.uint64(parts)).astype(np.int64)
         goes = goes[np.argsort(part, kind="stable")]
@@ -397,29 +396,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
             yield _emit([(int(names[i]), 0, pack(*_intervals(where[run[r]].astype(np.int64) + which[r])), "cover")])
         trim()
 
-    def across_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of equal fingerprints all but the earliest window's are repetitions."""
-        rows = [(b, unpack(x)) for rb in batches for b, x in zip(rb.column(0).to_pylist(), rb.column(2).to_pylist())]
-        if not rows:
-            return
-        kinds = (np.uint64, np.uint64, np.int64, np.uint8, np.uint32, np.uint32, np.uint32)
-        a, b, ids, known, doc, start, where = (np.concatenate([np.frombuffer(x[k], t) for _, x in rows]) for k, t in enumerate(kinds))
-        n = [len(x[0]) // 8 for _, x in rows]
-        names = np.array([b for b, _ in rows], np.int64)
-        batch = np.repeat(np.arange(len(rows)), n)
-        del rows
-        order = np.lexsort((start, doc, names[batch], ids, known == 0, b, a))
-        again = np.zeros(len(a), bool)
-        again[order[1:]] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        for i, (lo, hi) in enumerate(zip(np.cumsum(n) - n, np.cumsum(n))):
-            if (w := where[lo:hi][again[lo:hi]]).size:
-                yield _emit([(int(names[i]), 0, pack(*_intervals(w.astype(np.int64))), "cover")])
-        trim()
-
     contexts = found.where("kind = 'context'").select("batch", "part", "body")
     covers = contexts.repartitionById(parts, F.col("part")).mapInArrow(across, _ROWS).select("batch", "body")
-    hots = found.where("kind = 'hot'").select("batch", "part", "body")
-    covers = covers.unionByName(hots.repartitionById(parts, F.col("part")).mapInArrow(across_hot, _ROWS).select("batch", "body"))
     covers = covers.unionByName(found.where("kind = 'cover'").select("batch", "body")).select(F.col("batch").alias("cover_batch"), F.col("body").alias("cover"))
 
     # 5. Cover and cut.

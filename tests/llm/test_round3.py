@@ -233,3 +233,28 @@ def test_owners_hold_ranges_of_buckets_and_shuffle_once(spark):
         assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+# N-gram join: shingles stand rarest first.
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_a_common_phrase_makes_no_lists(spark, n):
+    """Short texts that share a phrase of 14 words and are otherwise unlike are not compared; those that are near copies are."""
+    from lakeloom.llm import ngram_join
+    from lakeloom.llm.common import documents
+
+    rng = random.Random(12)
+    phrase = " ".join(f"common{i}" for i in range(14))
+    texts = [f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(rng.randint(8, 20)))} {phrase} {' '.join(f'v{rng.randrange(10**6)}' for _ in range(rng.randint(8, 20)))}" for _ in range(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    ws = Workspace(spark, "phrase_test")
+    rows = ngram_join._sets(documents(df).withColumn("text_key", F.xxhash64("text")), ws, 5, 0)
+    sizes = ngram_join.Sizes(80, {r["n"]: r["count"] for r in rows.where("kind = 'doc'").groupBy("n").count().collect()})
+    level = ngram_join._levels(rows.where("kind = 'count'"))
+    lists = ngram_join._lists(rows.where("kind = 'text'").select("cls", "body"), sizes, level, 5, 0, 4)
+    pairs = lists.groupBy("list").count().selectExpr("coalesce(sum(count * (count - 1) div 2), 0)").first()[0]
+    assert pairs < 20_000
+    near = [(n + i, texts[i] + " end") for i in range(0, n, 50)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(df.unionByName(spark.createDataFrame(near, "doc_id long, text string"))).collect()}
+    assert {i: c for i, c in got.items() if c != i} == {n + i: i for i in range(0, n, 50)}
