@@ -242,3 +242,47 @@ def euclid(a: Column, b: Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     square = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
     return F.sqrt(F.aggregate(square, F.lit(0.0), lambda s, v: s + v))
+
+
+#: Leading dimensions that a grid has at most; cells are this many radii wide.
+GRID_DIMS = 4
+
+
+def fingerprint_kinds(fingerprints: DataFrame, id_col: str = "id", vector_col: str = "fingerprint") -> DataFrame:
+    """(id, kind, v): fingerprints as doubles, and the least id of those that are the same. Null and empty ones, and ones with odd numbers, take no part."""
+    vector = F.col(vector_col).cast("array<double>")
+    rows = fingerprints.select(F.col(id_col).alias("id"), vector.alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
+    rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    kinds = rows.groupBy("v").agg(F.min("id").alias("kind"))
+    return rows.join(kinds, "v").select("id", "kind", "v")
+
+
+def audio_pairs(kinds: DataFrame, radius: float) -> DataFrame:
+    """(a, b, distance) with a < b of rows (id, v): fingerprints within `radius` over their common prefix, all of them.
+
+    A pair within the radius differs by no more in any dimension of its prefix, so it falls into neighbouring cells of a
+    grid as wide as the radius over the leading dimensions: one side sends its cell, the other the cells around it. The grid
+    has the dimensions that all fingerprints have and in which the cells part them; of a pair, one side's cell is met once.
+    """
+    if radius < 0:
+        raise ValueError("a radius must not be negative")
+    width = radius if radius > 0 else 1.0
+    spread = lambda i: F.max(F.get("v", F.lit(i))) - F.min(F.get("v", F.lit(i)))
+    least, *spreads = kinds.agg(F.min(F.size("v")), *(spread(i) for i in range(GRID_DIMS))).first()
+    dims = [i for i in range(min(least or 0, GRID_DIMS)) if (spreads[i] or 0) > 3 * width] or [0]
+    # Beyond a long's reach all values share the outer cells: few cells, and right ones.
+    at = lambda i: F.floor(F.greatest(F.least(F.get("v", F.lit(i)) / width, F.lit(4e18)), F.lit(-4e18))).cast("long")
+    cells = kinds.select("id", "v", *(at(i).alias(f"c{i}") for i in dims))
+    around = cells
+    for i in dims:
+        around = around.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + d for d in (-1, 0, 1)))))
+    a = around.select(F.col("id").alias("a"), F.col("v").alias("va"), *(f"c{i}" for i in dims))
+    b = cells.select(F.col("id").alias("b"), F.col("v").alias("vb"), *(f"c{i}" for i in dims))
+    met = a.join(b, [f"c{i}" for i in dims]).where("a < b")
+    return met.select("a", "b", euclid(F.col("va"), F.col("vb")).alias("distance")).where(F.col("distance") <= radius)
+
+
+def audio_duplicates(fingerprints: DataFrame, radius: float, id_col: str = "id", vector_col: str = "fingerprint") -> tuple[DataFrame, DataFrame]:
+    """(pairs between different fingerprints, each by its least id; (id, kind) of every fingerprint). Copies are not expanded into pairs."""
+    known = fingerprint_kinds(fingerprints, id_col, vector_col)
+    return audio_pairs(known.where("id = kind").select("id", "v"), radius), known.select("id", "kind")

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators import dedupe, health, search
-from lakeloom.plans.indexing import CHUNK_FILES, IndexRun
+from lakeloom.plans.indexing import CHUNK_FILES, Import, IndexRun
 from lakeloom.plans.jobs import JobQueue
+from lakeloom.sources.report import write_report
 from lakeloom.sources.store import Store, StoreError
 
 
@@ -43,6 +44,7 @@ class Engine:
         self.spark, self.headers, self.chunk_files = spark, headers, chunk_files
         self.store = Store(spark, data_dir)
         self.queue = JobQueue(self.store, {"index": self._index_job})
+        self.imports = Import(self.store, self.store.root)
 
     def archive_id(self, name: str) -> str | None:
         row = self.store.table("archives").where(F.col("name") == name).first()
@@ -65,6 +67,16 @@ class Engine:
             raise RuntimeError(state["error"])
         return {"archive": name, "assets": self.store.assets_of(aid).count(), "duplicate_groups": self.dedupe(name)["duplicate_groups"]}
 
+    def import_files(self, name: str, paths: DataFrame) -> list[str]:
+        """Enqueues the import of (path) into an archive, and the stages that wait for it; their jobs, in order."""
+        return self.imports.enqueue(self.queue, self.store.find_or_create_archive(name, []), paths)
+
+    def report(self, name: str, path: str, head: dict) -> None:
+        """head and the archive's duplicate groups, a row for each member, as one JSON document at path; written by the executors."""
+        assets = self.store.assets_of(self.archive_id(name))
+        groups = dedupe.exact_members(assets.withColumn("asset_id", F.col("id"))).join(assets.select(F.col("id").alias("asset_id"), "path", "size_bytes"), "asset_id")
+        write_report(groups.select("group_id", "asset_id", "path", "size_bytes").orderBy("group_id", "path"), path, head, "members")
+
     def dedupe(self, name: str) -> dict:
         aid = self.archive_id(name)
         assets = self.store.assets_of(aid).withColumn("asset_id", F.col("id"))
@@ -91,6 +103,17 @@ class Engine:
         return health.recent_trend(rows.withColumn("interventions", F.col("missing_files") + F.col("corrupt_assets") + F.col("orphaned_derivatives")), limit)
 
 
+#: Hits that a command line or a request gives at once; all are counted.
+PAGE = 10_000
+
+
+def page(rows: DataFrame, order: str, limit: int, offset: int) -> list:
+    """Rows offset to offset + limit in order: a bounded heap in each task, and no more than the page on the driver."""
+    if limit < 0 or offset < 0:
+        raise ValueError("limit and offset must not be negative")
+    return rows.orderBy(order).offset(offset).limit(limit).collect()
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lakeloom")
     p.add_argument("--data-dir", default=None)
@@ -103,6 +126,8 @@ def parser() -> argparse.ArgumentParser:
         if name == "search":
             c.add_argument("--query", required=True)
             c.add_argument("--dialect", choices=("boolean", "simple"), default="simple")
+            c.add_argument("--limit", type=int, default=PAGE)
+            c.add_argument("--offset", type=int, default=0)
         if name == "dedupe":
             c.add_argument("--report", default=None)
         if name == "tag":
@@ -132,15 +157,16 @@ def run(spark: SparkSession, argv: list[str]) -> tuple[ExitCode, str]:
             return ExitCode.SEARCH_FAILED, str(e)
         if (aid := engine.archive_id(args.archive)) is None:
             return ExitCode.CONFIGURATION, f"no archive {args.archive}"
-        found = engine.search(aid, args.query, args.dialect).join(engine.store.table("assets").select(F.col("id").alias("asset_id"), "path"), "asset_id").orderBy("path").collect()
-        return ExitCode.SUCCESS, "\n".join([*(f"{r['path']}: {'; '.join(r['explanations'])}" for r in found), f"{len(found)} match(es)"])
+        hits = engine.search(aid, args.query, args.dialect).join(engine.store.table("assets").select(F.col("id").alias("asset_id"), "path"), "asset_id")
+        rows, n = page(hits, "path", args.limit, args.offset), hits.count()
+        return ExitCode.SUCCESS, "\n".join([*(f"{r['path']}: {'; '.join(r['explanations'])}" for r in rows), f"{n} match(es)"])
     if engine.archive_id(args.archive) is None:
         return (ExitCode.INDEXING_FAILED if args.command == "dedupe" else ExitCode.CONFIGURATION), f"no archive {args.archive}"
     if args.command == "dedupe":
-        report = json.dumps(engine.dedupe(args.archive))
+        found = engine.dedupe(args.archive)
         if args.report:
-            Path(args.report).write_text(report)
-        return ExitCode.SUCCESS, report
+            engine.report(args.archive, args.report, found)
+        return ExitCode.SUCCESS, json.dumps(found)
     return ExitCode.SUCCESS, "tagging needs a model: nothing was tagged"
 
 
@@ -201,8 +227,8 @@ class Commands:
     def list_archives(self) -> list[dict]:
         return [r.asDict() for r in self.engine.store.archives().collect()]
 
-    def search(self, archive: str, q: str, dialect: str = "simple") -> list[dict]:
-        return [r.asDict() for r in self.engine.search(archive, q, dialect).collect()]
+    def search(self, archive: str, q: str, dialect: str = "simple", limit: int = PAGE, offset: int = 0) -> list[dict]:
+        return [r.asDict() for r in page(self.engine.search(archive, q, dialect), "asset_id", limit, offset)]
 
     def row(self, table: str, key: str) -> dict:
         found = self.engine.store.table(table).where(F.col("id") == key).first()
@@ -251,7 +277,7 @@ def serve(engine: Engine, port: int = 8420, host: str = "127.0.0.1", decode: boo
             if method == "GET" and path == "/health":
                 return commands.health()
             if method == "GET" and path == "/search":
-                return commands.search(args["archive"], args["q"], args.get("dialect", "simple"))
+                return commands.search(args["archive"], args["q"], args.get("dialect", "simple"), int(args.get("limit", PAGE)), int(args.get("offset", 0)))
             if method == "GET" and path.startswith(("/assets/", "/jobs/")):
                 _, kind, key = path.split("/", 2)
                 return commands.row(kind, key)

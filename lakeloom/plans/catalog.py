@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import media, text
-from lakeloom.operators import dedupe, health, scenes, search, tagging
+from lakeloom.operators import dedupe, health, scenes, search, tagging, textindex
 from lakeloom.plans import indexing
 from lakeloom.sources import archive, store
+from lakeloom.sources.cut import checkpointed
 from lakeloom.streaming import event_counts
 
 EXTENSIONS = ("mkv", "mp4", "wav", "flac", "jpg", "txt", "ogg", "opus", "mov", "aiff", "webm", "dpx")
@@ -70,6 +71,22 @@ def search_simple(spark, sf_dir):
     return _joined(search.search_simple(search.simple_entries(assets(spark, sf_dir), tags(spark, sf_dir)), "tag:quality and codec:E and doc_"))
 
 
+def search_indexed(spark, sf_dir):
+    """The boolean query by the trigram index, which is made anew here."""
+    docs = _docs(spark, sf_dir)
+    rows, _ = textindex.search_indexed(docs, checkpointed(textindex.grams(docs)), BOOLEAN_QUERY)
+    return _joined(rows)
+
+
+SUBSTRING_QUERY = "oc_12 NOT ext:wav OR path:/doc_77"
+
+
+def search_substring(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    rows, _ = textindex.search_indexed(docs, checkpointed(textindex.grams(docs)), SUBSTRING_QUERY)
+    return _joined(rows)
+
+
 def exact_duplicates(spark, sf_dir):
     return dedupe.exact_duplicates(assets(spark, sf_dir)).select("group_id", "fingerprint", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
@@ -96,6 +113,15 @@ def hamming_leaders(spark, sf_dir):
     return dedupe.leader_groups(_hashes(spark, sf_dir), 18)
 
 
+AUDIO_RADIUS = 0.3
+
+
+def audio_pairs(spark, sf_dir):
+    """Vectors' first 16 components stand for fingerprints of eight windows, those of every fifth vector for five."""
+    prints = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", F.lit(1), F.when(F.col("vec_id") % 5 == 0, 10).otherwise(16)).alias("fingerprint"))
+    return dedupe.audio_duplicates(prints, AUDIO_RADIUS)[0].select("a", "b", F.round("distance", 6).alias("distance"))
+
+
 def cosine_topk(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings")
     first = vectors.orderBy("vec_id").select("embedding").first()
@@ -148,7 +174,8 @@ def _listing(spark, sf_dir):
 
 
 def _closed(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), F.col("lang")).alias("path")).groupBy().agg(F.min("path").alias("path"))
+    """The directory of the first file that is gone."""
+    return _table(spark, sf_dir, "documents").where("doc_id % 7 = 3").agg(F.min_by(F.concat(F.col("source"), F.lit("/"), F.col("lang")), "doc_id").alias("path")).where("path is not null")
 
 
 def index_plan(spark, sf_dir):
@@ -264,7 +291,7 @@ def event_windows(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_boolean, search_not_prefix, search_simple, cosine_topk, euclid_topk, exact_duplicates, waste_report, groups_for_archive, hamming_pairs, hamming_leaders, scene_cuts, scenes_merged,
+        search_boolean, search_not_prefix, search_simple, search_indexed, search_substring, cosine_topk, euclid_topk, exact_duplicates, waste_report, groups_for_archive, hamming_pairs, hamming_leaders, audio_pairs, scene_cuts, scenes_merged,
         index_plan, index_missing, rescan_outcomes, rescan_pending, resume_pending, health_missing, health_moved, health_orphans, health_counts_by_kind, health_snapshot, health_trend, health_trend_recent,
         tag_decisions, tags_kept, tags_strict, media_fields, technical_metadata, asset_uuid5, jobs_latest, upsert_assets, archive_roots, event_windows,
     )
@@ -273,6 +300,7 @@ QUERIES = {
 _BARE_DOC = """CASE WHEN contains({f}, '{n}') THEN 'filename matches "{n}" (' || regexp_extract(path, '[^/]*$') || ')' WHEN contains({p}, '{n}') THEN 'path matches "{n}" (' || path || ')' END"""
 _DOC1 = _BARE_DOC.format(f=_FOLD.format("regexp_extract(path, '[^/]*$')"), p=_FOLD.format("path"), n="doc_1")
 _DOC2 = _DOC1.replace("doc_1", "doc_2")
+_OC12 = _BARE_DOC.format(f=_FOLD.format("regexp_extract(path, '[^/]*$')"), p=_FOLD.format("path"), n="oc_12")
 _GROUPS_SQL = "grp AS (SELECT fingerprint, min(asset_id) AS group_id, count(*) AS n, string_agg(CAST(asset_id AS VARCHAR), ',' ORDER BY asset_id) AS members, sum(size_bytes) - max(size_bytes) AS free FROM assets GROUP BY fingerprint HAVING count(*) > 1)"
 _BITS_SQL = "h AS (SELECT vec_id AS id, [x > 0 FOR x IN embedding] AS b FROM embeddings)"
 _SCENES_SQL = """f AS (SELECT user_id AS asset_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value FROM events),
@@ -296,6 +324,12 @@ ORACLES = {
         coalesce((SELECT bool_or(label = 'toxic') FROM tags t WHERE t.asset_id = a.asset_id AND NOT rejected), false) AS tox FROM assets a)
       SELECT asset_id, concat_ws('; ', 'tag '' High-Quality '' matches', CASE WHEN contains(fn, 'e') THEN 'filename contains ''E''' END, 'codec ''' || codec || ''' matches',
         CASE WHEN contains('high-quality', 'e') THEN NULL END, 'filename contains ''doc_''') AS explanations FROM d WHERE hq AND contains(codec, 'e')""",
+    "search_substring": f"""WITH {_ASSETS_SQL}, e AS (SELECT asset_id, CASE WHEN ext <> 'wav' THEN {_OC12} || '; matches all assets' END AS l, CASE WHEN contains({_FOLD.format("path")}, '/doc_77') THEN 'path matches "/doc_77" (' || path || ')' END AS r FROM assets)
+      SELECT asset_id, concat_ws('; ', l, r) AS explanations FROM e WHERE l IS NOT NULL OR r IS NOT NULL""",
+    "audio_pairs": """WITH f AS MATERIALIZED (SELECT vec_id AS id, CAST(list_slice(embedding, 1, CASE WHEN vec_id % 5 = 0 THEN 10 ELSE 16 END) AS DOUBLE[]) AS v FROM embeddings),
+      k AS MATERIALIZED (SELECT min(id) AS id, v FROM f WHERE len(v) > 0 GROUP BY v),
+      p AS (SELECT x.id AS a, y.id AS b, list_distance(list_slice(x.v, 1, least(len(x.v), len(y.v))), list_slice(y.v, 1, least(len(x.v), len(y.v)))) AS d FROM k x JOIN k y ON x.id < y.id)
+      SELECT a, b, round(d, 6) AS distance FROM p WHERE d <= 0.3""",
     "cosine_topk": """SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 20""",
     "euclid_topk": """SELECT vec_id, round(list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20""",
     "exact_duplicates": f"WITH {_ASSETS_SQL}, {_GROUPS_SQL} SELECT group_id, fingerprint, members FROM grp",
@@ -320,7 +354,7 @@ ORACLES = {
         FROM scan s LEFT JOIN assets a ON a.path = s.path WHERE CAST(regexp_extract(s.path, '_([0-9]+)[.][a-z0-9]*$', 1) AS BIGINT) % 11 <> 5)
       SELECT path, outcome, outcome <> 'unchanged' AS to_hash FROM o""",
     "index_missing": f"""WITH {_ASSETS_SQL}, {_SCAN_SQL}, {_MISSING_SQL}
-      SELECT asset_id, path FROM missing WHERE NOT starts_with(path, (SELECT min(source || '/' || lang) FROM documents) || '/')""",
+      SELECT asset_id, path FROM missing WHERE NOT starts_with(path, (SELECT arg_min(source || '/' || lang, doc_id) FROM documents WHERE doc_id % 7 = 3) || '/')""",
     "rescan_pending": f"""WITH {_ASSETS_SQL}, {_SCAN_SQL}, o AS (SELECT CASE WHEN a.path IS NULL THEN 'new' WHEN a.size_bytes = s.size_bytes THEN 'unchanged' ELSE 'changed' END AS outcome FROM scan s LEFT JOIN assets a ON a.path = s.path)
       SELECT outcome, count(*) AS n FROM o WHERE outcome <> 'unchanged' GROUP BY outcome""",
     "resume_pending": f"WITH {_ASSETS_SQL} SELECT asset_id, fingerprint FROM assets WHERE fingerprint NOT IN (SELECT fingerprint FROM assets WHERE asset_id % 3 = 0)",
@@ -350,3 +384,4 @@ ORACLES = {
     "archive_roots": "WITH r AS (SELECT DISTINCT source AS name, lang AS root FROM documents UNION SELECT DISTINCT source, 'extra/' || lang FROM documents) SELECT name, string_agg(root, ',' ORDER BY root) AS roots FROM r GROUP BY name",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+ORACLES["search_indexed"] = ORACLES["search_boolean"]

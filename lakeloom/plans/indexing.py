@@ -9,6 +9,7 @@ flags are polled, so a pause ends the work within a chunk and frees the queue.
 from __future__ import annotations
 
 import math
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
@@ -16,7 +17,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import media, text
 from lakeloom.operators import dedupe, health
+from lakeloom.plans.jobs import JobQueue, Stage
 from lakeloom.sources import archive, probe
+from lakeloom.sources.cut import checkpointed
 from lakeloom.sources.store import TABLES, Store
 
 #: Files and bytes that a chunk has on average at most.
@@ -34,6 +37,63 @@ def in_chunks(planned: DataFrame, chunks: int) -> DataFrame:
     return archive.needing_processing(planned).withColumn("chunk", F.pmod(F.xxhash64("path"), F.lit(chunks)).cast("int"))
 
 
+#: Why a file isn't imported; fixed values.
+UNSUPPORTED, UNRECOGNISED, UNREADABLE = "unsupported codec (indexed as unsupported)", "unrecognised file", "unreadable file"
+
+
+def imported(probed: DataFrame, archive_id: str) -> DataFrame:
+    """(path, status imported or rejected, reason, asset_id) of probed files, and all that they came with: one that isn't supported is refused, which is no failure."""
+    error = F.coalesce(F.col("error"), F.col("probe_error"))
+    why = F.when(error.isNotNull(), F.concat(F.lit(f"{UNREADABLE}: "), error)).when(F.col("container").isNull(), UNRECOGNISED).when(~F.col("supported"), UNSUPPORTED)
+    asset = F.when(why.isNull(), text.asset_uuid(F.lit(archive_id), text.normalize_path(F.col("path"))))
+    return probed.select("*", F.when(why.isNull(), "imported").otherwise("rejected").alias("import_status"), why.alias("reason"), asset.alias("asset_id"))
+
+
+class Import:
+    """Files given by path: probed and hashed, refused or stored, and what they were decided to be kept by job.
+
+    The stages after it (derivatives, scenes, tags) are jobs of their own that wait for it, each for the one before; their
+    workers get the assets that this import has stored, as a table, by assets_of().
+    """
+
+    STAGES = ((Stage.DERIVATIVES, "derivatives"), (Stage.SCENE_DETECTION, "derivatives"), (Stage.TAGGING, "tagging"))
+
+    def __init__(self, store: Store, home: str) -> None:
+        self.store, self.home = store, home
+
+    def enqueue(self, queue: JobQueue, archive_id: str, paths: DataFrame) -> list[str]:
+        """Jobs of the import of (path) and of its stages, in their order."""
+        folder = f"{self.store.root}/imports_asked/{uuid.uuid4().hex}"
+        paths.select("path").where("path is not null").distinct().write.parquet(folder)
+        first = queue.enqueue(archive_id, "index", lambda context, job: self.work(context, job, folder), Stage.SCAN)
+        jobs = [first]
+        for stage, kind in self.STAGES:
+            jobs.append(queue.enqueue(archive_id, kind, None, stage, after=jobs[-1]))
+        return jobs
+
+    def work(self, context, job: dict, folder: str) -> str:
+        spark = self.store.spark
+        asked = spark.read.parquet(folder).repartition(2 * spark.sparkContext.defaultParallelism)
+        probed = probe.probe_files(archive.hash_files(asked))
+        rows = checkpointed(imported(probed, job["archive_id"]))
+        context.check()
+        fresh = rows.where("import_status = 'imported'").select(
+            F.col("asset_id").alias("id"), F.lit(job["archive_id"]).alias("archive_id"), "path", "fingerprint", "size_bytes", "modified_time",
+            "media_type", "supported", F.to_json(F.struct("container", "codec")).alias("technical"),
+        )
+        self.store.upsert("assets", fresh)
+        self.store.upsert("imports", rows.select(F.lit(job["id"]).alias("job_id"), F.lit(job["archive_id"]).alias("archive_id"), "path", F.col("import_status").alias("status"), "reason", "asset_id"))
+        self.store._fs().delete(self.store._path(folder), True)
+        counts = {r["import_status"]: r["count"] for r in rows.groupBy("import_status").count().collect()}  # two statuses
+        return f"imported {counts.get('imported', 0)} file(s), rejected {counts.get('rejected', 0)}"
+
+    def assets_of(self, job_id: str) -> DataFrame:
+        """Assets that the import job has stored, with the places of their derivatives below the engine's home."""
+        mine = self.store.table("imports").where((F.col("job_id") == job_id) & (F.col("status") == "imported")).select(F.col("asset_id").alias("id"))
+        assets = self.store.table("assets").join(mine, "id", "left_semi")
+        return assets.withColumn("derivatives", media.derivative_paths(F.lit(f"{self.home}/derivatives"), F.col("id")))
+
+
 class IndexRun:
     """A run of an archive's index job, kept below the store until it is through."""
 

@@ -104,11 +104,14 @@ class JobQueue:
             self._update(j["id"], status="queued", progress=0.0)
         return len(active)
 
-    def enqueue(self, archive_id: str | None, kind: str, work: Callable | None = None) -> str:
+    def enqueue(self, archive_id: str | None, kind: str, work: Callable | None = None, stage: Stage | None = None, after: str | None = None) -> str:
+        """A queued job; with `after`, one that waits until that job is done, and goes with it if it fails or is cancelled."""
         if archive_id is not None and self.store.table("archives").where(F.col("id") == archive_id).isEmpty():
             raise KeyError(f"no archive {archive_id}")
+        if after is not None and self.get(after) is None:
+            raise KeyError(f"no job {after}")
         now = datetime.now(timezone.utc)
-        job = {"id": str(uuid.uuid4()), "archive_id": archive_id, "kind": kind, "status": "queued", "progress": 0.0, "error": None, "note": None, "created_at": now, "updated_at": now}
+        job = {"id": str(uuid.uuid4()), "archive_id": archive_id, "kind": kind, "status": "queued", "progress": 0.0, "error": None, "note": None, "created_at": now, "updated_at": now, "stage": stage and stage.name.lower(), "after": after}
         self._put(job)
         if work:
             self._work[job["id"]] = work
@@ -163,9 +166,25 @@ class JobQueue:
                 if self.get(job_id)["status"] in ("active", "paused"):
                     self._update(job_id, status="done", progress=1.0, note=note)
 
+    def ready(self) -> list[dict]:
+        """Queued jobs, oldest first, whose predecessors are done; those of failed or cancelled predecessors are cancelled."""
+        jobs = self.list()
+        status = {j["id"]: j["status"] for j in jobs}
+        found, settled = [], False
+        while not settled:  # a cancelled job's own successors go too
+            settled, found = True, []
+            for j in (j for j in jobs if status[j["id"]] == "queued"):
+                before = status.get(j["after"]) if j["after"] else "done"
+                if before == "done":
+                    found.append(j)
+                elif before not in ("queued", "active", "paused"):
+                    self._update(j["id"], status="cancelled", error=f"job {j['after']} before it was {before or 'lost'}")
+                    status[j["id"]], settled = "cancelled", False
+        return found
+
     def run_until_idle(self) -> None:
-        """Batches of `parallel` queued jobs, each batch to its end."""
-        while batch := [j for j in self.list() if j["status"] == "queued"][: self.parallel]:
+        """Batches of `parallel` jobs that are ready, each batch to its end."""
+        while batch := self.ready()[: self.parallel]:
             with ThreadPoolExecutor(len(batch)) as pool:
                 list(pool.map(self._run, batch))
 

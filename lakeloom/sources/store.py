@@ -32,8 +32,9 @@ TABLES = {
     "health_snapshots": ("archive_id string, taken_at timestamp, total_assets long, missing_files long, corrupt_assets long, orphaned_derivatives long, duplicate_waste_bytes long", ["archive_id", "taken_at"]),
     "health_findings": ("archive_id string, taken_at timestamp, kind string, subject string", ["archive_id", "taken_at", "kind", "subject"]),
     "index_runs": ("job_id string, archive_id string, taken_at timestamp, found long, new long, changed long, unchanged long, hashed long, warnings long", ["job_id"]),
+    "imports": ("job_id string, archive_id string, path string, status string, reason string, asset_id string", ["job_id", "path"]),
     "scan_issues": ("archive_id string, path string, error string, taken_at timestamp", ["archive_id", "path"]),
-    "jobs": ("id string, archive_id string, kind string, status string, progress double, error string, note string, created_at timestamp, updated_at timestamp", ["id"]),
+    "jobs": ("id string, archive_id string, kind string, status string, progress double, error string, note string, created_at timestamp, updated_at timestamp, stage string, after string", ["id"]),
 }
 
 
@@ -266,7 +267,7 @@ class Store:
 
     def delete_archive(self, archive_id: str) -> None:
         self.delete_assets(self.table("assets").where(F.col("archive_id") == archive_id).select("id"))
-        for name in ("health_snapshots", "health_findings", "scan_issues", "index_runs"):
+        for name in ("health_snapshots", "health_findings", "scan_issues", "index_runs", "imports"):
             self.delete(name, F.col("archive_id") == archive_id)
         jobs = self.table("jobs")
         self.replace("jobs", jobs.withColumn("archive_id", F.when(F.col("archive_id") != archive_id, F.col("archive_id"))))

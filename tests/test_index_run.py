@@ -341,3 +341,87 @@ def test_short_scenes_across_ranges(spark):
                 kept.append(x)
         want += [(key, i, x, kept[i + 1] if i + 1 < len(kept) else None) for i, x in enumerate(kept)]
     assert got == sorted(want)
+
+
+def test_import_with_stages(spark, tmp_path):
+    """A supported file is stored and its stages wait for each other; others are refused with a reason; a failed import takes its stages along."""
+    good, odd, video = tmp_path / "take.flac", tmp_path / "words.txt", tmp_path / "clip.mp4"
+    good.write_bytes(b"fLaC\0\0\0\x22" + b"\0" * 10 + ((48000 << 44) | (1 << 41) | (15 << 36) | 48000).to_bytes(8, "big") + b"\0" * 16)
+    odd.write_text("no media")
+    video.write_bytes(b"\0\0\0\x18ftypmp42" + b"\0" * 32)
+    engine = api.Engine(spark, str(tmp_path / "home"))
+    paths = spark.createDataFrame([(str(p),) for p in (good, odd, video, tmp_path / "none.wav", good)] + [(None,)], "path string")
+    order = []
+    for kind in ("derivatives", "tagging"):
+        engine.queue.workers[kind] = lambda c, j: order.append(j["stage"])
+    jobs = engine.import_files("a", paths)
+    assert [engine.queue.get(j)["stage"] for j in jobs] == ["scan", "derivatives", "scene_detection", "tagging"]
+    assert [j["id"] for j in engine.queue.ready()] == jobs[:1]
+    engine.queue.run_until_idle()
+    assert [engine.queue.get(j)["status"] for j in jobs] == ["done"] * 4 and order == ["derivatives", "scene_detection", "tagging"]
+    assert engine.queue.get(jobs[0])["note"] == "imported 1 file(s), rejected 3"
+    said = {r["path"].rsplit("/", 1)[1]: (r["status"], r["reason"]) for r in engine.store.table("imports").collect()}
+    assert said["take.flac"] == ("imported", None) and said["words.txt"] == ("rejected", indexing.UNRECOGNISED) and said["clip.mp4"] == ("rejected", indexing.UNSUPPORTED) and said["none.wav"][1].startswith(indexing.UNREADABLE)
+    (asset,) = engine.imports.assets_of(jobs[0]).collect()
+    assert asset["archive_id"] == engine.archive_id("a") and asset["supported"] and asset["derivatives"]["waveform"].startswith(str(tmp_path / "home"))
+    bad = engine.queue.enqueue(None, "index", lambda c, j: 1 / 0)
+    next_, last = (second := engine.queue.enqueue(None, "tagging", after=bad)), engine.queue.enqueue(None, "tagging", after=second)
+    engine.queue.run_until_idle()
+    assert [engine.queue.get(j)["status"] for j in (bad, next_, last)] == ["failed", "cancelled", "cancelled"]
+    with pytest.raises(KeyError):
+        engine.queue.enqueue(None, "tagging", after="none")
+
+
+def test_report_sink(spark, tmp_path):
+    from lakeloom.sources.report import write_report
+
+    path = tmp_path / "r.json"
+    rows = spark.range(1000).repartition(5).select("id", F.array(F.lit("a\n\"é"), F.col("id").cast("string")).alias("m"), F.struct(F.lit(None).cast("int").alias("n")).alias("s"))
+    write_report(rows, str(path), {"archive": "x", "groups": 2}, "members")
+    report = json.loads(path.read_text())
+    assert report["archive"] == "x" and sorted(r["id"] for r in report["members"]) == list(range(1000)) and report["members"][0]["s"] == {"n": None}
+    with pytest.raises(Exception, match="no more"):
+        write_report(rows.withColumn("id", F.when(F.col("id") == 700, F.raise_error(F.lit("no more")).cast("long")).otherwise(F.col("id"))), str(path), {}, "members")
+    assert json.loads(path.read_text()) == report and [p.name for p in tmp_path.iterdir()] == ["r.json"]  # neither a half report nor parts
+    write_report(rows.limit(0), str(tmp_path / "none.json"), {}, "members")
+    assert json.loads((tmp_path / "none.json").read_text()) == {"members": []}
+
+
+def test_search_by_index_equals_the_scan(spark, tmp_path):
+    from lakeloom.operators import search, textindex
+
+    rng = random.Random(3)
+    rows = [(i, f"{rng.choice(['Alpha', 'beta', 'GAMMA'])}/{rng.choice(['take', 'Clip', 'ab'])}_{i}.{rng.choice(['mkv', 'wav', 'x'])}", rng.choice(["av1", "flac", None])) for i in range(300)] + [(900, "", None), (901, None, None), (902, "é/ÄÖ.wav", "av1")]
+    assets = spark.createDataFrame(rows, "asset_id long, path string, video_codec string")
+    docs = search.search_docs(assets, spark.createDataFrame([(5, "red"), (6, "Red Hot")], "asset_id long, label string"))
+    textindex.write(docs, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for query in ("clip_12", "take_1 NOT ext:wav", "codec:AV1 AND mma/t", "ab", "*", "NOT beta", "path:zzz OR tag:red", "(lip_1 OR lip_2) take", "ake_7 OR ab_8", "unknown:x", '"ÄÖ"', "resolution:1x1", "path:" + "ta"):
+        got, how = textindex.search_indexed(docs, index, query)
+        want = search.search(docs, query)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), query
+        assert want.count() <= how.bound <= how.assets == 303
+    share = lambda q: textindex.plan(index, q, 303)
+    assert share("clip_12").candidates is not None and share("clip_12").bound < 30 and share("path:zzz").bound == 0
+    assert share("*").candidates is None and share("ab").candidates is None and share("NOT beta").candidates is None and share("path:alpha").candidates is None
+
+
+def test_audio_pairs(spark):
+    """Against a loop: short prefixes, ties with the radius, copies, odd numbers, far values."""
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(0, 2) for _ in range(rng.choice([2, 6, 16]))]) for i in range(120)] + [(200 + i, [0.5, 0.5]) for i in range(40)] + [(300, [1e300, 0.0]), (301, [-1e300, 0.0]), (302, [1e300, 0.25])]
+    odd = [(400, None), (401, []), (402, [None, 1.0]), (403, [float("nan"), 1.0]), (404, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows + odd, "id long, fingerprint array<double>").repartition(3)
+    first: dict = {}
+    for i, v in rows:
+        first.setdefault(tuple(v), i)
+    far = lambda x, y: sum((p - q) ** 2 for p, q in zip(x, y)) ** 0.5 if max(map(abs, x + y)) < 1e150 else abs(x[0] - y[0]) or far(x[1:], y[1:])
+    for radius in (0.0, 0.25, 0.7):
+        pairs, members = dedupe.audio_duplicates(df, radius)
+        kinds = sorted((i, v) for v, i in first.items())
+        want = {(a, b) for k, (a, x) in enumerate(kinds) for b, y in kinds[k + 1 :] if far(x, y) <= radius}
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == want and (radius or not want)
+        assert {(r["id"], r["kind"]) for r in members.collect()} == {(i, first[tuple(v)]) for i, v in rows}
+    assert dedupe.audio_duplicates(df.limit(0), 1.0)[0].count() == 0
+    with pytest.raises(ValueError, match="negative"):
+        dedupe.audio_duplicates(df, -1.0)
