@@ -2,7 +2,8 @@
 
 List entries are dated events (add or remove a pattern). Per list and pattern they become validity intervals
 [from, until), which don't overlap. A capture's keys are its host and the host's parent domains, and its host with each directory of its path and
-with the whole path, with and without a slash at the end. Captures meet the lists that ever had one of their keys; an
+with the whole path, with and without a slash at the end; of these only those as long as some pattern are made, so what
+a capture sends is bounded by the lists and not by its url. Captures meet the lists that ever had one of their keys; an
 as-of join takes each list's last interval that began by the fetch time, which holds if it has not ended: intervals and
 captures of a pattern stand in one order of time, so a long history costs no more than its intervals.
 
@@ -36,20 +37,25 @@ def intervals(entries: DataFrame) -> DataFrame:
     return spans.where("valid_until is null or valid_until > at").select("list", "kind", "pattern", F.col("at").alias("valid_from"), "valid_until")
 
 
-def _keys(url):
-    """Keys of a url: structs (kind, pattern)."""
+def _parts(url):
+    """Host, and host with path, of a url, lower-cased; an empty host if it has none."""
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^?#]*)", 1)
     authority = F.regexp_extract(rest, "^([^/]*)", 1)
     host = ascii_lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r"\.?(:[0-9]*)?$", ""))
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, n), ".").alias("pattern")))
-    path = F.split(F.substr(rest, F.length(authority) + 1), "/")
-    depth = F.size(path) - 1
-    whole = F.transform(F.sequence(F.lit(1), depth + 1), lambda i: F.concat(host, ascii_lower(F.array_join(F.slice(path, F.lit(1), i), "/"))))
-    below = F.concat(F.transform(F.slice(whole, F.lit(1), depth), lambda p: F.concat(p, F.lit("/"))), F.slice(whole, F.lit(2), depth))
-    prefixes = F.when(depth >= 1, F.transform(F.array_distinct(below), lambda p: F.struct(F.lit("prefix").alias("kind"), p.alias("pattern")))).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
-    return F.when(F.length(host) > 0, F.concat(domains, prefixes)).otherwise(F.array().cast("array<struct<kind:string,pattern:string>>"))
+    return host, F.concat(host, ascii_lower(F.substr(rest, F.length(authority) + 1)))
+
+
+def _keys(host, whole, domains: list[int], prefixes: list[int]):
+    """Keys of a capture: structs (kind, pattern), of the lengths that patterns of each kind have."""
+    kind = "array<struct<kind:string,pattern:string>>"
+    at = lambda text, i: F.substring(text, i, F.lit(1))
+    n, size = F.length(host), F.length(whole)
+    of = lambda name, lengths, ok, cut: F.transform(F.filter(F.lit(lengths), ok), lambda k: F.struct(F.lit(name).alias("kind"), cut(k).alias("pattern"))) if lengths else F.array().cast(kind)
+    # A domain begins the host or stands behind a dot; a prefix ends with a slash, or before one, or with the path.
+    above = of("domain", domains, lambda k: (k == n) | ((k < n) & (at(host, n - k) == ".")), lambda k: F.substring(host, n - k + 1, k))
+    ends = lambda k: (at(whole, k) == "/") | (k == size) | (at(whole, k + 1) == "/")
+    below = of("prefix", prefixes, lambda k: (k > n) & (k <= size) & ends(k), lambda k: F.substring(whole, F.lit(1), k))
+    return F.when(n > 0, F.concat(above, below)).otherwise(F.array().cast(kind))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "capture_id", url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
@@ -59,7 +65,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "capture_id"
     rows = ws.put(rows.withColumn("row", F.monotonically_increasing_id()), "captures")
     spans = ws.put(intervals(entries), "intervals")
     named = spans.select("kind", "pattern", "list").distinct()
-    keyed = rows.where("at is not null").select("row", "at", F.explode(_keys(F.col("url"))).alias("k")).select("row", "at", "k.kind", "k.pattern")
+    # As many lengths as the longest pattern has characters at most.
+    lengths = {r["kind"]: sorted(r["n"]) for r in named.groupBy("kind").agg(F.collect_set(F.length("pattern")).alias("n")).collect()}
+    host, whole = _parts(F.col("url"))
+    split = rows.where("at is not null").select("row", "at", host.alias("host"), whole.alias("whole"))
+    keys = _keys(F.col("host"), F.col("whole"), lengths.get("domain", []), lengths.get("prefix", []))
+    keyed = split.select("row", "at", F.explode(keys).alias("k")).select("row", "at", "k.kind", "k.pattern")
     # Only keys that some list ever had go on.
     keyed = ws.put(keyed.join(named.select("kind", "pattern").distinct(), ["kind", "pattern"], "left_semi"), "keys")
     sizes = keyed.groupBy("kind", "pattern").count()

@@ -258,3 +258,45 @@ def test_a_common_phrase_makes_no_lists(spark, n):
     near = [(n + i, texts[i] + " end") for i in range(0, n, 50)]
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(df.unionByName(spark.createDataFrame(near, "doc_id long, text string"))).collect()}
     assert {i: c for i, c in got.items() if c != i} == {n + i: i for i in range(0, n, 50)}
+
+
+# Texts longer than any batch.
+
+
+def test_texts_longer_than_a_batch(spark):
+    """Operators of words read whole texts of some 3 MB: their ends count as much as their beginnings."""
+    from lakeloom.llm import class_lm, ngram_join, quality_rules
+
+    words = [f"w{i * 7919 % 90001:05d}" for i in range(400_000)]
+    long_, near, other = " ".join(words), " ".join(words[:-1] + ["last"]), " ".join(words[:200_000] + words[:200_000])
+    assert len(long_) > 2_700_000
+    docs = spark.createDataFrame([(1, long_), (2, near), (3, other), (4, "short and plain"), (5, None)], "doc_id long, text string")
+    joined = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs, words=4, percent=85).collect()}
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((1, words), (2, words[:-1] + ["last"]), (3, words[:200_000] * 2))}
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    assert {i: joined[i][0] for i in sets} == {i: len(s) for i, s in sets.items()}
+    assert joined[2][1] == 1 and joined[3][1] == (1 if link(1, 3) or link(2, 3) else 3) and joined[4][1] == 4
+    scored = {r["doc_id"]: r for r in class_lm.score(docs, F.col("doc_id") == 2).collect()}
+    assert scored[1]["n_tokens"] == 400_001 and scored[2]["n_tokens"] == 400_001 and scored[2]["n_known"] == 400_000 and scored[1]["train_tokens"] == 800_002 + 4 + 1
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    judged = {r["doc_id"]: r for r in quality_rules.judge(docs, labels).collect()}
+    assert judged[1]["n_words"] == 400_000 and judged[3]["n_repeat_words"] == 400_000 and judged[3]["base_failed"]
+
+
+# URL filters: keys are bounded by the lists.
+
+
+def test_long_urls_have_few_keys(spark):
+    """A path of 30,000 segments and a host of 500 labels send no more keys than patterns have lengths; each rule of an end holds."""
+    from lakeloom.llm import url_filter
+
+    host = ".".join(["a"] * 500) + ".example.org"
+    urls = ["http://" + host + "/x" * 30_000, "http://example.org/ads", "http://example.org/ads/", "http://example.org/adsx", "http://example.org/ads/x?q", "http://example.org", "http://example.org/", "http://notexample.org/ads", "HTTP://U@EXAMPLE.org.:80/Ads", "x", None]
+    captures = spark.createDataFrame(list(enumerate(urls)), "capture_id long, url string").withColumn("fetched_at", F.lit("2024-05-01").cast("timestamp"))
+    rules = [("domain", "example.org"), ("prefix", "example.org/ads"), ("prefix", "example.org/ads/"), ("prefix", "example.org/"), ("prefix", host + "/x/x/x"), ("prefix", "example.org/ad"), ("domain", "xample.org"), ("prefix", "")]
+    entries = spark.createDataFrame([(f"l{i}", k, p, "add") for i, (k, p) in enumerate(rules)], "list string, kind string, pattern string, action string").withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    got = {r["capture_id"]: r["lists"] for r in url_filter.evaluate(captures, entries).collect()}
+    assert got == {0: "l0,l4", 1: "l0,l1,l3", 2: "l0,l1,l2,l3", 3: "l0,l3", 4: "l0,l1,l2,l3", 5: "l0", 6: "l0,l3", 7: "", 8: "l0,l1,l3", 9: "", 10: ""}
+    n, w = url_filter._parts(F.col("url"))
+    sent = captures.select(F.size(url_filter._keys(n, w, [10, 11], [14, 15, 16, 1020])).alias("n")).agg(F.max("n")).first()[0]
+    assert sent <= 6
