@@ -74,7 +74,7 @@ class Import:
     def work(self, context, job: dict, folder: str) -> str:
         spark = self.store.spark
         asked = spark.read.parquet(folder).repartition(2 * spark.sparkContext.defaultParallelism)
-        probed = probe.probe_files(archive.hash_files(asked))
+        probed = probe.probe_files(archive.hash_files(asked), once=True)
         rows = checkpointed(imported(probed, job["archive_id"]))
         context.check()
         fresh = rows.where("import_status = 'imported'").select(
@@ -137,7 +137,7 @@ class IndexRun:
         # Dealt anew: a chunk's files come from few blocks of the plan, and one file may take as long as a thousand others.
         dealt = files.select("path").repartition(2 * self.spark.sparkContext.defaultParallelism)
         hashed = archive.hash_files(dealt)
-        (probe.probe_files(hashed) if self.headers else hashed).write.mode("overwrite").parquet(f"{self.root}/hashed/chunk={c}")
+        (probe.probe_files(hashed, once=True) if self.headers else hashed).write.mode("overwrite").parquet(f"{self.root}/hashed/chunk={c}")
 
     def finish(self, context, n: dict[str, int], chunks: int) -> str:
         """Assets, findings, issues and the run's figures go to the store; again if it is lost amid them."""

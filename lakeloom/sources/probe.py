@@ -161,10 +161,11 @@ def _ends(path: str) -> tuple[bytes, bytes]:
         return head, f.read(TAIL)
 
 
-def probe_files(files: DataFrame, path_col: str = "path") -> DataFrame:
+def probe_files(files: DataFrame, path_col: str = "path", once: bool = False) -> DataFrame:
     """files with FIELDS, supported, and status: ok, unsupported (no format or codec that is known to be open) or failed (with probe_error).
 
-    A file whose header can't be read fails; one that nothing knows is unsupported, which is no damage.
+    A file whose header can't be read fails; one that nothing knows is unsupported, which is no damage. A path that several
+    rows have is read once and joined back; with `once`, rows are known to have a path each, and are read where they are.
     """
     if clash := {*FIELDS, "probe_path", "supported", "status", "probe_error"} & {*files.columns}:
         files = files.drop(*clash)
@@ -172,7 +173,11 @@ def probe_files(files: DataFrame, path_col: str = "path") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             rows, errors = [], []
-            for path in rb.column(0).to_pylist():
+            for path in rb.column(rb.schema.get_field_index(path_col if once else "probe_path")).to_pylist():
+                if path is None:
+                    rows.append({})
+                    errors.append(None)
+                    continue
                 try:
                     rows.append(probe_bytes(*_ends(path), os.path.splitext(path)[1].lstrip(".")) or {})
                     errors.append(None)
@@ -180,10 +185,14 @@ def probe_files(files: DataFrame, path_col: str = "path") -> DataFrame:
                     rows.append({})
                     errors.append(f"{type(e).__name__}: {e.strerror}")
             cols = [pa.array([r.get(n) for r in rows], t) for n, t in FIELDS.items()]
-            yield pa.RecordBatch.from_arrays([rb.column(0), *cols, pa.array(errors, pa.string())], names=["probe_path", *FIELDS, "probe_error"])
-
-    found = files.select(F.col(path_col).alias("probe_path")).where("probe_path is not null").distinct().mapInArrow(run, f"probe_path string, {_SQL}, probe_error string")
-    joined = files.join(found, files[path_col] == found["probe_path"], "left").drop("probe_path")
+            yield pa.RecordBatch.from_arrays([*rb.columns, *cols, pa.array(errors, pa.string())], names=[*rb.schema.names, *FIELDS, "probe_error"])
+
+    if once:
+        given = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+        joined = files.mapInArrow(run, f"{given}, {_SQL}, probe_error string")
+    else:
+        found = files.select(F.col(path_col).alias("probe_path")).where("probe_path is not null").distinct().mapInArrow(run, f"probe_path string, {_SQL}, probe_error string")
+        joined = files.join(found, files[path_col] == found["probe_path"], "left").drop("probe_path")
     known = F.coalesce(supported_codec(F.col("codec")), F.lit(False))
     status = F.when(F.col("probe_error").isNotNull(), "failed").when(known, "ok").otherwise("unsupported")
     return joined.withColumn("supported", known).withColumn("status", status)

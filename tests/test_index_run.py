@@ -425,3 +425,13 @@ def test_audio_pairs(spark):
     assert dedupe.audio_duplicates(df.limit(0), 1.0)[0].count() == 0
     with pytest.raises(ValueError, match="negative"):
         dedupe.audio_duplicates(df, -1.0)
+
+
+def test_probing_in_place_equals_the_join(spark, files):
+    from lakeloom.sources import probe
+
+    (files / "d0" / "real.flac").write_bytes(b"fLaC\0\0\0\x22" + b"\0" * 10 + ((48000 << 44) | (1 << 41) | (15 << 36) | 48000).to_bytes(8, "big") + b"\0" * 16)
+    rows = archive.hash_files(archive.listing(spark, [str(files)])).unionByName(spark.createDataFrame([(None, None, None, None, None), (f"{files}/none.wav", 1, None, None, None)], "path string, size_bytes long, modified_time timestamp, fingerprint string, error string"))
+    apart, here = probe.probe_files(rows), probe.probe_files(rows, once=True)
+    assert apart.columns == here.columns and sorted(map(str, apart.collect())) == sorted(map(str, here.collect()))
+    assert here.where("status = 'ok'").count() == 1 and here.where("status = 'failed'").count() == 1
