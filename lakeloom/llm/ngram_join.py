@@ -7,8 +7,9 @@ thousands of short texts share stands last in each and makes no list. Heavy
 classes (large sets) are scanned through inverted lists. Their keys are blocks of a set: a set of sizes up
 to s is dealt into K blocks by a hash of the shingle, and since similar sets differ in at most
 H = 2 s (1 - t) / (1 + t) shingles, more than K - H blocks are equal in both. One passage that thousands of
-documents share fills no block of theirs, so it makes no candidates. A block of common shingles alone is listed no more
-than an empty one: equal blocks are so in both sets. A set with so many of these that this proves nothing lists its prefix. The boundary between light and heavy is the one with the
+documents share fills no block of theirs, so it makes no candidates. A block of common shingles alone is not listed
+either, but by sets that have so many of these, or empty ones, that all equal blocks may be among them; a set with so
+many empty ones lists its prefix besides. The boundary between light and heavy is the one with the
 least total of keys over the sizes that occur.
 
 In a list, each class is first compared with the list's least class alone, and in lists that still
@@ -177,13 +178,17 @@ def heavy_keys(sets: list[np.ndarray], sizes: Sizes, level: np.ndarray, often: f
             total = int(k.sum())
             sums = np.zeros(total, np.uint64)
             np.add.at(sums, cell, content)
-            filled = np.bincount(cell[rare], minlength=total) > 0
+            filled, telling = np.zeros(total, bool), np.zeros(total, bool)
+            filled[cell], telling[cell[rare]] = True, True
             owner = np.repeat(np.arange(len(sets)), k)
+            # Of two similar sets one equal block at least tells, unless one of them has this many that don't: it lists all.
+            mute = np.bincount(owner[~telling], minlength=len(sets)) >= k - sizes.differ[tag]
+            listed = np.where(mute[owner], filled, telling)
             index = np.arange(total) - np.repeat(first, k)
-            keys.append(mix(sums + mix((np.repeat(tag, k) * (1 << 32) + index).astype(np.uint64)))[filled])
-            owners.append(owner[filled])
+            keys.append(mix(sums + mix((np.repeat(tag, k) * (1 << 32) + index).astype(np.uint64)))[listed])
+            owners.append(owner[listed])
             empty = np.bincount(owner[~filled], minlength=len(sets))
-            for d in np.flatnonzero(empty >= k - sizes.differ[tag]).tolist():  # equal blocks may all be empty or common
+            for d in np.flatnonzero(empty >= k - sizes.differ[tag]).tolist():  # equal blocks may all be empty
                 prefix = rarest(sets[d], level, sizes.spare(len(sets[d])) + 1)
                 keys.append(mix(prefix + mix(np.uint64(tag[d]) + _M2)))
                 owners.append(np.full(len(prefix), d))
