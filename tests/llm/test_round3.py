@@ -279,7 +279,7 @@ def test_texts_longer_than_a_batch(spark):
     scored = {r["doc_id"]: r for r in class_lm.score(docs, F.col("doc_id") == 2).collect()}
     assert scored[1]["n_tokens"] == 400_001 and scored[2]["n_tokens"] == 400_001 and scored[2]["n_known"] == 400_000 and scored[1]["train_tokens"] == 800_002 + 4 + 1
     labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
-    judged = {r["doc_id"]: r for r in quality_rules.judge(docs, labels).collect()}
+    judged = {r["doc_id"]: r for r in quality_rules.judge(docs.withColumn("lang", F.lit("en")), labels).collect()}
     assert judged[1]["n_words"] == 400_000 and judged[3]["n_repeat_words"] == 400_000 and judged[3]["base_failed"]
 
 
