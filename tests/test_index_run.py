@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import json
 import os
 import random
@@ -427,6 +428,39 @@ def test_audio_pairs(spark):
         dedupe.audio_duplicates(df, -1.0)
 
 
+@pytest.mark.parametrize("path", ["tiles", "small tiles", "grid"])
+def test_audio_pairs_by_each_path(spark, monkeypatch, path):
+    """Prefixes of many lengths, far from and near to zero, ties of a sum, in one tile, in many, and by the grid."""
+    monkeypatch.setattr(dedupe, "JOIN_COST", 0 if path == "grid" else 1e9)
+    if path == "small tiles":
+        monkeypatch.setattr(dedupe, "VECTOR_ROWS", 17)
+    rng = random.Random(3)
+    for shift, scale in ((0.0, 1.0), (1e6, 1.0), (0.0, 1e-12)):
+        rows = [(i, [shift + scale * rng.uniform(0, 1) for _ in range(rng.choice([1, 3, 8, 40]))]) for i in range(150)]
+        rows += [(1000 + i, [x + scale * 0.01 for x in v]) for i, v in rows[:20]]
+        df = spark.createDataFrame(rows, "id long, fingerprint array<double>").repartition(3)
+        got = {(r["a"], r["b"]): r["distance"] for r in dedupe.audio_duplicates(df, 0.4 * scale)[0].collect()}
+        want = {}
+        for k, (a, x) in enumerate(rows):
+            for b, y in rows[k + 1 :]:
+                total = 0.0
+                for p, q in zip(x, y):
+                    total += (p - q) * (p - q)
+                if math.sqrt(total) <= 0.4 * scale:
+                    want[a, b] = math.sqrt(total)
+        assert got == want and len(want) > 100
+
+
+def test_dense_fingerprints_meet_in_tiles(spark):
+    """Cells that part fingerprints little aren't joined: each would be sent 81 times, and nearly all pairs met as rows."""
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 0.2) for _ in range(16)]) for i in range(600)], "id long, v array<double>")
+    pairs = dedupe.audio_pairs(rows, 0.3)
+    pairs.collect()
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert dedupe.grid_is_cheaper(10**6, 4, 1e6, 2.0, 12) and not dedupe.grid_is_cheaper(10**6, 4, 1e6 + 1e10, 1e5, 12)
+
+
 def test_probing_in_place_equals_the_join(spark, files):
     from lakeloom.sources import probe
 
