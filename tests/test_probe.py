@@ -140,3 +140,27 @@ def test_hamming_plan_makes_few_candidates(spark):
     every = 3000 * 2999 / 2
     assert dedupe.hamming_candidates(rows, 8, dedupe.hamming_plan(10**6, 8)[0], 3000).count() < 0.1 * every
     assert dedupe.hamming_candidates(rows, 18, dedupe.hamming_plan(3000, 18)[0], 3000).count() <= every
+
+
+def test_wide_hamming_joins_meet_in_tiles(spark):
+    """At k = 18 of 64 bits bands would send each row 10,072 times: all pairs are compared in tiles, and no row is joined."""
+    for n in (10**5, 6 * 10**5, 10**8):
+        assert dedupe.hamming_plan(n, 18)[0] == 0
+    rng = random.Random(6)
+    hashes = [rng.getrandbits(64) for _ in range(700)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), 18)) for h in hashes[:50]] + hashes[:5]
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    rows = spark.createDataFrame([(f"{i:04d}", h) for i, h in enumerate(signed)], "id string, hash long").repartition(5)
+    pairs = dedupe.hamming_pairs(rows, 18)
+    got = {(int(r["a"]), int(r["b"])): r["distance"] for r in pairs.collect()}
+    want = {(a, b): d for a, b in itertools.combinations(range(len(hashes)), 2) if (d := (hashes[a] ^ hashes[b]).bit_count()) <= 18}
+    assert got == want and len(want) >= 55
+    assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_hold_no_more_as_rows_grow(spark):
+    """A task of the wide Hamming join holds two blocks; their size is bounded and doesn't follow the number of rows."""
+    from lakeloom.operators import tiles
+
+    for n in (10**5, 6 * 10**5, 10**7):
+        assert n / tiles.blocks_of(spark.range(1), n, dedupe.TILE_ROWS) <= dedupe.TILE_ROWS == 1 << 15
