@@ -115,6 +115,28 @@ def test_leader_groups_and_pairs_against_loops(spark):
         assert {(r["leader"], r["member"]) for r in dedupe.leader_groups(rows, k).collect()} == want
 
 
+def test_leaders_are_met_in_rounds(spark, monkeypatch):
+    """Against a loop, with few ids a round; pairs are made among the ids of a round alone, not among all."""
+    rng = random.Random(5)
+    k, base = 18, [rng.getrandbits(64) for _ in range(40)]
+    hashes = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 12))) for _ in range(400)] + [rng.getrandbits(64) for _ in range(100)]
+    rng.shuffle(hashes)
+    signed = [h - 2**64 if h >= 2**63 else h for h in hashes]
+    want, leaders = set(), []
+    for i, h in enumerate(hashes):
+        lead = next((j for j in leaders if (hashes[j] ^ h).bit_count() <= k), i)
+        leaders += [i] if lead == i else []
+        want.add((lead, i))
+    several = {lead for lead, i in want if lead != i}
+    met, pairs = [], dedupe.hamming_pairs
+    monkeypatch.setattr(dedupe, "hamming_pairs", lambda rows, *a: met.append(rows.count()) or pairs(rows, *a))
+    monkeypatch.setattr(dedupe, "TILE_ROWS", 60)
+    monkeypatch.setattr(dedupe.leaders_by_rounds, "__defaults__", (30, 80))
+    rows = spark.createDataFrame([(i, h) for i, h in enumerate(signed)], "id long, hash long").repartition(3)
+    assert {(r["leader"], r["member"]) for r in dedupe.leader_groups(rows, k).collect()} == {(lead, i) for lead, i in want if lead in several}
+    assert len(met) > 2 and max(met) <= 90
+
+
 def test_kernels(spark):
     solid, black, white = bytes([9, 9, 9, 255]) * (32 * 24), bytes([0, 0, 0, 255]) * 64, bytes([255] * 4) * 64
     assert kernels.dhash(solid, 32, 24) == 0
